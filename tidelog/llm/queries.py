@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, minhash, packing
 
 
 def vocab_path(name: str = "byte_bpe_50k.json") -> str:
@@ -19,7 +19,17 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digest(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocab_path())
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocab_path())
+
+
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=4, percent=80)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_packing": op3_packing,
     "op4_bpe": op4_bpe,
+    "op9_minhash": op9_minhash,
 }
 ORACLE: dict[str, str] = {}
