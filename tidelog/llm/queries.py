@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, minhash, packing
+from . import bpe, minhash, packing, secret_scan, toxicity
 
 
 def vocab_path(name: str = "byte_bpe_50k.json") -> str:
@@ -19,17 +19,29 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digest(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocab_path())
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found, _ = secret_scan.scan_versions(docs.select(docs.doc_id.alias("path"), "text"))
+    return secret_scan.digest(found)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocab_path())
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=4, percent=80)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_secrets": op2_secrets,
     "op3_packing": op3_packing,
     "op4_bpe": op4_bpe,
+    "op8_toxicity": op8_toxicity,
     "op9_minhash": op9_minhash,
 }
 ORACLE: dict[str, str] = {}

@@ -14,6 +14,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: White space and ASCII punctuation: what parts words for a classifier.
+PUNCT = _SPACE.copy()
+PUNCT[[*range(0, 48), *range(58, 65), *range(91, 97), *range(123, 128)]] = True
 _tables: dict[int, np.ndarray] = {}
 
 
@@ -52,10 +55,13 @@ def span_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((h[end] - h[start]) * inv[start] + (end - start).astype(U) * _COEF[63])
 
 
-def words(data: np.ndarray, offs: np.ndarray):
-    """Lower-cased (A-Z) words of each document: (hashes, starts, ends, first word of each document and the total)."""
+def words(data: np.ndarray, offs: np.ndarray, apart: np.ndarray = _SPACE, stems: tuple[int, ...] = ()):
+    """Lower-cased (A-Z) words of each document: (hashes, starts, ends, first word of each document and the total).
+
+    For every length in stems, an array of the hashes of the words' first so many bytes follows.
+    """
     low = _LOWER[data]
-    inside = ~_SPACE[low]
+    inside = ~apart[low]
     n = len(low)
     prev = np.zeros(n, bool)
     prev[1:] = inside[:-1]
@@ -66,8 +72,9 @@ def words(data: np.ndarray, offs: np.ndarray):
     stop[:-1] = ~inside[1:]
     stop[edge - 1] = True
     ends = np.flatnonzero(inside & stop) + 1
-    hashes = span_hash(prefix_hash(low), starts, ends)
-    return hashes, starts, ends, np.searchsorted(starts, offs)
+    h = prefix_hash(low)
+    stems = [span_hash(h, starts, np.minimum(starts + k, ends)) for k in stems]
+    return span_hash(h, starts, ends), starts, ends, np.searchsorted(starts, offs), *stems
 
 
 def ngram_hash(w: np.ndarray, k: int) -> np.ndarray:
