@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, minhash, packing, secret_scan, toxicity
+from . import bpe, minhash, packing, secret_scan, suffix_dedup, toxicity
 
 
 def vocab_path(name: str = "byte_bpe_50k.json") -> str:
@@ -37,11 +37,16 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=4, percent=80)
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secrets": op2_secrets,
     "op3_packing": op3_packing,
     "op4_bpe": op4_bpe,
     "op8_toxicity": op8_toxicity,
     "op9_minhash": op9_minhash,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 ORACLE: dict[str, str] = {}
