@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, minhash, packing, secret_scan, suffix_dedup, toxicity
+from . import ann, bpe, minhash, packing, secret_scan, suffix_dedup, toxicity, vector_dedup
 
 
 def vocab_path(name: str = "byte_bpe_50k.json") -> str:
@@ -19,6 +19,14 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digest(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocab_path())
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), lambda i: i % 20 == 0)
+
+
+def op5_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.classes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 0.9)
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found, _ = secret_scan.scan_versions(docs.select(docs.doc_id.alias("path"), "text"))
@@ -42,9 +50,11 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ann": op1_ann,
     "op2_secrets": op2_secrets,
     "op3_packing": op3_packing,
     "op4_bpe": op4_bpe,
+    "op5_vector_dedup": op5_vector_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_minhash": op9_minhash,
     "op10_suffix_dedup": op10_suffix_dedup,
