@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, minhash, packing, secret_scan, suffix_dedup, toxicity, vector_dedup
+from . import ann, backoff, bpe, fixity, minhash, packing, secret_scan, suffix_dedup, toxicity, vector_dedup
 
 
 def vocab_path(name: str = "byte_bpe_50k.json") -> str:
@@ -37,6 +37,15 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocab_path())
 
 
+def op6_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return fixity.audit(pages, fixity.damaged(pages))
+
+
+def op7_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff.scores(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -55,8 +64,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_bpe": op4_bpe,
     "op5_vector_dedup": op5_vector_dedup,
+    "op6_fixity": op6_fixity,
+    "op7_backoff": op7_backoff,
     "op8_toxicity": op8_toxicity,
     "op9_minhash": op9_minhash,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op6_fixity": fixity.SQL,
+    "op7_backoff": backoff.SQL,
+}
