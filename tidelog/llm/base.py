@@ -73,6 +73,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         return e.where("u is not null and v is not null").select(
             F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
+    # large() gives (u, v) with u > v, as small() needs it
     def large(e: DataFrame) -> DataFrame:
         both = e.where("u <> v").unionByName(e.where("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -89,7 +90,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     now = materialize(tidy(edges), "edges")
     seen = None
     for _ in range(max_rounds):
-        nxt = materialize(tidy(small(tidy(large(now)).where("u <> v"))), "edges")
+        nxt = materialize(tidy(small(large(now).where("u <> v"))), "edges")
         if (m := mark(nxt)) == seen:
             break
         now, seen = nxt, m

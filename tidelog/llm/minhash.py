@@ -6,9 +6,12 @@ with a value in [r, r + 1); a coordinate keeps its least value. Rounds go on unt
 to the Jaccard similarity, concentrated as with t independent hash functions, at about one pass over the shingles.
 
 Candidates: documents whose shingle sets are equal are one class. A class joins BANDS buckets of ROWS coordinates.
-In every bucket all members are verified against its least member; where a bucket then still holds several connected
-groups, members of different groups are verified against each other. Pairs that are already connected need no test,
-as they cannot change a component. Every test uses the full shingle sets.
+In every bucket all members are verified against its center, the member that meets most others over all its buckets;
+where a bucket then still holds several connected groups, members of different groups are verified against each other.
+Pairs that are already connected need no test, as they cannot change a component. A bucket of more than SMALL members
+is compared in blocks inside tasks: a sketch of FINE coordinates, made for these documents only, rules out pairs whose
+estimate lies FINE_SIGMA standard deviations under the threshold (about one linked pair in a million would be), and only
+what remains is given out. Every link is verified on the full shingle sets.
 
 Edge cases: a text with fewer words than a shingle is one shingle; texts without words (null, empty, blank) have empty
 sets and link with nothing; rows with a null id take part in no link, keep a null component and are kept; rows that
@@ -29,6 +32,8 @@ from . import textkit as tk
 from .base import components, materialize, slices
 
 BANDS, ROWS = 32, 5
+SMALL, BLOCK = 16, 256
+FINE, FINE_SIGMA = 768, 4.75
 
 U = np.uint64
 
@@ -84,6 +89,60 @@ def signatures(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS) ->
     return src.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>")
 
 
+def fine_sketches(texts: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
+    """doc_id, bands array<long>, fine binary: a byte of each of FINE coordinates."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at, data, offs in slices(b.column(1)):
+                sets = list(tk.shingle_sets(data, offs, k))
+                keys = bands_of(sketch(sets, bands * rows), bands, rows)
+                fine = (sketch(sets, FINE) & U(255)).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(sets)), pa.array(list(keys), pa.list_(pa.int64())), pa.array([x.tobytes() for x in fine], pa.binary())], ["doc_id", "bands", "fine"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, bands array<long>, fine binary")
+
+
+def block_pairs(rows: DataFrame, fine: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) of large buckets: (key, node, n, c, m) rows, compared block by block."""
+    part = F.pmod(F.xxhash64("node", F.lit("block")), F.ceil(F.col("m") / BLOCK)).cast("int")
+    full = rows.join(fine.select(F.col("doc_id").alias("node"), "bands", "fine"), "node")
+    blocks = full.withColumn("part", part).groupBy("key", "part").agg(F.collect_list(F.struct("node", "n", "c", "bands", "fine")).alias("own"))
+    blocks = materialize(blocks, "blocks")
+    both = blocks.join(blocks.select("key", F.col("part").alias("q"), F.col("own").alias("other")), "key").where("part <= q").select("key", "part", "q", "own", "other")
+    p = percent / 100 + (1 - percent / 100) / 256
+    least = p * FINE - FINE_SIGMA * np.sqrt(FINE * p * (1 - p))
+
+    def unpack(col):
+        v = col.values
+        get = lambda name: v.field(name).to_numpy(zero_copy_only=False)
+        bands = v.field("bands")
+        return get("node"), get("n"), get("c"), bands.flatten().to_numpy().reshape(len(v), -1), np.stack([np.frombuffer(x, np.uint8) for x in v.field("fine").to_pylist()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                key, same = b.column(0)[r].as_py(), b.column(1)[r].as_py() == b.column(2)[r].as_py()
+                x, y = unpack(b.column(3)[r]), unpack(b.column(4)[r])
+                ok = (x[2][:, None] != y[2][None, :]) & (x[0][:, None] < y[0][None, :] if same else x[0][:, None] != y[0][None, :])
+                ok &= 100 * np.minimum(x[1][:, None], y[1][None, :]) >= percent * np.maximum(x[1][:, None], y[1][None, :])
+                i, j = np.nonzero(ok)
+                keep_i, keep_j = [], []
+                for at in range(0, len(i), 8192):
+                    p, q = i[at : at + 8192], j[at : at + 8192]
+                    # a pair is met in every bucket it shares and counts in the first
+                    eq = x[3][p] == y[3][q]
+                    first = eq.argmax(1)
+                    mine = x[3][p, first] == key
+                    p, q = p[mine], q[mine]
+                    near = (x[4][p] == y[4][q]).sum(1) >= least
+                    keep_i.append(x[0][p[near]]), keep_j.append(y[0][q[near]])
+                a, c = (np.concatenate(k) if k else np.zeros(0, np.int64) for k in (keep_i, keep_j))
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, c)), pa.array(np.minimum(a, c))], ["a", "b"])
+
+    return both.mapInArrow(run, "a long, b long")
+
+
 def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
 
@@ -114,29 +173,37 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS,
     # one node per distinct set; a node's id is the least document id that has the set
     nodes = materialize(full.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "nodes")
     put = nodes.select("node", "n", F.explode("bands").alias("key"))
-    least = put.groupBy("key").agg(F.min(F.struct("node", "n")).alias("first"), F.count("*").alias("m")).where("m > 1")
-    member = put.join(least, "key").select("key", "node", "n", F.col("first.node").alias("center"), F.col("first.n").alias("nb"))
-    member = materialize(member, "members")
+    many = put.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    member = materialize(put.join(many, "key").select("key", "node", "n", "m"), "members")
+    degree = member.groupBy("node").agg(F.sum("m").alias("degree"))
+    chosen = member.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", (-F.col("node")).alias("less"), "n")).alias("c"))
+    starred = member.join(chosen.select("key", (-F.col("c.less")).alias("center"), F.col("c.n").alias("nb")), "key")
     near = F.expr(f"100 * least(n, nb) >= {percent} * greatest(n, nb)")
-    star = member.where("node <> center").where(near).select(F.col("node").alias("a"), F.col("center").alias("b")).distinct()
+    star = starred.where("node <> center").where(near).select(F.col("node").alias("a"), F.col("center").alias("b")).distinct()
     star = materialize(star, "pairs")
 
+    def texts(ids: DataFrame) -> DataFrame:
+        src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        return src.join(_hint(ids), "doc_id", "left_semi")
+
     def tested(pairs: DataFrame) -> DataFrame:
         need = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        texts = src.join(_hint(need), "doc_id", "left_semi")
-        return materialize(verify(pairs, texts, k, percent).distinct(), "links")
+        return materialize(verify(pairs, texts(need), k, percent).distinct(), "links")
 
     links = tested(star)
     part = materialize(components(links), "parts")
-    named = member.join(part, member.node == part.node, "left").select("key", member.node, "n", F.coalesce("component", member.node).alias("c"))
+    named = member.join(part, member.node == part.node, "left").select("key", member.node, "n", "m", F.coalesce("component", member.node).alias("c"))
     named = materialize(named, "named")
     mixed = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    rest = named.join(mixed, "key")
-    other = rest.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    more = rest.select("key", F.col("node").alias("a"), "n", "c").join(other, "key").where("c < cb").where(near)
-    more = more.select("a", "b").distinct().join(star.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti").join(star, ["a", "b"], "left_anti").select("a", "b")
-    more = materialize(more, "pairs")
+    rest = materialize(named.join(mixed, "key"), "mixed")
+    few, large = rest.where(F.col("m") <= SMALL), rest.where(F.col("m") > SMALL)
+    other = few.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
+    more = few.select("key", F.col("node").alias("a"), "n", "c").join(other, "key").where("a > b and c <> cb").where(near).select("a", "b")
+    if not large.isEmpty():
+        fine = materialize(fine_sketches(texts(large.select(F.col("node").alias("doc_id")).distinct()), k, bands, rows), "fine")
+        more = more.unionByName(block_pairs(large, fine, percent))
+    pair = lambda x: x.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    more = materialize(pair(more).distinct().join(pair(star), ["a", "b"], "left_anti"), "pairs")
     if not more.isEmpty():
         links = links.unionByName(tested(more))
         part = materialize(components(links), "parts")
