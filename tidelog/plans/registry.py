@@ -1,4 +1,25 @@
-"""Registered queries of the log operators and their SQL."""
+"""Registered queries of the log operators, and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    """Registers a function of (spark, sf_dir) under its name, with its SQL."""
+
+    def put(f):
+        QUERIES[name or f.__name__] = f
+        if sql:
+            ORACLE[name or f.__name__] = sql
+        return f
+
+    return put
+
+
+from . import q_cluster, q_ext, q_layout, q_log, q_metadata, q_scalar, q_stream  # noqa: E402,F401
