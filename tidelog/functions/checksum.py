@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _POLY = 0x82F63B78
 
@@ -44,6 +45,6 @@ def crc32c(value: bytes) -> int:
     return crc32c_many([value])[0]
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def crc32c_col(values: pd.Series) -> pd.Series:
     return pd.Series(crc32c_many([None if v is None else bytes(v) for v in values]), dtype="Int64")

@@ -117,7 +117,8 @@ def record_bytes(payload: Column) -> Column:
 def next_pow2(v: Column) -> Column:
     """Least power of two that is at least max(2, v); integer arithmetic only."""
     bits = F.length(F.bin(F.greatest(v, F.lit(2)).cast("long") - 1))
-    return F.shiftleft(F.lit(1).cast("long"), bits)
+    powers = F.array(*[F.lit(1 << k).cast("long") for k in range(63)])
+    return F.element_at(powers, bits + 1)
 
 
 def epoch_dir(epoch: Column) -> Column:

@@ -152,10 +152,10 @@ def backfill_plan(spark, sf):
 
 @query(f"""with {T.LOG}, s as (select pid, epoch, seq, octet_length(encode(payload)) as size from log where seq < 64),
 w as (with recursive x as (
-  select pid, epoch, seq, 0::bigint as at, (size + 4 <= 400) as kept, case when size + 4 <= 400 then size + 4 else 0 end::bigint as used from s where seq = 0
+  select pid, epoch, seq, 0::bigint as pos, (size + 4 <= 400) as kept, case when size + 4 <= 400 then size + 4 else 0 end::bigint as used from s where seq = 0
   union all select s.pid, s.epoch, s.seq, x.used, x.used + s.size + 4 <= 400, case when x.used + s.size + 4 <= 400 then x.used + s.size + 4 else x.used end
   from x join s on s.pid = x.pid and s.epoch = x.epoch and s.seq = x.seq + 1) select * from x)
-select pid, epoch, seq, at as "offset" from w where kept""")
+select pid, epoch, seq, pos as "offset" from w where kept""")
 def backfill_serve(spark, sf):
     return K.backfill_serve(T.events_log(spark, sf), 64, 400)
 

@@ -9,6 +9,7 @@ from ..functions import columns as C
 from ..operators import log as L
 from ..operators import offsets as O
 from . import tables as T
+from .q_scalar import _MSG as _MSG_ID
 from .registry import query
 
 
@@ -86,9 +87,9 @@ def batch_conjunction(spark, sf):
     return T.attempts(spark, sf).groupBy("pid", "batch_id").agg(F.bool_and(F.col("status") == "SUCCESS").alias("ok"), F.count("*").alias("n"))
 
 
-@query(f"with {T.ARRIVALS} select pid, event_id from (select *, row_number() over (partition by pid, user_id, payload order by event_id) as r from routed) where r = 1")
+@query(f"with {T.ARRIVALS} select pid, event_id from (select *, row_number() over (partition by pid, " + _MSG_ID + " order by event_id) as r from routed) where r = 1")
 def idempotent_dedup(spark, sf):
-    """Message identity is the 64-bit id; no two different (key, payload) pairs of this data share one."""
+    """Message identity is the 64-bit id; different messages that share one count as the same, by definition."""
     r = T.routed(spark, sf).withColumn("msg_id", C.message_id(F.col("pid"), F.col("key").cast("binary"), F.col("payload").cast("binary")))
     return L.dedup(r, "event_id").select("pid", "event_id")
 
