@@ -204,7 +204,7 @@ def scores(docs: DataFrame) -> DataFrame:
 SQL = r"""
 with words as (
   select doc_id, unnest(ws) as w, generate_subscripts(ws, 1) as i
-  from (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda x: x <> '') as ws from documents)),
+  from (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t-\r]+'), lambda x: x <> '') as ws from documents)),
 pairs as (select a.doc_id, a.i, a.w, b.w as v from words a left join words b on a.doc_id = b.doc_id and a.i = b.i + 1),
 total as (select count(*) as n from words),
 uni as (select w, count(*) as f from words group by w),
