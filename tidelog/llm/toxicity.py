@@ -61,6 +61,12 @@ class Ftrl:
         w = -(z - np.sign(z) * self.l1) / ((self.beta + np.sqrt(n)) / self.alpha + self.l2)
         return np.where(np.abs(z) <= self.l1, 0.0, w)
 
+    def model(self) -> tuple[np.ndarray, np.ndarray]:
+        """Coordinates with a weight, and their weights."""
+        at = np.flatnonzero(self.n)
+        w = self.weights(at)
+        return at[w != 0], w[w != 0]
+
     def learn(self, at: np.ndarray, label: int) -> float:
         w = self.weights(at)
         p = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35)))
@@ -72,20 +78,25 @@ class Ftrl:
 
 
 def learn_all(seen: list[tuple[int, np.ndarray]], bits: int = BITS, epochs: int = EPOCHS, again: int = AGAIN, min_docs: int = MIN_DOCS) -> Ftrl:
-    """Learn from (label, distinct coordinates with the bias) of sample documents, in the order given."""
+    """Learn from (label, distinct coordinates with the bias) of sample documents, in the order given; thins out `seen`."""
     docs = np.zeros((1 << bits) + 1, np.int32)
     for _, at in seen:
         docs[at] += 1
     common = docs >= min_docs
     common[1 << bits] = True
-    seen = [(label, at[common[at]]) for label, at in seen]
+    # the list is replaced entry by entry: the sample's features are held once
+    for k, (label, at) in enumerate(seen):
+        seen[k] = (label, at[common[at]])
+    del docs
     model = Ftrl(bits)
     for _ in range(epochs):
         for label, at in seen:
             model.learn(at, label)
-    chosen = model.weights(np.arange((1 << bits) + 1)) != 0
+    chosen = np.zeros((1 << bits) + 1, bool)
+    chosen[model.model()[0]] = True
     chosen[1 << bits] = True
-    seen = [(label, at[chosen[at]]) for label, at in seen]
+    for k, (label, at) in enumerate(seen):
+        seen[k] = (label, at[chosen[at]])
     model = Ftrl(bits, l1=0.0)
     for _ in range(again):
         for label, at in seen:
@@ -104,13 +115,11 @@ def fit(labelled: DataFrame, bits: int = BITS, sample: int = SAMPLE, epochs: int
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, n), b.column(1).slice(at, n), pa.array(rows, pa.list_(pa.int32()))], ["h", "label", "at"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = []
+        seen, bias = [], np.int32(1 << bits)
         for b in batches:
-            seen += list(zip(b.column("label").to_pylist(), (np.append(x.values.to_numpy(), 1 << bits) for x in b.column("at"))))
-        model = learn_all(seen, bits, epochs)
-        w = model.weights(np.arange((1 << bits) + 1))
-        at = np.flatnonzero(w)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w[at])], ["at", "w"])
+            seen += [(label, np.append(x.values.to_numpy(), bias)) for label, x in zip(b.column("label").to_pylist(), b.column("at"))]
+        at, w = learn_all(seen, bits, epochs).model()
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w)], ["at", "w"])
 
     chosen = labelled.select(F.xxhash64("doc_id", F.lit("fit")).alias("h"), F.col("label").cast("int").alias("label"), "text")
     feats = materialize(chosen.mapInArrow(extract, "h long, label int, at array<int>"), "features")
