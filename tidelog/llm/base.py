@@ -7,6 +7,7 @@ executor never costs more than the tasks it was running.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -52,6 +53,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def wide_rows(spark: SparkSession, rows: int = 32):
+    """While it lasts, tables that are materialized reach Python workers in batches of at most `rows` rows.
+
+    For rows that each hold a block of vectors: batches of the usual number of rows would not fit a worker.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def forget(df: DataFrame) -> None:
     """Delete the files of a materialized table that no later step reads."""
     spark = df.sparkSession

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vectors as vx
-from .base import components, materialize
+from .base import components, materialize, wide_rows
 
 BLOCK_COLUMNS = 16
 CELLS = 32
@@ -182,7 +182,9 @@ def classes(df: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vec_col:
     # equal vectors are one node; its id is the least, and ids are made unique by a hash-free rank of the vector itself
     nodes = x.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("weight"))
     nodes = materialize(nodes, "nodes")
-    found = materialize(links(nodes, d, n, cosine), "found")
+    matched = links(nodes, d, n, cosine)
+    with wide_rows(df.sparkSession):
+        found = materialize(matched, "found")
     part = components(found.select(F.col("id").alias("u"), F.col("to").alias("v")).unionByName(_twice(x, nodes)))
     part = materialize(part, "parts")
     sums = found.groupBy("id").agg(F.sum("links").alias("links"))
