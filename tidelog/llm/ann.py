@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import vectors as vx
-from .base import materialize
+from .base import materialize, wide_rows
 
 COLUMNS = 16
 EPSILON = 2.1
@@ -182,7 +182,9 @@ def search(base: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "em
     blocks = materialize(blocks, "lists")
     asks = asks.select("list", F.col("ids").alias("qids"), F.col("v").alias("qv"), "floor")
     both = asks.join(blocks, "list").select("qids", "qv", "floor", "ids", "v")
-    found = both.mapInArrow(compare, "query_id long, vec_id long, score double")
+    hits = both.mapInArrow(compare, "query_id long, vec_id long, score double")
+    with wide_rows(spark):
+        found = materialize(hits, "hits")
     # thresholds rest on these candidates, so they belong to what was found
     found = found.unionByName(queries.mapInArrow(seed, "query_id long, vec_id long, score double"))
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
