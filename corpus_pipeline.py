@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import minhash, packing, queries, secret_scan, suffix_dedup, toxicity
+from tidelog.llm import minhash, packing, passages, queries, secret_scan, suffix_dedup, toxicity
 from tidelog.llm.base import materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -39,7 +39,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes the bytes of 400-byte strings that occur more than once; documents of which nothing is left go.
+    """Removes passages of over 50 words, and 400-byte strings, that occur more than once; documents left empty go.
 
     A cut inside a multi-byte character keeps the whole character. Documents that were empty before stay as they are.
     """
@@ -63,7 +63,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     keep = ["lang", "source", "n_chars"]
     types = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
-    spans = suffix_dedup.with_ranges(docs, keep).select("doc_id", "text", "spans", "_0", "_1", "_2")
+    spans = passages.with_ranges(docs, keep).select("doc_id", "text", "spans", "_0", "_1", "_2")
     same = spans.where("spans is null").select("doc_id", "text", *[F.col(f"_{i}").alias(c) for i, c in enumerate(keep)])
     cut = spans.where("spans is not null").mapInArrow(run, f"doc_id long, text string, {types}").where("text <> ''")
     return same.unionByName(cut.withColumn("n_chars", F.length("text").cast("long"))).select(*COLUMNS)
