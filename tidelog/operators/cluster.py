@@ -29,13 +29,13 @@ def overlay(static: DataFrame, gossip: DataFrame) -> DataFrame:
 
 def eligible(members: DataFrame, role: str = "PERSISTENCE") -> DataFrame:
     """Members of the role, or all of them where there is none."""
-    has = F.max((F.col("role") == role).cast("int")).over(Window.partitionBy(F.lit(0)))  # members: tens of rows
-    return members.withColumn("_has", has).where((F.col("role") == role) | (F.col("_has") == 0)).drop("_has")
+    has = members.agg(F.max((F.col("role") == role).cast("int")).alias("_has"))  # one row
+    return members.crossJoin(F.broadcast(has)).where((F.col("role") == role) | (F.col("_has") == 0)).drop("_has")
 
 
 def scored(partitions: DataFrame, members: DataFrame) -> DataFrame:
-    """Every partition with every member and its score; both are catalogues, not data."""
-    return partitions.crossJoin(F.broadcast(members)).withColumn("score", C.rendezvous_score(F.col("pid"), F.col("broker_id")))
+    """Every partition with every member and its score; the partitions are a catalogue, not data."""
+    return F.broadcast(partitions).crossJoin(members).withColumn("score", C.rendezvous_score(F.col("pid"), F.col("broker_id")))
 
 
 def replica_set(partitions: DataFrame, members: DataFrame, n: int) -> DataFrame:

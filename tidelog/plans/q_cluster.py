@@ -40,36 +40,36 @@ def heartbeat_filter(spark, sf):
 
 
 @query(f"with {T.MEMBERS}, g as (select broker_id + 20 as broker_id, 'PERSISTENCE' as role, 'gossip' as address from members) select coalesce(g.broker_id, m.broker_id) as broker_id, coalesce(g.role, m.role) as role, coalesce(g.address, m.address) as address from members m full join g on g.broker_id = m.broker_id")
-def members_overlay(spark, sf):
-    m = T.members(spark, sf)
+def members_overlay(spark, sf, members=T.members):
+    m = members(spark, sf)
     g = m.select((F.col("broker_id") + 20).alias("broker_id"), F.lit("PERSISTENCE").alias("role"), F.lit("gossip").alias("address"))
     return K.overlay(m, g)
 
 
 @query(f"with {T.MEMBERS}, {T.PIDS} select pid, broker_id, score from ({T.scores_sql()})")
-def hrw_score(spark, sf):
-    return K.scored(T.partitions(spark), T.members(spark, sf)).select("pid", "broker_id", "score")
+def hrw_score(spark, sf, members=T.members):
+    return K.scored(T.partitions(spark), members(spark, sf)).select("pid", "broker_id", "score")
 
 
 @query(f"with {T.MEMBERS}, {T.PIDS} select pid, cast(row_number() over (partition by pid order by score desc, broker_id) as integer) as place, broker_id, score from ({T.scores_sql()}) where role = 'PERSISTENCE' qualify place <= 3")
-def replica_set(spark, sf):
-    return K.replica_set(T.partitions(spark), T.members(spark, sf), 3)
+def replica_set(spark, sf, members=T.members):
+    return K.replica_set(T.partitions(spark), members(spark, sf), 3)
 
 
 @query(f"with {T.MEMBERS}, {T.PIDS} select pid, arg_max(broker_id, score) as \"primary\" from ({T.scores_sql()}) where role = 'INGESTION' group by pid")
-def hrw_primary(spark, sf):
-    return K.primary(T.partitions(spark), T.members(spark, sf))
+def hrw_primary(spark, sf, members=T.members):
+    return K.primary(T.partitions(spark), members(spark, sf))
 
 
 @query(f"with {T.MEMBERS}, odd as (select * from members where role = 'INGESTION'), {T.PIDS} select pid, cast(row_number() over (partition by pid order by score desc, broker_id) as integer) as place, broker_id, score from ({T.scores_sql('odd')}) qualify place <= 2")
-def role_fallback(spark, sf):
+def role_fallback(spark, sf, members=T.members):
     """No member stores data, so all are eligible."""
-    return K.replica_set(T.partitions(spark), T.members(spark, sf).where("role = 'INGESTION'"), 2)
+    return K.replica_set(T.partitions(spark), members(spark, sf).where("role = 'INGESTION'"), 2)
 
 
 @query(f"with {T.MEMBERS}, {T.PIDS} select broker_id, count(*) as partitions, max(score) as best from ({T.scores_sql()}) group by broker_id")
-def member_scores(spark, sf):
-    return K.scored(T.partitions(spark), T.members(spark, sf)).groupBy("broker_id").agg(F.count("*").alias("partitions"), F.max("score").alias("best"))
+def member_scores(spark, sf, members=T.members):
+    return K.scored(T.partitions(spark), members(spark, sf)).groupBy("broker_id").agg(F.count("*").alias("partitions"), F.max("score").alias("best"))
 
 
 _FOLD = """o as (select *, row_number() over (partition by node_id order by event_id) as i from attempts),

@@ -19,8 +19,13 @@ def lsn_encode(spark, sf):
 
 @query("with x as (select o_orderkey * 1099511627776 + o_custkey as lsn from orders where o_orderkey < 8000000) select lsn, (lsn >> 40) & 16777215 as epoch, lsn & 1099511627775 as seq from x")
 def lsn_decode(spark, sf):
-    lsn = (F.col("o_orderkey") * (1 << 40) + F.col("o_custkey")).alias("lsn")
-    x = T.table(spark, sf, "orders").where("o_orderkey < 8000000").select(lsn)
+    return _decoded(T.table(spark, sf, "orders").where("o_orderkey < 8000000"))
+
+
+def _decoded(orders):
+    """The epoch is the 24 low bits of the key; those of 2**23 and more make the number negative."""
+    lsn = (F.shiftleft(F.col("o_orderkey").cast("long"), 40) + F.col("o_custkey")).alias("lsn")
+    x = orders.select(lsn)
     return x.select("lsn", C.lsn_epoch(F.col("lsn")).alias("epoch"), C.lsn_seq(F.col("lsn")).alias("seq"))
 
 

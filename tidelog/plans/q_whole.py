@@ -1,0 +1,30 @@
+"""Queries NAME_all: those that read a part of their table, over all of it. Their SQL is the other's without its filter."""
+
+from __future__ import annotations
+
+from . import q_cluster, q_scalar
+from . import tables as T
+from .registry import ORACLE, query
+
+
+def _without(name: str, cut: str, put: str = "") -> str:
+    sql = ORACLE[name]
+    if sql.count(cut) != 1:
+        raise ValueError(f"{name}: no single {cut!r}")
+    return sql.replace(cut, put)
+
+
+def _over_all_members(name: str) -> None:
+    f = getattr(q_cluster, name)
+    query(_without(name, " where s_suppkey <= 40"), f"{name}_all")(lambda spark, sf: f(spark, sf, T.all_members))
+
+
+for _name in ("members_overlay", "hrw_score", "replica_set", "hrw_primary", "role_fallback", "member_scores"):
+    _over_all_members(_name)
+
+_LSN = "((o_orderkey % 16777216) - case when o_orderkey % 16777216 >= 8388608 then 16777216 else 0 end) * 1099511627776 + o_custkey"
+
+
+@query(_without("lsn_decode", "o_orderkey * 1099511627776 + o_custkey as lsn from orders where o_orderkey < 8000000", f"{_LSN} as lsn from orders"))
+def lsn_decode_all(spark, sf):
+    return q_scalar._decoded(T.table(spark, sf, "orders"))

@@ -22,4 +22,4 @@ def query(sql: str | None = None, name: str | None = None):
     return put
 
 
-from . import q_cluster, q_ext, q_layout, q_log, q_metadata, q_scalar, q_stream  # noqa: E402,F401
+from . import q_cluster, q_ext, q_layout, q_log, q_metadata, q_scalar, q_stream, q_whole  # noqa: E402,F401

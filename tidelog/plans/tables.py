@@ -32,8 +32,13 @@ def routed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def members(spark: SparkSession, sf: str) -> DataFrame:
+    """The nodes of ids up to 40."""
+    return all_members(spark, sf).where("broker_id <= 40")
+
+
+def all_members(spark: SparkSession, sf: str) -> DataFrame:
     """Nodes from suppliers: role by parity."""
-    s = table(spark, sf, "supplier").where("s_suppkey <= 40")
+    s = table(spark, sf, "supplier")
     return s.select(F.col("s_suppkey").cast("long").alias("broker_id"), F.when(F.col("s_suppkey") % 2 == 0, "PERSISTENCE").otherwise("INGESTION").alias("role"), F.col("s_name").alias("address"))
 
 
