@@ -4,7 +4,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from tidelog.plans import registry
+from tidelog.plans import registry, tables
 
 M = (1 << 64) - 1
 
@@ -52,3 +52,20 @@ def test_epochs_above_a_signed_23_bits_are_decoded(spark, tmp_path):
         lsn = epoch << 40 | seq
         want.append((lsn - (1 << 64) if lsn >> 63 else lsn, epoch, seq))
     assert sorted(rows(spark, str(tmp_path), "lsn_decode_all")) == sorted(want)
+
+
+def test_every_event_is_requested_looked_up_and_committed(spark, sf):
+    events = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "event_type", "user_id").collect()
+    n = len(events)
+    assert {r[0] for r in rows(spark, sf, "fetch_status_redirect_all")} == {e.event_id for e in events}
+    log = registry.QUERIES["dense_index"](spark, sf).select("pid", "epoch", "seq", "pos").collect()
+    place = lambda name, k: sorted(r[:k] for r in rows(spark, sf, name))
+    assert len(log) == n and place("dense_lookup_all", 4) == sorted(tuple(r) for r in log)
+    assert [r[:3] for r in place("segment_lookup_all", 3)] == sorted(tuple(r)[:3] for r in log)
+    pid = {r.event_id: r.pid for r in tables.routed(spark, sf).collect()}
+    last = {}
+    for e in sorted(events):
+        last[e.event_type, f"g{e.user_id % 4}", pid[e.event_id]] = e.event_id % 1000
+    want = sorted((*k, v) for k, v in last.items())
+    assert place("committed_offsets_all", 4) == place("stream_commit_all", 4) == want
+    assert sum(r[2] for r in rows(spark, sf, "replay_count_all")) == n

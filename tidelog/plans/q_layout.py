@@ -29,8 +29,8 @@ def segment_stats(spark, sf):
 
 
 @query(f"with {T.SEGMENTS}, w as (select pid, epoch, seq from log where event_id % 7 = 0) select w.pid, w.epoch, w.seq, s.seg from w join segs s on s.pid = w.pid and s.epoch = w.epoch and w.seq between first_seq and last_seq")
-def segment_lookup(spark, sf):
-    wanted = T.events_log(spark, sf).where("event_id % 7 = 0").select("pid", "epoch", "seq")
+def segment_lookup(spark, sf, of="event_id % 7 = 0"):
+    wanted = T.events_log(spark, sf).where(of).select("pid", "epoch", "seq")
     return Y.segment_lookup(wanted, Y.segment_stats(_packed(spark, sf)))
 
 
@@ -49,9 +49,9 @@ def dense_index(spark, sf):
 
 
 @query(f"with {_DENSE} select d.* from dense d join log l on l.pid = d.pid and l.epoch = d.epoch and l.seq = d.seq where l.event_id % 13 = 0")
-def dense_lookup(spark, sf):
+def dense_lookup(spark, sf, of="event_id % 13 = 0"):
     log = T.events_log(spark, sf)
-    wanted = log.where("event_id % 13 = 0").select("pid", "epoch", "seq")
+    wanted = log.where(of).select("pid", "epoch", "seq")
     return Y.dense_index(log).join(wanted, ["pid", "epoch", "seq"])
 
 

@@ -50,8 +50,8 @@ _REQ = """req as (select event_id as request_id, cast(event_id % 16 as integer)
 j as (select r.*, e.storage_nodes, h.hwm, greatest(r.seq, 0) as s, case when h.hwm >= greatest(r.seq, 0) then least(h.hwm - greatest(r.seq, 0) + 1, r.max_messages) else 0 end as k from req r left join epochs e on e.pid = r.pid and e.epoch = r.epoch left join hw h on h.pid = r.pid and h.epoch = r.epoch),
 t as (select *, case when storage_nodes is not null and not list_contains(storage_nodes, 2) then 'NOT_IN_PLACEMENT' when hwm is null then 'EPOCH_MISSING' else 'OK' end as status from j)
 select request_id, status, cast(case when status = 'OK' then k else 0 end as bigint) as n, case when status = 'OK' and k > 0 then s end as first_seq, case when status = 'OK' and k > 0 then s + k - 1 end as last_seq, case when status = 'NOT_IN_PLACEMENT' then array_to_string(storage_nodes, ',') else '' end as redirect from t""")
-def fetch_status_redirect(spark, sf):
-    e = T.table(spark, sf, "events").where("event_id % 10 = 0")  # the requests are one event in ten: a feature of the role
+def fetch_status_redirect(spark, sf, of="event_id % 10 = 0"):
+    e = T.table(spark, sf, "events").where(of)
     req = e.select(F.col("event_id").alias("request_id"), (F.col("event_id") % 16).cast("int").alias("pid"), (F.col("event_id") % 5).alias("epoch"), ((F.col("event_id") * 7) % 300 - 5).alias("seq"), (F.col("event_id") % 9).cast("int").alias("max_messages"))
     return L.fetch_batch(req, T.events_log(spark, sf), T.epochs(spark, sf).select("pid", "epoch", "storage_nodes"), 2)
 
@@ -121,28 +121,28 @@ def durable_at(spark, sf):
 
 
 @query(f"with {T.COMMITS} select topic, grp, pid, arg_max(off, commit_order) as off from commits group by topic, grp, pid")
-def committed_offsets(spark, sf):
-    return O.committed(T.commits(spark, sf))
+def committed_offsets(spark, sf, commits=T.commits):
+    return O.committed(commits(spark, sf))
 
 
 @query(f"with {T.COMMITS}, c as (select topic, grp, pid, arg_max(off, commit_order) as off from commits group by topic, grp, pid), {T.PIDS} select t.topic, g.grp, p.pid, coalesce(c.off, 0) as off from (select distinct topic from routed) t cross join (select distinct grp from commits union select 'late') g cross join pids p left join c on c.topic = t.topic and c.grp = g.grp and c.pid = p.pid")
-def committed_default(spark, sf):
-    c = T.commits(spark, sf)
+def committed_default(spark, sf, commits=T.commits):
+    c = commits(spark, sf)
     groups = c.select("grp").distinct().unionByName(spark.createDataFrame([("late",)], "grp string"))
     wanted = T.arrivals(spark, sf).select("topic").distinct().crossJoin(groups).crossJoin(T.partitions(spark))
     return O.committed_or_zero(wanted, c)
 
 
 @query(f"with {T.COMMITS}, h as (select pid, count(*) - 1 as hwm from routed group by pid), c as (select grp, pid, arg_max(off, commit_order) as off from commits group by grp, pid), g as (select distinct grp from c) select h.pid, g.grp, h.hwm, coalesce(c.off, 0) as off, h.hwm + 1 - coalesce(c.off, 0) as lag from h cross join g left join c on c.pid = h.pid and c.grp = g.grp")
-def consumer_lag(spark, sf):
+def consumer_lag(spark, sf, commits=T.commits):
     h = T.routed(spark, sf).groupBy("pid").agg((F.count("*") - 1).alias("hwm"))
-    c = T.commits(spark, sf).groupBy("grp", "pid").agg(F.max_by("off", "commit_order").alias("off"))
+    c = commits(spark, sf).groupBy("grp", "pid").agg(F.max_by("off", "commit_order").alias("off"))
     return O.lag(h, c)
 
 
 @query(f"with {T.COMMITS} select topic, grp, count(*) as replayed, count(distinct pid) as partitions from commits group by topic, grp")
-def replay_count(spark, sf):
-    return O.replay_count(T.commits(spark, sf))
+def replay_count(spark, sf, commits=T.commits):
+    return O.replay_count(commits(spark, sf))
 
 
 @query(f"with {T.ARRIVALS} select event_id, topic from routed where topic in ('click', 'purchase', 'view')")

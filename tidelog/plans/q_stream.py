@@ -33,8 +33,8 @@ def stream_hwm(spark, sf):
 
 
 @query(f"with {T.COMMITS} select topic, grp, pid, arg_max(off, commit_order) as off from commits group by topic, grp, pid")
-def stream_commit(spark, sf):
-    a = _arrivals(spark, sf).where("event_id % 3 = 0")
+def stream_commit(spark, sf, of="event_id % 3 = 0"):
+    a = _arrivals(spark, sf).where(of)
     c = a.select("topic", F.concat(F.lit("g"), (F.col("user_id") % 4).cast("string")).alias("grp"), "pid", F.struct("event_id", (F.col("event_id") % 1000).alias("off")).alias("at"))
     return S.drain(c.groupBy("topic", "grp", "pid").agg(F.max("at").alias("at")).select("topic", "grp", "pid", "at.off"), "complete")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_cluster, q_scalar
+from . import q_cluster, q_layout, q_log, q_scalar, q_stream
 from . import tables as T
 from .registry import ORACLE, query
 
@@ -28,3 +28,32 @@ _LSN = "((o_orderkey % 16777216) - case when o_orderkey % 16777216 >= 8388608 th
 @query(_without("lsn_decode", "o_orderkey * 1099511627776 + o_custkey as lsn from orders where o_orderkey < 8000000", f"{_LSN} as lsn from orders"))
 def lsn_decode_all(spark, sf):
     return q_scalar._decoded(T.table(spark, sf, "orders"))
+
+
+def _over_all_commits(name: str) -> None:
+    f = getattr(q_log, name)
+    query(_without(name, " where event_id % 3 = 0"), f"{name}_all")(lambda spark, sf: f(spark, sf, T.all_commits))
+
+
+for _name in ("committed_offsets", "committed_default", "consumer_lag", "replay_count"):
+    _over_all_commits(_name)
+
+
+@query(_without("fetch_status_redirect", " where event_id % 10 = 0"))
+def fetch_status_redirect_all(spark, sf):
+    return q_log.fetch_status_redirect(spark, sf, "true")
+
+
+@query(_without("segment_lookup", " where event_id % 7 = 0"))
+def segment_lookup_all(spark, sf):
+    return q_layout.segment_lookup(spark, sf, "true")
+
+
+@query(_without("dense_lookup", " where l.event_id % 13 = 0"))
+def dense_lookup_all(spark, sf):
+    return q_layout.dense_lookup(spark, sf, "true")
+
+
+@query(_without("stream_commit", " where event_id % 3 = 0"))
+def stream_commit_all(spark, sf):
+    return q_stream.stream_commit(spark, sf, "true")

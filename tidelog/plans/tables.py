@@ -47,8 +47,13 @@ def partitions(spark: SparkSession) -> DataFrame:
 
 
 def commits(spark: SparkSession, sf: str) -> DataFrame:
-    """Every third event commits an offset for one of four groups."""
-    r = routed(spark, sf).where("event_id % 3 = 0")
+    """The commits of every third event."""
+    return all_commits(spark, sf).where("commit_order % 3 = 0")
+
+
+def all_commits(spark: SparkSession, sf: str) -> DataFrame:
+    """Every event commits an offset for one of four groups."""
+    r = routed(spark, sf)
     return r.select(F.col("event_id").alias("commit_order"), "topic", F.concat(F.lit("g"), (F.col("user_id") % 4).cast("string")).alias("grp"), "pid", (F.col("event_id") % 1000).alias("off"))
 
 
