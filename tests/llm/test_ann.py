@@ -88,3 +88,15 @@ def test_abandoning_never_changes_scores():
         own = j[i == a]
         assert np.allclose(s[i == a], truth[a, own])
         assert len(set(own) & set(np.argsort(-truth[a])[:5])) >= 4
+
+
+@pytest.mark.parametrize("seeded", [True, False])
+def test_recall_with_a_sample_far_smaller_than_the_table(spark, seeded):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(60, 24))
+    x = centres[rng.integers(0, 60, 4000)] + 0.5 * rng.normal(size=(4000, 24))
+    rows = [(i, [float(e) for e in v]) for i, v in enumerate(x)]
+    ask = lambda i: i % 20 == 0
+    got, want = found(ann.search(table(spark, rows), ask, lists=32, fit_rows=400, seeded=seeded)), brute(rows, ask, 20)
+    hits = sum(len({v for v, _ in got.get(q, [])} & {v for v, _ in want[q]}) for q in want)
+    assert hits / (20 * len(want)) >= 0.9

@@ -113,8 +113,12 @@ def scan(index: Index, qid, q, floor, cid, c, columns: int = COLUMNS, epsilon: f
     return i[keep], j[keep], score[keep]
 
 
-def search(base: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding", top: int = 20, lists: int = 128, recall: float = 0.96) -> DataFrame:
-    """query_id, rank, vec_id, score: for every row of base that is_query selects, its `top` nearest other rows."""
+def search(base: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding", top: int = 20, lists: int = 128, recall: float = 0.96, fit_rows: int = vx.FIT_ROWS, seeded: bool = True) -> DataFrame:
+    """query_id, rank, vec_id, score: for every row of base that is_query selects, its `top` nearest other rows.
+
+    Everything is fitted on at most fit_rows rows. For measuring what the lists find, seeded=False leaves the sample's
+    candidates out of the result.
+    """
     spark = base.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
     x, d, n = vx.valid(base, id_col, vec_col)
@@ -124,7 +128,7 @@ def search(base: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "em
     length = F.aggregate("v", F.lit(0.0), lambda s, e: s + e.cast("double") * e.cast("double"))
     greatest = float(np.sqrt(x.agg(F.max(length)).first()[0])) * (1 + 1e-9)
     n_queries = queries.count()
-    index = spark.sparkContext.broadcast(Index(*vx.sample(x), greatest, lists, top, recall))
+    index = spark.sparkContext.broadcast(Index(*vx.sample(x, fit_rows), greatest, lists, top, recall))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix, held = index.value, vx.Buffers(LIST_ROWS)
@@ -186,7 +190,8 @@ def search(base: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "em
     with wide_rows(spark):
         found = materialize(hits, "hits")
     # thresholds rest on these candidates, so they belong to what was found
-    found = found.unionByName(queries.mapInArrow(seed, "query_id long, vec_id long, score double"))
+    if seeded:
+        found = found.unionByName(queries.mapInArrow(seed, "query_id long, vec_id long, score double"))
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     out = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
