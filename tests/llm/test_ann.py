@@ -100,3 +100,13 @@ def test_recall_with_a_sample_far_smaller_than_the_table(spark, seeded):
     got, want = found(ann.search(table(spark, rows), ask, lists=32, fit_rows=400, seeded=seeded)), brute(rows, ask, 20)
     hits = sum(len({v for v, _ in got.get(q, [])} & {v for v, _ in want[q]}) for q in want)
     assert hits / (20 * len(want)) >= 0.9
+
+
+@pytest.mark.parametrize("seeded", [True, False])
+def test_a_row_repeated_more_often_than_top_hides_no_other(spark, seeded):
+    rng = np.random.default_rng(6)
+    some = [(i, [float(e) for e in rng.normal(size=8)]) for i in range(1, 60)]
+    near = [(1001, [9.0] * 8)] * 30 + [(1003, [8.0] * 8)] * 25
+    ask = lambda i: i % 20 == 0
+    got, want = found(ann.search(table(spark, some + near), ask, lists=1, seeded=seeded)), brute(some + [near[0], near[30]], ask, 20)
+    assert {q: [v for v, _ in own] for q, own in got.items()} == {q: [v for v, _ in own] for q, own in want.items()}

@@ -82,7 +82,10 @@ class Index:
 
 
 def scan(index: Index, qid, q, floor, cid, c, columns: int = COLUMNS, epsilon: float = EPSILON):
-    """(query row, candidate row, score) of the `top` best of a block for every query of a block, thresholds applied."""
+    """(query row, candidate row, score) of the `top` best ids of a block for every query of a block, thresholds applied.
+
+    Of rows that share an id only the best counts, so that repeats leave room for others.
+    """
     d = index.turn.shape[0]
     a, b = index.lift(q, True), index.lift(c)
     near = np.maximum(0, (q * q).sum(1) + index.greatest**2 - 2 * floor)  # squared distance that still counts
@@ -108,6 +111,12 @@ def scan(index: Index, qid, q, floor, cid, c, columns: int = COLUMNS, epsilon: f
     score = np.concatenate([np.einsum("ij,ij->i", q[i[k : k + 65536]], c[j[k : k + 65536]]) for k in range(0, len(i), 65536)] or [np.zeros(0)])
     o = np.lexsort((cid[j], -score, i))
     i, j, score = i[o], j[o], score[o]
+    if len(np.unique(cid)) < len(cid):
+        by = np.lexsort((np.arange(len(i)), cid[j], i))  # best first within a query and id
+        new = np.ones(len(by), bool)
+        new[1:] = (i[by][1:] != i[by][:-1]) | (cid[j[by]][1:] != cid[j[by]][:-1])
+        o = np.sort(by[new])
+        i, j, score = i[o], j[o], score[o]
     rank = np.arange(len(i)) - np.searchsorted(i, i)
     keep = rank < index.top
     return i[keep], j[keep], score[keep]
