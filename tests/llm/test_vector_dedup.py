@@ -65,3 +65,13 @@ def test_pigeonhole_budgets():
     linked = (plan.unit(x) * plan.unit(y)).sum(1) >= 0.9
     within = np.stack([((a[:, s:e] - b[:, s:e]) ** 2).sum(1) <= w for (s, e), w in zip(plan.cols, plan.budget)], axis=1)
     assert linked.any() and within[linked].any(axis=1).all()
+
+
+def test_nodes_of_one_least_id_are_counted_apart(spark):
+    rows = [(5, [1.0, 0.0]), (5, [0.0, 1.0]), (9, [1.0, 0.01])]
+    assert run(spark, rows) == brute(rows) == [(5, 0, 5, True), (5, 1, 5, True), (9, 1, 5, False)]
+    rng = np.random.default_rng(4)
+    seeds = rng.normal(size=(30, 16))
+    rows = [(int(rng.integers(0, 250)), [float(e) for e in (seeds[i % 30] + rng.normal(size=16) * rng.choice([0.05, 0.3])).astype(np.float32)]) for i in range(400)]
+    rows += [(rows[3][0], rows[7][1]), (-4, rows[8][1]), (-4, rows[9][1])]
+    assert run(spark, rows) == brute(rows)

@@ -110,7 +110,10 @@ def _stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def links(x: DataFrame, d: int, n: int, cosine: float) -> DataFrame:
-    """(id, to, links) partial rows: summed weights of linked nodes and an edge, for nodes (id, v, weight)."""
+    """(id, to, links) partial rows: summed weights of linked nodes and an edge, for nodes (key, id, v, weight).
+
+    What is called id here and in the result is the key, which no two nodes share.
+    """
     spark = x.sparkSession
     plan = spark.sparkContext.broadcast(Plan(vx.sample(x.select("id", "v"))[1], cosine))
 
@@ -165,7 +168,7 @@ def links(x: DataFrame, d: int, n: int, cosine: float) -> DataFrame:
                 np.add.at(total, np.searchsorted(ids, v), one[1][i])
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(root), pa.array(total)], ["id", "to", "links"])
 
-    blocks = x.select("id", "v", "weight").coalesce(max(8, n // 65536)).mapInArrow(spread, "cell int, guest boolean, name long, ids binary, w binary, v binary")
+    blocks = x.select(F.col("key").alias("id"), "v", "weight").coalesce(max(8, n // 65536)).mapInArrow(spread, "cell int, guest boolean, name long, ids binary, w binary, v binary")
     blocks = materialize(blocks, "cells")
     home = blocks.where("not guest").select("cell", F.col("name").alias("hn"), F.col("ids").alias("hi"), F.col("w").alias("hw"), F.col("v").alias("hv"))
     both = home.join(blocks, "cell").where("guest or hn <= name")
@@ -179,16 +182,21 @@ def classes(df: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vec_col:
     every = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<float>").alias("v"))
     if not n:
         return every.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    # equal vectors are one node; its id is the least, and ids are made unique by a hash-free rank of the vector itself
+    # equal vectors are one node; its id is the least, and its key too unless another node has the same
     nodes = x.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("weight"))
     nodes = materialize(nodes, "nodes")
+    unique = nodes.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    nodes = nodes.withColumn("key", F.col("id")) if unique else materialize(nodes.withColumn("key", F.monotonically_increasing_id()), "nodes")
     matched = links(nodes, d, n, cosine)
     with wide_rows(df.sparkSession):
         found = materialize(matched, "found")
     part = components(found.select(F.col("id").alias("u"), F.col("to").alias("v")).unionByName(_twice(x, nodes)))
     part = materialize(part, "parts")
-    sums = found.groupBy("id").agg(F.sum("links").alias("links"))
-    known = nodes.join(sums, "id", "left").join(part, nodes.id == part.node, "left").select(
+    if not unique:  # components are named by keys
+        least = part.join(nodes.select(F.col("key").alias("node"), "id"), "node").groupBy("component").agg(F.min("id").alias("id"))
+        part = part.join(least, "component").select("node", F.col("id").alias("component"))
+    sums = found.groupBy(F.col("id").alias("key")).agg(F.sum("links").alias("links"))
+    known = nodes.join(sums, "key", "left").join(part.withColumnRenamed("node", "key"), "key", "left").select(
         "v", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     keyed = every.withColumn("usable", F.col("vec_id").isNotNull())
     out = keyed.join(known.withColumn("yes", F.lit(True)), ["v"], "left")
@@ -200,4 +208,6 @@ def classes(df: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vec_col:
 def _twice(x: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges that unite rows of one id with different vectors."""
     repeated = x.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("own"))
-    return x.withColumnRenamed("id", "own").join(repeated, "own").join(nodes.select("v", "id"), "v").select(F.col("own").alias("u"), F.col("id").alias("v"))
+    held = x.withColumnRenamed("id", "own").join(repeated, "own").join(nodes.select("v", "key"), "v").select("own", "key").distinct()
+    least = held.groupBy("own").agg(F.min("key").alias("least"))
+    return held.join(least, "own").select(F.col("key").alias("u"), F.col("least").alias("v"))
