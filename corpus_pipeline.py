@@ -28,13 +28,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the least id of every class of five-word shingle similarity 0.8; a repeated row is kept once."""
+    """Keeps the least id of every class of five-word shingle similarity 0.8; a row of equal id and text is kept once.
+
+    Rows of one id are one document, with all their texts: it stays or goes whole.
+    """
     gone = minhash.classes(docs, k=5, percent=80).where("not kept").select("doc_id").distinct()
     kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
     repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     if repeated.isEmpty():
         return kept
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
     return kept.join(repeated, "doc_id", "left_anti").select(*COLUMNS).unionByName(once)
 
 
@@ -93,7 +96,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: A learned classifier and the packing plan are not expressible in SQL; tests/llm compares with brute force.
+#: A learned classifier and the packing plan are not expressible in SQL; tests/llm/test_pipeline.py tests the stages.
 ORACLE_SQL = None
 
 
