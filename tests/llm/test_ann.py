@@ -110,3 +110,27 @@ def test_a_row_repeated_more_often_than_top_hides_no_other(spark, seeded):
     ask = lambda i: i % 20 == 0
     got, want = found(ann.search(table(spark, some + near), ask, lists=1, seeded=seeded)), brute(some + [near[0], near[30]], ask, 20)
     assert {q: [v for v, _ in own] for q, own in got.items()} == {q: [v for v, _ in own] for q, own in want.items()}
+
+
+def test_recall_of_the_scan_alone(spark, rows, monkeypatch):
+    """Few seed rows, none of them in the result: what is found comes from lists."""
+    monkeypatch.setattr(ann, "SEED_ROWS", 64)
+    monkeypatch.setattr(ann, "LIST_BLOCKS", 1)
+    monkeypatch.setattr(ann, "LIST_ROWS", 16)
+    got, want = found(ann.search(table(spark, rows), lambda i: i % 20 == 0, fit_rows=300, seeded=False)), brute(rows, lambda i: i % 20 == 0, 20)
+    assert sum(len({v for v, _ in got.get(q, [])} & {v for v, _ in want[q]}) for q in want) / (20 * len(want)) >= 0.9
+
+
+def test_exact_abandons_nothing(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SEED_ROWS", 50)
+    x = np.random.default_rng(12).normal(size=(1500, 40))
+    rows = [(i, [float(e) for e in v]) for i, v in enumerate(x)]
+    got, want = found(ann.exact(table(spark, rows), lambda i: i % 20 == 0)), brute(rows, lambda i: i % 20 == 0, 20)
+    assert {q: [v for v, _ in own] for q, own in got.items()} == {q: [v for v, _ in own] for q, own in want.items()}
+
+
+def test_doubles_are_scored_as_they_are(spark):
+    """Differences beyond single precision decide."""
+    rows = [(20, [1.0, 0.0]), (1, [1.0 + 1e-12, 5.0]), (2, [1.0 + 2e-12, 7.0]), (3, [1.0, 9.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert found(ann.search(df, lambda i: i % 20 == 0)) == {20: [(2, 1.0 + 2e-12), (1, 1.0 + 1e-12), (3, 1.0)]}

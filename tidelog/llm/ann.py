@@ -2,12 +2,13 @@
 
 Largest inner product becomes least distance by one more dimension that gives all vectors one length. Vectors are then
 rotated at random, so that any leading columns are a fair sample of a distance. Lists are the cells of k-means centres
-fitted on a bounded sample; each is stored as blocks of rows, scanned in blocks of columns. After each column block a
-candidate is abandoned if its partial distance, scaled up, exceeds the query's threshold by more than the hypothesis
-test allows. A query's threshold starts as its `top`-th best inner product within the sample, which are true
-candidates, and survivors are scored exactly, in double precision, on the original vectors.
+fitted on a bounded sample, more of them for more rows; each is stored as blocks of rows, scanned in blocks of columns.
+After each column block a candidate is abandoned if its partial distance, scaled up, exceeds the query's threshold by
+more than the hypothesis test allows. A query's threshold starts as its `top`-th best inner product within SEED_ROWS rows
+of the sample, which are true candidates, and survivors are scored exactly, in double precision, on the original vectors.
 
 How many lists are probed is found on the sample: the least number that reaches `recall` there. Every row is indexed.
+A list of many blocks is dealt to several tasks, and its queries go to all of them.
 
 Edge cases: unusable vectors (see vectors.valid) are neither queries nor candidates; rows that share an id act as one
 vector with several positions and are never their own neighbours; ties go to the smaller id; a query with fewer
@@ -24,23 +25,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import vectors as vx
-from .base import materialize, wide_rows
+from .base import materialize, small_batches, wide_rows
 
 COLUMNS = 16
 EPSILON = 2.1
 LIST_ROWS, QUERY_ROWS = 2048, 2048
+#: Rows of the sample whose exact scores give thresholds.
+SEED_ROWS = 1024
+#: Blocks of a list that meet in one task.
+LIST_BLOCKS = 32
 
 
 class Index:
     """Rotation, centres and probes; a few MB whatever the input."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, greatest: float, lists: int, top: int, recall: float):
+    def __init__(self, ids: np.ndarray, x: np.ndarray, greatest: float, lists: int, top: int, recall: float, probes: int | None = None):
         d = x.shape[1]
         self.greatest, self.turn = greatest, vx.rotation(d + 1)
-        self.ids, self.x, self.top = ids, x, top
+        self.top = top
         y = self.lift(x)
         self.centres = vx.pivots(y, lists)
-        self.probes = self.calibrate(y, recall)
+        self.probes = probes or self.calibrate(x, y, recall)
+        uniq, first = np.unique(ids[:SEED_ROWS], return_index=True)
+        self.ids, self.x = uniq, x[first]
 
     def lift(self, x: np.ndarray, query: bool = False) -> np.ndarray:
         more = np.zeros(len(x)) if query else np.sqrt(np.maximum(0, self.greatest**2 - (x * x).sum(1)))
@@ -50,12 +57,12 @@ class Index:
         """Lists by distance of their centres, nearest first."""
         return np.argsort(vx.sq_distances(self.lift(q, True), self.centres), axis=1, kind="stable")
 
-    def calibrate(self, y: np.ndarray, recall: float, queries: int = 256) -> int:
-        q = self.x[:queries]
-        if len(self.x) <= self.top + 1:
+    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float, queries: int = 256) -> int:
+        q = x[:queries]
+        if len(x) <= self.top + 1:
             return len(self.centres)
         own = vx.sq_distances(y, self.centres).argmin(1)
-        score = q @ self.x.T
+        score = q @ x.T
         score[np.arange(len(q)), np.arange(len(q))] = -np.inf
         best = np.argpartition(-score, self.top, axis=1)[:, : self.top]
         order = self.ranked(q)
@@ -65,15 +72,14 @@ class Index:
         return int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)]) + 1
 
     def seeds(self, ids: np.ndarray, q: np.ndarray):
-        """For each query the ids and exact scores of its `top` best in the sample; -inf where there are fewer."""
-        uniq, first = np.unique(self.ids, return_index=True)
-        s = q @ self.x[first].T
-        s[ids[:, None] == uniq[None, :]] = -np.inf
+        """For each query the ids and exact scores of its `top` best seed rows; -inf where there are fewer."""
+        s = q @ self.x.T
+        s[ids[:, None] == self.ids[None, :]] = -np.inf
         if s.shape[1] > self.top:
             best = np.argpartition(-s, self.top - 1, axis=1)[:, : self.top]
         else:
             best = np.broadcast_to(np.arange(s.shape[1]), s.shape)
-        return uniq[best], np.take_along_axis(s, best, axis=1)
+        return self.ids[best], np.take_along_axis(s, best, axis=1)
 
     def floor(self, ids: np.ndarray, q: np.ndarray) -> np.ndarray:
         """For each query an inner product that `top` candidates reach, which seeds() names."""
@@ -96,16 +102,18 @@ def scan(index: Index, qid, q, floor, cid, c, columns: int = COLUMNS, epsilon: f
     for at in range(0, d, columns):
         end = min(d, at + columns)
         x, y = a[:, at:end], b[:, at:end]
-        slack = (1 + (epsilon / np.sqrt(end) if end < d else 1e-9)) ** 2 * end / d
+        bound = near * (1 + (epsilon / np.sqrt(end) if end < d else 1e-9)) ** 2 * end / d + 1e-12 * index.greatest**2
+        if end < d and not np.isfinite(epsilon):  # nothing is abandoned before its whole distance is known
+            bound = np.full(len(q), np.inf)
         if pairs is None:
             dense += (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T
-            alive &= dense <= (near * slack + 1e-12)[:, None]
+            alive &= dense <= bound[:, None]
             if np.count_nonzero(alive) * 4 < alive.size:
                 pairs = np.nonzero(alive)
                 part = dense[pairs]
         else:
             part = part + ((x[pairs[0]] - y[pairs[1]]) ** 2).sum(1)
-            keep = part <= near[pairs[0]] * slack + 1e-12
+            keep = part <= bound[pairs[0]]
             pairs, part = (pairs[0][keep], pairs[1][keep]), part[keep]
     i, j = np.nonzero(alive) if pairs is None else pairs
     score = np.concatenate([np.einsum("ij,ij->i", q[i[k : k + 65536]], c[j[k : k + 65536]]) for k in range(0, len(i), 65536)] or [np.zeros(0)])
@@ -122,21 +130,25 @@ def scan(index: Index, qid, q, floor, cid, c, columns: int = COLUMNS, epsilon: f
     return i[keep], j[keep], score[keep]
 
 
-def search(base: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding", top: int = 20, lists: int = 128, recall: float = 0.96, fit_rows: int = vx.FIT_ROWS, seeded: bool = True) -> DataFrame:
+def search(base: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding", top: int = 20, lists: int | None = None, recall: float = 0.96, fit_rows: int = vx.FIT_ROWS, seeded: bool = True, epsilon: float = EPSILON) -> DataFrame:
     """query_id, rank, vec_id, score: for every row of base that is_query selects, its `top` nearest other rows.
 
-    Everything is fitted on at most fit_rows rows. For measuring what the lists find, seeded=False leaves the sample's
-    candidates out of the result.
+    Everything is fitted on at most fit_rows rows. Lists grow as the square root of the rows, to one for 16 rows of the
+    sample. The seed rows that gave thresholds belong to what was found; for measuring what the lists find alone,
+    seeded=False leaves them out of the result.
     """
     spark = base.sparkSession
+    small_batches(spark)
     schema = "query_id long, rank int, vec_id long, score double"
     x, d, n = vx.valid(base, id_col, vec_col)
     if not n:
         return spark.createDataFrame([], schema)
+    real = vx.number(x)
     queries = x.where(is_query(F.col("id")))
     length = F.aggregate("v", F.lit(0.0), lambda s, e: s + e.cast("double") * e.cast("double"))
     greatest = float(np.sqrt(x.agg(F.max(length)).first()[0])) * (1 + 1e-9)
     n_queries = queries.count()
+    lists = lists or int(min(max(1, fit_rows // 16), max(16, np.sqrt(n) / 2)))
     index = spark.sparkContext.broadcast(Index(*vx.sample(x, fit_rows), greatest, lists, top, recall))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +157,7 @@ def search(base: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "em
             ids, v = b.column(0).to_numpy(), vx.matrix(b.column(1), b.num_rows)
             own = vx.sq_distances(ix.lift(v), ix.centres).argmin(1)
             for k in np.unique(own).tolist():
-                for block in held.add(k, ids[own == k], v[own == k].astype(np.float32)):
+                for block in held.add(k, ids[own == k], v[own == k].astype(real)):
                     yield row(*block)
         for block in held.rest():
             yield row(*block)
@@ -163,7 +175,7 @@ def search(base: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "em
                 to = ix.ranked(v)[:, : ix.probes]
                 for k in np.unique(to).tolist():
                     m = (to == k).any(1)
-                    for block in held.add(k, ids[m], v[m].astype(np.float32), floor[m]):
+                    for block in held.add(k, ids[m], v[m].astype(real), floor[m]):
                         yield row(*block)
         for block in held.rest():
             yield row(*block)
@@ -184,20 +196,21 @@ def search(base: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "em
         for b in batches:
             for qi, qv, fl, ci, cv in zip(*(b.column(k) for k in range(5))):
                 ints = lambda x: np.frombuffer(x.as_py(), np.int64)
-                mat = lambda x: np.frombuffer(x.as_py(), np.float32).reshape(-1, d).astype(np.float64)
+                mat = lambda x: np.frombuffer(x.as_py(), real).reshape(-1, d).astype(np.float64)
                 qid, cid = ints(qi), ints(ci)
-                i, j, s = scan(ix, qid, mat(qv), np.frombuffer(fl.as_py(), np.float64), cid, mat(cv))
+                i, j, s = scan(ix, qid, mat(qv), np.frombuffer(fl.as_py(), np.float64), cid, mat(cv), epsilon=epsilon)
                 yield pa.RecordBatch.from_arrays([pa.array(qid[i]), pa.array(cid[j]), pa.array(s)], ["query_id", "vec_id", "score"])
 
     # fewer, larger tasks make fuller blocks; no rows move
     blocks = x.coalesce(max(8, n // 65536)).mapInArrow(assign, "list int, ids binary, v binary")
     asks = queries.repartition(max(1, n_queries // QUERY_ROWS)).mapInArrow(probe, "list int, ids binary, v binary, floor binary")
-    blocks = materialize(blocks, "lists")
-    asks = asks.select("list", F.col("ids").alias("qids"), F.col("v").alias("qv"), "floor")
-    both = asks.join(blocks, "list").select("qids", "qv", "floor", "ids", "v")
-    hits = both.mapInArrow(compare, "query_id long, vec_id long, score double")
+    blocks = materialize(blocks, "lists", wide=True)
+    parts = F.broadcast(blocks.groupBy("list").agg(F.ceil(F.count("*") / LIST_BLOCKS).cast("int").alias("parts")))  # a row for a list
+    asks = asks.join(parts, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("ids").alias("qids"), F.col("v").alias("qv"), "floor")
+    dealt = blocks.join(parts, "list").withColumn("part", F.pmod(F.xxhash64("ids"), "parts").cast("int"))
+    both = asks.join(dealt, ["list", "part"]).select("qids", "qv", "floor", "ids", "v")
     with wide_rows(spark):
-        found = materialize(hits, "hits")
+        found = materialize(both.mapInArrow(compare, "query_id long, vec_id long, score double"), "hits")
     # thresholds rest on these candidates, so they belong to what was found
     if seeded:
         found = found.unionByName(queries.mapInArrow(seed, "query_id long, vec_id long, score double"))
@@ -209,4 +222,4 @@ def search(base: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "em
 
 def exact(base: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding", top: int = 20) -> DataFrame:
     """The same by probing every list without abandoning: for measuring recall."""
-    return search(base, is_query, id_col, vec_col, top, lists=1)
+    return search(base, is_query, id_col, vec_col, top, lists=1, epsilon=np.inf)

@@ -11,16 +11,44 @@ import contextlib
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a numpy kernel handles at once; longer single documents are handled whole, alone.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
+#: Bytes that reach a Python worker at once (one longer row comes alone).
+BATCH_BYTES = 1 << 23
 
 _made: list[tuple] = []
 
 
+def small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
+    """From now on the session hands at most `size` bytes at once to Python workers: rows hold texts or blocks here."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(key).rstrip("b")) <= size:
+        spark.conf.set(key, str(size))
+
+
+@contextlib.contextmanager
+def wide_rows(spark: SparkSession, rows: int = 32):
+    """While it lasts, the Parquet reader takes `rows` rows at once: for tables whose rows hold whole blocks."""
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def stable(df: DataFrame, name: str) -> DataFrame:
+    """df, stored first if its plan moves rows: what is read twice then has the same rows in the same order."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return materialize(df, name) if any(x in plan for x in ("Exchange", "Limit", "Sample")) else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; a temporary one only where that is unset on a local master."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -42,47 +70,38 @@ def _sweep() -> None:
             pass
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
+def materialize(df: DataFrame, name: str, wide: bool = False) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors.
+
+    wide: rows hold whole blocks, so row groups are made smaller.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidelog/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    out = df.write.option("parquet.block.size", 16 << 20).option("parquet.enable.dictionary", "false") if wide else df.write
+    out.parquet(path)
     if not _made:
         atexit.register(_sweep)
     _made.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-@contextlib.contextmanager
-def wide_rows(spark: SparkSession, rows: int = 32):
-    """While it lasts, tables that are materialized reach Python workers in batches of at most `rows` rows.
-
-    For rows that each hold a block of vectors: batches of the usual number of rows would not fit a worker.
-    """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 def forget(df: DataFrame) -> None:
     """Delete the files of a materialized table that no later step reads."""
     spark = df.sparkSession
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]}:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
+        if "/tidelog/" in path:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected edges (u, v): one row (node, component), component the least node.
 
-    Alternates large-star and small-star steps until the edges are stars around the least nodes. Each step is a
-    map-side-combined minimum and a join that adaptive execution may split, so hub nodes do not gather in a task.
-    Self-loops keep isolated nodes; nulls and repeated edges are dropped. An empty input gives an empty result.
+    Alternates large-star and small-star steps until the edges are stars around the least nodes, however many rounds
+    that takes. Each step is a map-side-combined minimum and a join that adaptive execution may split, so hub nodes do
+    not gather in a task. Self-loops keep isolated nodes; nulls and repeated edges are dropped. An empty input gives an
+    empty result.
     """
 
     def tidy(e: DataFrame) -> DataFrame:
@@ -103,22 +122,39 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     def mark(e: DataFrame):
         return tuple(e.agg(F.count("*"), F.sum(F.expr("cast(xxhash64(u, v) as decimal(38,0))"))).first())
 
-    now = materialize(tidy(edges), "edges")
+    first = now = materialize(tidy(edges), "edges")
     seen = None
-    for _ in range(max_rounds):
+    while True:
         nxt = materialize(tidy(small(large(now).where("u <> v"))), "edges")
-        if (m := mark(nxt)) == seen:
+        m = mark(nxt)
+        if now is not first:
+            forget(now)
+        now = nxt
+        if m == seen:
             break
-        now, seen = nxt, m
-    loops = tidy(edges).select(F.col("u").alias("node")).unionByName(tidy(edges).select(F.col("v").alias("node"))).distinct()
+        seen = m
+    loops = first.select(F.col("u").alias("node")).unionByName(first.select(F.col("v").alias("node"))).distinct()
     star = now.where("u <> v").groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
     return loops.join(star, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
+def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(id, least id of its component) of the pairs u, v of one task."""
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    least = np.arange(len(ids))
+    while True:
+        before = least.copy()
+        low = np.minimum(least[a], least[b])
+        np.minimum.at(least, a, low)
+        np.minimum.at(least, b, low)
+        least = least[least]
+        if (least == before).all():
+            return ids, ids[least]
+
+
 def slices(arr: pa.Array | pa.ChunkedArray):
     """(start row, UTF-8 bytes as uint8, int64 offsets from 0) of successive slices of a string column; null is empty."""
-    import numpy as np
-
     if isinstance(arr, pa.ChunkedArray):
         arr = arr.combine_chunks() if arr.num_chunks != 1 else arr.chunk(0)
     arr = arr.cast(pa.large_binary())

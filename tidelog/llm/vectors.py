@@ -10,14 +10,24 @@ from pyspark.sql import functions as F
 FIT_ROWS = 16_000
 
 
+def kind(df: DataFrame, vec_col: str) -> str:
+    """The type in which vectors are held and sent: that of the column, if it is an array of doubles or floats."""
+    return "array<double>" if df.schema[vec_col].dataType.simpleString() == "array<double>" else "array<float>"
+
+
+def number(x: DataFrame, vec_col: str = "v"):
+    """The numpy type of a vector column's components."""
+    return np.float64 if kind(x, vec_col) == "array<double>" else np.float32
+
+
 def valid(df: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, int, int]:
-    """(id, v array<float>) of usable vectors, their dimension and number.
+    """(id, v) of usable vectors, their dimension and number; v is array<double> where the column is, else array<float>.
 
     Null, empty and zero vectors, vectors with null or non-finite components, and null ids are left out; where lengths
     differ, the most frequent (of equals the greatest) is the dimension and the others are left out.
     """
-    x = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("v"))
-    fine = lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) <= 3.4028234e38)
+    x = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast(kind(df, vec_col)).alias("v"))
+    fine = lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))
     x = x.where(F.col("id").isNotNull() & F.col("v").isNotNull() & F.forall("v", fine) & F.exists("v", lambda e: e != 0))
     dims = x.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
     if dims is None:
@@ -33,7 +43,7 @@ def sample(x: DataFrame, rows: int = FIT_ROWS, salt: str = "fit") -> tuple[np.nd
 
 
 def matrix(col, n: int) -> np.ndarray:
-    """A list<float> column of equal lengths as float64 rows."""
+    """A list column of equal lengths as float64 rows."""
     if hasattr(col, "combine_chunks"):
         col = col.combine_chunks()
     if not n:
