@@ -54,7 +54,7 @@ def test_repeated_null_and_empty(spark):
     rows = [(1, "token=abcdefgh"), (1, "token=abcdefgh"), (None, "token=abcdefgh"), (None, None)]
     found, ledger = ss.scan_versions(spark.createDataFrame(rows, "path long, text string"))
     assert found.count() == 4 and found.where("size(found) = 1").count() == 3
-    assert ledger.count() == 2
+    assert ledger.count() == 2 * len(ss.RULES)
     found, ledger = ss.scan_versions(spark.createDataFrame([], "path long, text string"))
     assert found.count() == 0 and ledger.count() == 0
 
@@ -65,12 +65,37 @@ def test_ledger_scans_only_unseen_pairs(spark):
     found, fresh = ss.scan_versions(frame(spark, TEXTS, 100), first)
     blobs = {hashlib.sha256((t or "").encode()).hexdigest() for t in TEXTS}
     seen = {r["blob"] for r in first.collect()}
-    assert {r["blob"] for r in fresh.collect()} == blobs - seen
+    pairs = lambda x: sorted((r["blob"], r["kind"]) for r in x.collect())
+    assert pairs(fresh) == sorted((b, r.kind) for b in blobs - seen for r in ss.RULES)
     got = {r["doc_id"] - 100: r["spans"] for r in ss.digest(found).collect()}
     assert got == {i: brute(t)[0] for i, t in enumerate(TEXTS)}
-    # a changed rule makes every blob unseen
-    changed = (replace(ss.RULES[0], version=2), *ss.RULES[1:])
-    assert ss.scan_versions(frame(spark, TEXTS), first, changed)[1].count() == len(blobs)
+    # a changed rule makes every blob unseen for that rule, and for no other
+    changed = (ss.RULES[0], replace(ss.RULES[1], revision=2), ss.RULES[2])
+    again = spark.createDataFrame(first.unionByName(fresh).unionByName(fresh).collect(), first.schema)
+    found, new = ss.scan_versions(frame(spark, TEXTS), again, changed)
+    assert pairs(new) == sorted((b, "access") for b in blobs)
+    assert {r["doc_id"]: r["spans"] for r in ss.digest(found).collect()} == {i: brute(t)[0] for i, t in enumerate(TEXTS)}
+    # rules in another order find the same under their names
+    found, new = ss.scan_versions(frame(spark, TEXTS), again, ss.RULES[::-1])
+    assert new.count() == 0
+    got = {r["doc_id"]: (r["n_hex"], r["n_assign"]) for r in ss.digest(found, ss.RULES[::-1]).collect()}
+    assert got == {i: (brute(t)[1][2], brute(t)[1][0]) for i, t in enumerate(TEXTS)}
+
+
+def test_increments_scan_a_blob_once(spark):
+    one, two = frame(spark, TEXTS[:12]), frame(spark, TEXTS + TEXTS[:3], 100)
+    found, ledger = ss.scan_increments([one, two, frame(spark, [], 500)])
+    assert ledger.count() == len(ss.RULES) * len({t or "" for t in TEXTS})
+    got = {r["doc_id"]: r["spans"] for r in ss.digest(found).collect()}
+    assert got == {i: brute(t)[0] for i, t in enumerate(TEXTS[:12])} | {100 + i: brute(t)[0] for i, t in enumerate(TEXTS + TEXTS[:3])}
+
+
+def test_very_many_matches_in_a_text(spark):
+    text = "token=abcdefgh1 é" * 20_000
+    found, _ = ss.scan_versions(frame(spark, [text, "token=abcdefgh"]))
+    rows = {r["path"]: r["found"] for r in found.collect()}
+    assert len(rows[0]) == 20_000 and rows[0][-1]["start"] == 17 * 19_999 and rows[0][-1]["end"] == 17 * 19_999 + 15
+    assert len(rows[1]) == 1
 
 
 def test_redact(spark):
