@@ -1,12 +1,15 @@
 """Merkle fixity audit of archived web records.
 
 A page is written as one WARC response record; the pages of FILE_PAGES successive ids form an archive file, in which
-records lie in the order of their ids at offsets that a running sum gives. A record's hash is a leaf; FANOUT successive
-keys form a range, whose node hashes its children's keys and hashes in order, and so on up to one root. Two replicas are
-compared from the root: only the children of nodes that differ are looked at on the next level, down to the records.
+records lie in the order of their ids at offsets that a running sum gives. A record's hash is a leaf. The records that
+start in RANGE_BYTES successive bytes of a file form an offset range, whose node hashes their offsets, ids and hashes in
+order; a file's node hashes its ranges in order; FANOUT successive files form a node, and so on up to one root. Two
+replicas are compared from the root: only the children of nodes that differ are looked at on the next level, down to the
+records of differing ranges. Where a record's size changed, the ranges behind it in its file differ too, as offsets
+moved; records that are the same there are told by their hashes and not reported.
 
-Every level is one aggregation, whose groups are key ranges of at most FANOUT children, so levels stay balanced
-whatever the hosts or sizes of the pages; both replicas go through the same aggregation, so comparing needs no join.
+Every level is one aggregation of bounded groups, so levels stay balanced whatever the hosts or sizes of the pages; both
+replicas go through the same aggregation, so comparing needs no join.
 
 Edge cases: null urls and bodies are empty; pages without an id are left out of trees (nothing names them); pages that
 share an id are one leaf over the multiset of their records, told by their number, least, greatest and a sum of their
@@ -15,14 +18,14 @@ hashes, with the offset of the first; an empty replica differs in every leaf of
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import materialize
 
-FILE_PAGES, FANOUT = 256, 64
+#: Powers of two: 256 pages a file, 64 KiB a range, 64 children a node.
+FILE_BITS, RANGE_BITS, FANOUT_BITS = 8, 16, 6
+FILE_PAGES, RANGE_BYTES, FANOUT = 1 << FILE_BITS, 1 << RANGE_BITS, 1 << FANOUT_BITS
 
 
 def record(url: Column, html: Column) -> Column:
@@ -39,37 +42,52 @@ def leaves(pages: DataFrame) -> DataFrame:
     number = F.conv(F.substring("h", 1, 15), 16, 10).cast("decimal(38,0)")
     leaf = one.groupBy("key").agg(F.sum("size").alias("size"), F.count("*").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi"), F.sum(number).alias("s"))
     leaf = leaf.select("key", "size", F.when(F.col("n") == 1, F.col("lo")).otherwise(F.sha2(F.concat_ws(":", "n", "lo", "hi", "s"), 256)).alias("hash"))
-    file = F.floor(F.col("key") / FILE_PAGES)
+    file = F.shiftright("key", FILE_BITS)  # rounds down, for ids below 0 and above 2**53 too
     before = Window.partitionBy("file").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
     return leaf.withColumn("file", file).select("key", "file", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("at"), "size", "hash")
 
 
+def _node(kids: Column, side: str) -> Column:
+    """The hash of a node in one replica: of its children's names and hashes, in order; null where it has none."""
+    own = F.filter(kids, lambda k: k[side].isNotNull())
+    return F.when(F.size(own) > 0, F.sha2(F.array_join(F.transform(own, lambda k: F.concat_ws("=", k["name"], k[side])), ";"), 256))
+
+
+def _level(below: DataFrame, *key: Column) -> DataFrame:
+    """Nodes over the rows (..., name, ha, hb) of the level below, grouped by key."""
+    grouped = below.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("name", "ha", "hb"))).alias("kids"))
+    return grouped.withColumns({"ha": _node(F.col("kids"), "ha"), "hb": _node(F.col("kids"), "hb")}).drop("kids")
+
+
 def audit(one: DataFrame, two: DataFrame) -> DataFrame:
-    """file, key, status (changed, missing, extra), at and size in either replica, of records that differ."""
-    side = lambda x, k: leaves(x).select("key", F.struct("file", "at", "size", "hash").alias(k))
-    both = side(one, "a").withColumn("b", F.lit(None).cast("struct<file:bigint,at:bigint,size:bigint,hash:string>"))
-    both = both.unionByName(side(two, "b").withColumn("a", F.lit(None).cast("struct<file:bigint,at:bigint,size:bigint,hash:string>")))
-    base = materialize(both.groupBy("key").agg(F.max("a").alias("a"), F.max("b").alias("b")), "leaves")
-    span = base.agg(F.min("key"), F.max("key")).first()
-    level = base.select("key", F.col("a.hash").alias("ha"), F.col("b.hash").alias("hb"))
-    levels = [level]
-    if span[0] is not None:
-        # enough levels for one root over all keys, whatever their sign
-        width = max(abs(span[0]), abs(span[1])) + 1
-        for _ in range(max(1, math.ceil(math.log(width, FANOUT) + 1e-9))):
-            kids = F.array_sort(F.collect_list(F.struct("key", "ha", "hb")))
-            grouped = levels[-1].groupBy(F.floor(F.col("key") / FANOUT).alias("key")).agg(kids.alias("kids"))
-            node = lambda h: F.when(F.exists("kids", lambda k: k[h].isNotNull()), F.sha2(F.array_join(F.transform("kids", lambda k: F.concat_ws("=", k["key"], k[h])), ";"), 256))
-            levels.append(materialize(grouped.select("key", node("ha").alias("ha"), node("hb").alias("hb")), "nodes"))
+    """file_id, page_id, status (changed, missing, extra), at and size in either replica, of records that differ."""
+    side = lambda x, k: leaves(x).withColumn("side", F.lit(k))
+    base = materialize(side(one, "a").unionByName(side(two, "b")).withColumn("range", F.shiftright("at", RANGE_BITS)), "leaves")
+    span = base.agg(F.min("file"), F.max("file")).first()
+    # offsets are written with leading zeros, so that names sort as they do
+    name = F.concat_ws(":", F.format_string("%020d", "at"), "key", "size")
+    of = lambda k: F.when(F.col("side") == k, F.col("hash"))
+    ranges = materialize(_level(base.select("file", "range", name.alias("name"), of("a").alias("ha"), of("b").alias("hb")), F.col("file"), F.col("range")), "ranges")
+    files = _level(ranges.select("file", F.col("range").alias("name"), "ha", "hb"), F.col("file"))
+    levels = [materialize(files.select((F.col("file") - F.lit(span[0])).alias("name"), "ha", "hb"), "nodes")]
+    width = 0 if span[0] is None else span[1] - span[0]
+    while width:  # up to one root, whatever the sign of the ids
+        width >>= FANOUT_BITS
+        levels.append(materialize(_level(levels[-1].withColumn("up", F.shiftright("name", FANOUT_BITS)), F.col("up")).withColumnRenamed("up", "name"), "nodes"))
     differ = ~F.col("ha").eqNullSafe(F.col("hb"))
     # descend: the nodes to look at on a level are the children of those that differ above
-    above = levels[-1].where(differ).select(F.col("key").alias("up"))
+    above = levels[-1].where(differ).select(F.col("name").alias("up"))
     for nodes in reversed(levels[:-1]):
-        looked = nodes.join(above, F.floor(nodes["key"] / FANOUT) == F.col("up"), "left_semi")
-        above = looked.where(differ).select(F.col("key").alias("up"))
-    found = base.join(above.select(F.col("up").alias("key")), "key", "left_semi")
+        looked = nodes.join(above, F.shiftright(nodes["name"], FANOUT_BITS) == F.col("up"), "left_semi")
+        above = looked.where(differ).select(F.col("name").alias("up"))
+    bad = above.select((F.col("up") + F.lit(span[0])).alias("file"))
+    bad = ranges.join(bad, "file", "left_semi").where(differ).select("file", "range")
+    seen = base.join(bad, ["file", "range"], "left_semi")
+    rec = F.struct("at", "size", "hash")
+    both = seen.groupBy("file", "key").agg(F.max(F.when(F.col("side") == "a", rec)).alias("a"), F.max(F.when(F.col("side") == "b", rec)).alias("b"))
+    found = both.where(~F.col("a.hash").eqNullSafe(F.col("b.hash")))
     status = F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "extra").otherwise("changed")
-    return found.select(F.coalesce("a.file", "b.file").alias("file_id"), F.col("key").alias("page_id"), status.alias("status"), F.col("a.at").alias("at_a"), F.col("a.size").alias("size_a"), F.col("b.at").alias("at_b"), F.col("b.size").alias("size_b"))
+    return found.select(F.col("file").alias("file_id"), F.col("key").alias("page_id"), status.alias("status"), F.col("a.at").alias("at_a"), F.col("a.size").alias("size_a"), F.col("b.at").alias("at_b"), F.col("b.size").alias("size_b"))
 
 
 def damaged(pages: DataFrame) -> DataFrame:
