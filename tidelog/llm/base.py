@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import contextvars
+import functools
 import tempfile
 import uuid
 
@@ -22,6 +24,8 @@ SLICE_BYTES = 1 << 19
 BATCH_BYTES = 1 << 23
 
 _made: list[tuple] = []
+#: Paths that the innermost function wrapped by stored() has made so far.
+_scope: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scope", default=None)
 
 
 def small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
@@ -79,24 +83,62 @@ def materialize(df: DataFrame, name: str, wide: bool = False) -> DataFrame:
     path = f"{shared_dir(spark)}/tidelog/{name}-{uuid.uuid4().hex}"
     out = df.write.option("parquet.block.size", 16 << 20).option("parquet.enable.dictionary", "false") if wide else df.write
     out.parquet(path)
+    if (scope := _scope.get()) is not None:
+        scope.append(path)
     if not _made:
         atexit.register(_sweep)
     _made.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(df: DataFrame) -> None:
-    """Delete the files of a materialized table that no later step reads."""
-    spark = df.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]}:
-        if "/tidelog/" in path:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
+def _delete(spark: SparkSession, paths) -> None:
+    for path in paths:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def scratch(f):
+    """For a function whose result needs none of the tables that it materializes: they are deleted when it ends."""
+
+    @functools.wraps(f)
+    def run(*args, **kwargs):
+        made: list[str] = []
+        token, spark = _scope.set(made), SparkSession.active()
+        try:
+            return f(*args, **kwargs)
+        finally:
+            _scope.reset(token)
+            _delete(spark, made)
+
+    return run
 
 
+def stored(name: str):
+    """For a function that gives a DataFrame: its result is materialized, and all that it materialized itself deleted."""
+
+    def wrap(f):
+        @functools.wraps(f)
+        def run(*args, **kwargs):
+            made: list[str] = []
+            outer, token = _scope.get(), _scope.set(made)
+            out, spark = None, SparkSession.active()
+            try:
+                out = materialize(f(*args, **kwargs), name)
+            finally:
+                _scope.reset(token)
+                _delete(spark, made[:-1] if out is not None else made)
+            if outer is not None:
+                outer.append(made[-1])
+            return out
+
+        return run
+
+    return wrap
+
+
+@stored("parts")
 def components(edges: DataFrame) -> DataFrame:
-    """Connected components of undirected edges (u, v): one row (node, component), component the least node.
+    """Connected components of undirected edges (u, v): a stored table (node, component), component the least node.
 
     Alternates large-star and small-star steps until the edges are stars around the least nodes, however many rounds
     that takes. Each step is a map-side-combined minimum and a join that adaptive execution may split, so hub nodes do
@@ -123,16 +165,10 @@ def components(edges: DataFrame) -> DataFrame:
         return tuple(e.agg(F.count("*"), F.sum(F.expr("cast(xxhash64(u, v) as decimal(38,0))"))).first())
 
     first = now = materialize(tidy(edges), "edges")
-    seen = None
-    while True:
-        nxt = materialize(tidy(small(large(now).where("u <> v"))), "edges")
-        m = mark(nxt)
-        if now is not first:
-            forget(now)
-        now = nxt
-        if m == seen:
-            break
-        seen = m
+    seen, m = None, mark(now)
+    while m != seen:
+        now, seen = materialize(tidy(small(large(now).where("u <> v"))), "edges"), m
+        m = mark(now)
     loops = first.select(F.col("u").alias("node")).unionByName(first.select(F.col("v").alias("node"))).distinct()
     star = now.where("u <> v").groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
     return loops.join(star, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
