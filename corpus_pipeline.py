@@ -22,9 +22,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that score 0.7 or more; the classifier is fitted on labelled documents of this input."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    keep = ["text", "lang", "source", "n_chars"]
-    scored = toxicity.score(docs, toxicity.train(docs, labels), keep=keep)
-    return scored.where("score < 0.7").select("doc_id", *[F.col(f"_{i}").alias(c) for i, c in enumerate(keep)]).select(*COLUMNS)
+    score = toxicity.scorer(spark, toxicity.train(docs, labels))
+    return docs.select(*COLUMNS).where(score(F.col("text")) < 0.7)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,8 +73,8 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces every secret by a mark; all documents stay."""
-    found, _ = secret_scan.scan_versions(docs.select(F.col("doc_id").alias("path"), "text"))
-    spans = materialize(found.where(F.size("found") > 0).select("blob", "found").dropDuplicates(["blob"]), "secrets")
+    named = secret_scan.address(docs.select(F.col("doc_id").alias("path"), "text"))
+    spans, _ = secret_scan.scan(named.select("blob", "text"))
     blob = secret_scan.blob_id(F.col("text"))
     out = docs.select(*COLUMNS).withColumn("blob", blob).join(spans, "blob", "left")
     masked = F.when(F.col("found").isNotNull(), secret_scan.redact(F.col("text"), F.col("found"))).otherwise(F.col("text"))

@@ -65,6 +65,33 @@ def encoder_library(encoder, library, vocab):
         return encoder, library, f.read()
 
 
+def test_suffix_automaton_lists_all_that_ends():
+    rng = random.Random(4)
+    strings = sorted({bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 7))) for _ in range(60)} | {b"a", b"b"})
+    auto = bpe.SuffixAutomaton(strings)
+    for _ in range(200):
+        text, state, size = bytes(rng.choice(b"ab") for _ in range(30)), 0, 0
+        for end, c in enumerate(text, 1):
+            while c not in auto.next[state]:
+                state = auto.link[state]
+                size = auto.length[state]
+            state, size = auto.next[state][c], size + 1
+            got = auto.ends[state] if size == auto.length[state] else auto.ends[auto.link[state]]
+            want = sorted(((k, len(s)) for k, s in enumerate(strings) if text[:end].endswith(s)), key=lambda x: -x[1])
+            assert got == want
+
+
+def test_long_texts_and_gaps(encoder_library):
+    """Texts beyond any buffer, runs without spaces, and gaps that the compiled library can't take."""
+    encoder, library, content = encoder_library
+    rng = random.Random(6)
+    words = " ".join(rng.choice(["time", "house", "<|endoftext|>", "naïve", "123", "\n\n", "東京"]) for _ in range(90_000))
+    for text in (words, "x" * 300_000, " " * 6000 + "a" + "\n" * 5000, "".join(rng.choice("abcdefgh") for _ in range(280_000)), words[:50_000] + " \t" * 4000 + words[:70_000]):
+        want = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == want
+        assert packing.tokenize(content, text).tolist() == want
+
+
 def test_digest(spark, vocab, library):
     got = Counter(map(tuple, bpe.encode_digest(frame(spark, TEXTS + TEXTS[:3]), vocab).collect()))
     want = Counter()

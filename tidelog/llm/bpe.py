@@ -1,8 +1,9 @@
 """Byte-level BPE by per-prefix dynamic programming, and its inverse.
 
-For every prefix of a word there is exactly one token that can end its encoding. An Aho-Corasick automaton lists the
-tokens that end at a position (its suffix links walk from the longest to the shortest); a pair-compatibility test
-replays the merges backwards and tells whether BPE would keep the token beside the last token of the shorter prefix.
+For every prefix of a word there is exactly one token that can end its encoding. The suffix automaton of the vocabulary
+gives the longest piece of any token that ends at a position, and its suffix links all tokens that end there, longest
+first; a pair-compatibility test looks for a merge across the border and tells whether BPE would keep the token beside
+the last token of the shorter prefix.
 Following the back-pointers gives the ids. Work per word is linear in its matches, with no merge loop, so a very long
 run without spaces stays cheap.
 
@@ -15,6 +16,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Words and token pairs remembered by a worker; a full memo starts anew.
+#: Token pairs, and words of a generation, remembered by a worker.
 MEMO = 400_000
 
 
@@ -39,8 +42,6 @@ class Encoder:
     """Encoder and decoder of one byte-level BPE vocabulary file (JSON content as bytes)."""
 
     def __init__(self, content: bytes):
-        import ahocorasick
-
         spec = json.loads(content)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         back = byte_chars()
@@ -50,7 +51,7 @@ class Encoder:
         # ranks: the order in which BPE makes tokens; single bytes come first
         n = len(self.tokens)
         self.rank = {}
-        self.id_of = {}
+        self.id_of: list[int] = []
         self.split: list[tuple[int, int]] = []
         self.pairs: dict[int, int] = {}
         for s, i in vocab.items():
@@ -62,14 +63,12 @@ class Encoder:
                 self._add(i, (self.rank[vocab[a]], self.rank[vocab[b]]))
             self.pairs.setdefault(self.rank[vocab[a]] * n + self.rank[vocab[b]], self.rank[i])
         self.n = n
+        self.right, self.left = ([self.spines(t, side) for t in range(len(self.split))] for side in (1, 0))
         self.special = {a["content"]: a["id"] for a in spec["added_tokens"]}
         for s, i in self.special.items():
             self.tokens[i] = s.encode()
         self.special_re = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.auto = ahocorasick.Automaton()
-        for r, i in enumerate(self.id_of_rank):
-            self.auto.add_word(self.tokens[i].decode("latin-1"), (r, len(self.tokens[i])))
-        self.auto.make_automaton()
+        self.auto = SuffixAutomaton([self.tokens[i] for i in self.id_of])
         self.splitter = regex.compile(SPLIT)
         self.gap = re.compile(r" (?=\s|\Z)")
         self.before = re.compile(r" (?=\S)")
@@ -79,68 +78,76 @@ class Encoder:
 
     def _add(self, i: int, made: tuple[int, int] | None) -> None:
         self.rank[i] = r = len(self.split)
-        self.id_of[r] = i
+        self.id_of.append(i)
         self.split.append(made or (r, r))
 
-    @property
-    def id_of_rank(self) -> list[int]:
-        return [self.id_of[r] for r in range(len(self.split))]
+    def spines(self, t: int, side: int) -> list[tuple[int, int]]:
+        """Tokens that are at one end of t while it is made, each with the rank at which the next of them takes its place."""
+        out, until = [], 1 << 62
+        while True:
+            out.append((t, until))
+            part = self.split[t][side]
+            if part == t:
+                return out
+            t, until = part, t
 
     def compatible(self, a: int, b: int) -> bool:
-        """Whether BPE leaves tokens a and b (as ranks) side by side: no merge across their border comes first."""
-        limit, split, pairs, n = 1 << 62, self.split, self.pairs, self.n
-        while True:
-            made = pairs.get(a * n + b)
-            if made is not None and made < limit:
-                return False
-            if a > b:
-                limit = a
-                a = split[a][1]
-                if a == limit:
-                    limit = b + 1
-                    b = split[b][0]
-                    if b + 1 == limit:
-                        return True
-            else:
-                limit = b + 1
-                b = split[b][0]
-                if b + 1 == limit:
-                    limit = a
-                    a = split[a][1]
-                    if a == limit:
-                        return True
+        """Whether BPE leaves tokens a and b (as ranks) side by side.
+
+        It does unless some merge crosses their border: of a token x that ends a for a while and a token y that begins
+        b for a while, at a rank before either is replaced. Of two merges of one rank the left one comes first, so x
+        may be replaced at that rank, and y not before it.
+        """
+        for x, gone in self.right[a]:
+            for y, lost in self.left[b]:
+                made = self.pairs.get(x * self.n + y)
+                if made is not None and made < gone and made <= lost:
+                    return False
+        return True
 
     def word(self, raw: bytes) -> list[int]:
         """The ids of one pre-token."""
-        last: list[tuple[int, int]] = [(-1, 0)] * (len(raw) + 1)
-        memo, n, done = self.memo_pairs, self.n, -1
-        for end, (t, size) in self.auto.iter(raw.decode("latin-1")):
-            if end == done:
-                continue
-            at = end + 1 - size
-            if at:
-                key = last[at][0] * n + t
-                ok = memo.get(key)
-                if ok is None:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    ok = memo[key] = self.compatible(last[at][0], t)
-                if not ok:
-                    continue
-            last[end + 1] = (t, at)
-            done = end
-        out, at = [], len(raw)
+        nxt, link, length, ends = self.auto.next, self.auto.link, self.auto.length, self.auto.ends
+        memo, n = self.memo_pairs, self.n
+        last, sizes = [-1] * (len(raw) + 1), [0] * (len(raw) + 1)
+        state = size = end = 0
+        for c in raw:
+            end += 1
+            while c not in (step := nxt[state]):
+                state = link[state]
+                size = length[state]
+            state = step[c]
+            size += 1
+            # a shorter piece than the state's longest has the tokens of the links only
+            for t, k in ends[state] if size == length[state] else ends[link[state]]:
+                at = end - k
+                if at:
+                    key = last[at] * n + t
+                    try:
+                        if not memo[key]:
+                            continue
+                    except KeyError:
+                        if len(memo) >= MEMO:
+                            memo.clear()
+                        memo[key] = self.compatible(last[at], t)
+                        if not memo[key]:
+                            continue
+                last[end], sizes[end] = t, k
+                break
+        out, at = [], end
         while at:
-            t, at = last[at]
-            out.append(self.id_of[t])
+            out.append(self.id_of[last[at]])
+            at -= sizes[at]
         out.reverse()
         return out
 
     def pieces(self, text: str) -> bytes:
-        out: list[int] = []
+        out = array("I")
         for w in self.splitter.findall(text):
-            out += self.word(w.encode())
-        return np.array(out, "<u4").tobytes()
+            out.extend(self.word(w.encode()))
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
 
     def _plain(self, text: str) -> bytes:
         # A border always lies before a space that a visible character follows, so the parts are encoded alone.
@@ -159,16 +166,75 @@ class Encoder:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
+class SuffixAutomaton:
+    """The suffix automaton of several byte strings.
+
+    next and link are its transitions and suffix links; length is that of a state's longest string; ends lists the
+    (number, length) of given strings that are suffixes of it, longest first.
+    """
+
+    def __init__(self, strings: list[bytes]):
+        self.next: list[dict[int, int]] = [{}]
+        self.link, self.length = [0], [0]
+        for s in strings:
+            state = 0
+            for c in s:
+                state = self._grow(state, c)
+        own: dict[int, int] = {}
+        for i, s in enumerate(strings):
+            state = 0
+            for c in s:
+                state = self.next[state][c]
+            own[state] = i
+        self.ends: list[list[tuple[int, int]]] = [[] for _ in self.next]
+        for state in sorted(range(1, len(self.next)), key=self.length.__getitem__):
+            shorter = self.ends[self.link[state]]
+            self.ends[state] = [(own[state], self.length[state]), *shorter] if state in own else shorter
+
+    def _state(self, length: int, link: int, after: dict[int, int]) -> int:
+        self.next.append(after), self.link.append(link), self.length.append(length)
+        return len(self.next) - 1
+
+    def _grow(self, at: int, c: int) -> int:
+        """The state of the string at `at` with c after it; made if it is new."""
+        to = self.next[at].get(c)
+        if to is not None:
+            return to if self.length[to] == self.length[at] + 1 else self._part(at, c, to)
+        new = self._state(self.length[at] + 1, 0, {})
+        while c not in self.next[at]:
+            self.next[at][c] = new
+            if not at:
+                return new
+            at = self.link[at]
+        to = self.next[at][c]
+        self.link[new] = to if self.length[to] == self.length[at] + 1 else self._part(at, c, to)
+        return new
+
+    def _part(self, at: int, c: int, to: int) -> int:
+        """Parts the shorter strings of `to`, those up to the one at `at` with c after it, from the longer ones."""
+        new = self._state(self.length[at] + 1, self.link[to], dict(self.next[to]))
+        self.link[to] = new
+        while self.next[at].get(c) == to:
+            self.next[at][c] = new
+            if not at:
+                break
+            at = self.link[at]
+        return new
+
+
 class _Memo(dict):
-    """Remembers short words only, MEMO of them at most."""
+    """Remembers short words only, 2 MEMO of them at most: those of the last generation, and those met again since."""
 
     def __init__(self, make):
-        self.make = make
+        self.make, self.old = make, {}
 
     def __missing__(self, word: str) -> bytes:
-        out = self.make(word)
+        out = self.old.get(word)
+        if out is None:
+            out = self.make(word)
         if len(word) <= 64:
             if len(self) >= MEMO:
+                self.old = dict(self)
                 self.clear()
             self[word] = out
         return out

@@ -13,6 +13,7 @@ occur; null ids are allowed; an empty table gives no pieces; other columns are i
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .base import materialize
+from .base import materialize, small_batches
 
 WINDOW = 2048
 UNIT = 8
@@ -150,8 +151,12 @@ def slots(packing: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, in
 _fast: dict[int, object] = {}
 
 
+#: The compiled library's patterns recurse over a run of white space; longer ones overflow its stack.
+GAP = re.compile(r"\s{4096}")
+
+
 def _fast_encoder(content: bytes):
-    """The same vocabulary in a compiled library; texts that it refuses go to the reference encoder."""
+    """The same vocabulary in a compiled library; texts that it can't take go to the encoder of bpe.py."""
     key = hash(content)
     if key not in _fast:
         import tiktoken
@@ -166,7 +171,7 @@ def _fast_encoder(content: bytes):
 def tokenize(content: bytes, text: str) -> np.ndarray:
     """The ids that the tokenizers library gives, as little-endian unsigned 32-bit integers."""
     enc = bpe.encoder(content)
-    if len(text) > 1 << 18 or (enc.special_re is not None and enc.special_re.search(text)):
+    if GAP.search(text) or (enc.special_re is not None and enc.special_re.search(text)):
         return np.frombuffer(enc.encode(text), "<u4")
     return np.array(_fast_encoder(content).encode_ordinary(text), "<u4")
 
@@ -221,16 +226,12 @@ def pack(made: DataFrame, window: int = WINDOW, unit: int = UNIT) -> DataFrame:
     order = Window.partitionBy("_bin", "_shard").orderBy("doc_id", "start", "ids_crc32")
     ranked = salted.join(F.broadcast(base_df), ["_bin", "_shard"]).withColumn("_rank", F.row_number().over(order) - 1 + F.col("_base"))
 
-    kept = [c for c in made.columns]
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            seq, slot = lookup.value(b.column("_bin").to_numpy(), b.column("_rank").to_numpy())
-            cols = [b.column(c) for c in kept] + [pa.array(seq), pa.array(slot)]
-            yield pa.RecordBatch.from_arrays(cols, [*kept, "sequence_id", "_slot"])
+    @F.arrow_udf("sequence long, slot long")  # only these two columns travel to Python
+    def place(bins: pa.Array, ranks: pa.Array) -> pa.Array:
+        seq, slot = lookup.value(bins.to_numpy(), ranks.to_numpy())
+        return pa.StructArray.from_arrays([pa.array(seq), pa.array(slot)], ["sequence", "slot"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in made.schema.fields)
-    placed = ranked.select(*kept, "_bin", "_rank").mapInArrow(place, f"{fields}, sequence_id long, _slot long")
+    placed = ranked.withColumn("_at", place("_bin", "_rank")).select(*made.columns, F.col("_at.sequence").alias("sequence_id"), F.col("_at.slot").alias("_slot"))
     before = Window.partitionBy("sequence_id").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     return placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long")).drop("_slot")
 
@@ -259,5 +260,10 @@ class _lookup:
 
 
 def pack_documents(docs: DataFrame, vocab_path: str, window: int = WINDOW, unit: int = UNIT, keep_ids: bool = False) -> DataFrame:
-    """Tokenise, cut and pack a corpus; one row per piece."""
-    return pack(materialize(pieces(docs, vocab_path, window, keep_ids=keep_ids), "pieces"), window, unit)
+    """Tokenise, cut and pack a corpus; one row per piece. The ids, if kept, meet their places in one join."""
+    small_batches(docs.sparkSession)
+    made = pieces(docs, vocab_path, window, keep_ids=keep_ids)
+    if not keep_ids:
+        return pack(materialize(made, "pieces"), window, unit)
+    made = materialize(made.withColumn("_piece", F.monotonically_increasing_id()), "pieces")
+    return pack(made.drop("ids"), window, unit).join(made.select("_piece", "ids"), "_piece").drop("_piece")

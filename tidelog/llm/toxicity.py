@@ -7,8 +7,9 @@ exactly zero; coordinates seen in fewer than MIN_DOCS sample documents are left
 threshold, over the surviving coordinates only, undoes the shrinking of their weights. The model is a short list of
 (coordinate, weight) that is broadcast; its length is bounded by 2**BITS.
 
-The classifier is fitted on at most `sample` labelled rows, chosen by a hash of their ids; features are made on the
-executors and the online learner passes over them in one task. Scores cover every row and whole texts.
+The classifier is fitted on at most `sample` labelled rows, chosen by a hash of their ids, and on at most COORDINATES
+features of theirs, whatever the texts' lengths: features are made on the executors, and the online learner, one task,
+takes documents in the order of the hash while their features fit. Scores cover every row and whole texts.
 
 Edge cases: null and empty texts have no features and get the score of the bias; rows with null ids are scored, and
 held out; repeated rows are scored alike; without labelled rows every score is 0.5; other columns are ignored.
@@ -16,18 +17,20 @@ held out; repeated rows are scored alike; without labelled rows every score is 0
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .base import materialize, slices
+from .base import materialize, scratch, slices, small_batches
 
 BITS = 22
 SAMPLE = 16_000
+#: Features of sample documents that the learner holds, 4 bytes each.
+COORDINATES = 40_000_000
 EPOCHS, AGAIN = 4, 12
 MIN_DOCS = 5
 STEMS = (4, 5, 6)
@@ -78,16 +81,24 @@ class Ftrl:
 
 
 def learn_all(seen: list[tuple[int, np.ndarray]], bits: int = BITS, epochs: int = EPOCHS, again: int = AGAIN, min_docs: int = MIN_DOCS) -> Ftrl:
-    """Learn from (label, distinct coordinates with the bias) of sample documents, in the order given; thins out `seen`."""
+    """Learn from (label, distinct coordinates with the bias) of sample documents, in the order given.
+
+    `seen` and its arrays are thinned out in place: the sample's features are held once.
+    """
+
+    def thin(chosen: np.ndarray) -> None:
+        for k, (label, at) in enumerate(seen):
+            own = at[chosen[at]]
+            at[: len(own)] = own
+            seen[k] = (label, at[: len(own)])
+
     docs = np.zeros((1 << bits) + 1, np.int32)
     for _, at in seen:
         docs[at] += 1
     common = docs >= min_docs
     common[1 << bits] = True
-    # the list is replaced entry by entry: the sample's features are held once
-    for k, (label, at) in enumerate(seen):
-        seen[k] = (label, at[common[at]])
-    del docs
+    thin(common)
+    del docs, common
     model = Ftrl(bits)
     for _ in range(epochs):
         for label, at in seen:
@@ -95,8 +106,7 @@ def learn_all(seen: list[tuple[int, np.ndarray]], bits: int = BITS, epochs: int
     chosen = np.zeros((1 << bits) + 1, bool)
     chosen[model.model()[0]] = True
     chosen[1 << bits] = True
-    for k, (label, at) in enumerate(seen):
-        seen[k] = (label, at[chosen[at]])
+    thin(chosen)
     model = Ftrl(bits, l1=0.0)
     for _ in range(again):
         for label, at in seen:
@@ -104,27 +114,34 @@ def learn_all(seen: list[tuple[int, np.ndarray]], bits: int = BITS, epochs: int
     return model
 
 
-def fit(labelled: DataFrame, bits: int = BITS, sample: int = SAMPLE, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
-    """(coordinates, weights) learned from (doc_id, text, label) rows; at most `sample` of them."""
+def fit(labelled: DataFrame, bits: int = BITS, epochs: int = EPOCHS, coordinates: int = COORDINATES) -> tuple[np.ndarray, np.ndarray]:
+    """(coordinates, weights) learned from (doc_id, text, label) rows, the first of them that have `coordinates` features."""
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at, data, offs in slices(b.column(2)):
+            for at, data, offs in slices(b.column(3)):
                 rows = [np.unique(np.concatenate(x)) for x in features(data, offs, bits)]
                 n = len(rows)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, n), b.column(1).slice(at, n), pa.array(rows, pa.list_(pa.int32()))], ["h", "label", "at"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(at, n) for c in range(3)), pa.array(rows, pa.list_(pa.int32()))], ["h", "t", "label", "at"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, bias = [], np.int32(1 << bits)
+        seen, held, full = [], 0, False
+        room = np.empty(coordinates + 1, np.int32)  # touched as far as it is filled
         for b in batches:
-            seen += [(label, np.append(x.values.to_numpy(), bias)) for label, x in zip(b.column("label").to_pylist(), b.column("at"))]
+            for label, x in zip(b.column("label").to_pylist(), b.column("at")):
+                n = len(x) + 1
+                full = full or held + n > len(room)
+                if not full:
+                    room[held : held + n - 1], room[held + n - 1] = x.values.to_numpy(), 1 << bits
+                    seen.append((label, room[held : held + n]))
+                    held += n
         at, w = learn_all(seen, bits, epochs).model()
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w)], ["at", "w"])
 
-    chosen = labelled.select(F.xxhash64("doc_id", F.lit("fit")).alias("h"), F.col("label").cast("int").alias("label"), "text")
-    feats = materialize(chosen.mapInArrow(extract, "h long, label int, at array<int>"), "features")
-    # `sample` documents of bounded size reach the learner; their order is that of the hash
-    rows = feats.repartition(1).sortWithinPartitions("h", "label").mapInArrow(learn, "at long, w double").toArrow()
+    small_batches(labelled.sparkSession)
+    chosen = labelled.select(F.xxhash64("doc_id", F.lit("fit")).alias("h"), F.xxhash64("text").alias("t"), F.col("label").cast("int").alias("label"), "text")
+    feats = materialize(chosen.mapInArrow(extract, "h long, t long, label int, at array<int>"), "features")
+    rows = feats.repartition(1).sortWithinPartitions("h", "t", "label").mapInArrow(learn, "at long, w double").toArrow()
     return rows.column("at").to_numpy(), rows.column("w").to_numpy()
 
 
@@ -139,41 +156,43 @@ def held_out(doc_id: str):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(True))
 
 
-def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
+@scratch
+def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, sample: int = SAMPLE, coordinates: int = COORDINATES) -> tuple[np.ndarray, np.ndarray]:
     """A model from documents (doc_id, text) and labels (doc_id, toxic), held-out rows left aside."""
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).where(~held_out("doc_id"))
     picked = materialize(choose(own, sample), "chosen")
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return fit(src.join(F.broadcast(picked), "doc_id"), bits, sample)  # `sample` rows of 12 bytes
+    return fit(src.join(F.broadcast(picked), "doc_id"), bits, coordinates=coordinates)  # `sample` rows of 12 bytes
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], bits: int = BITS, keep: list[str] | None = None) -> DataFrame:
-    """doc_id, score (and the columns named in keep) of every row."""
+def scorer(spark: SparkSession, model: tuple[np.ndarray, np.ndarray], bits: int = BITS) -> Callable[[Column], Column]:
+    """The score of a text column; only that column travels to Python."""
     at, w = model
-    compact = docs.sparkSession.sparkContext.broadcast((at.astype(np.int32), w.astype(np.float64)))
-    keep = keep or []
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, w = compact.value
-        table = np.zeros((1 << bits) + 1)
-        table[at] = w
-        bias = table[1 << bits]
-        for b in batches:
-            for k, data, offs in slices(b.column(1)):
-                out = []
-                for parts in features(data, offs, bits):
-                    # zero weights need no deduplication: only the few coordinates of the model count
-                    f = np.concatenate(parts)
-                    f = f[table[f] != 0]
-                    out.append(1 / (1 + np.exp(-np.clip(bias + table[np.unique(f)].sum(), -35, 35))))
-                n = len(out)
-                cols = [b.column(0).slice(k, n), pa.array(out, pa.float64())] + [b.column(i + 2).slice(k, n) for i in range(len(keep))]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "score", *[f"_{i}" for i in range(len(keep))]])
-
-    cols = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
-    types = [docs.schema[c].dataType.simpleString() for c in keep]
-    src = docs.select(*cols, *[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)])
-    return src.mapInArrow(run, "doc_id long, score double" + "".join(f", _{i} {t}" for i, t in enumerate(types)))
+    compact = spark.sparkContext.broadcast((at.astype(np.int32), w.astype(np.float64)))
+    small_batches(spark)
+    made: list[np.ndarray] = []  # by the worker, once
+
+    @F.arrow_udf("double")
+    def run(texts: pa.Array) -> pa.Array:
+        if not made:
+            made.append(np.zeros((1 << bits) + 1))
+            made[0][compact.value[0]] = compact.value[1]
+        table = made[0]
+        bias, out = table[1 << bits], []
+        for _, data, offs in slices(texts):
+            for parts in features(data, offs, bits):
+                # zero weights need no deduplication: only the few coordinates of the model count
+                f = np.concatenate(parts)
+                f = f[table[f] != 0]
+                out.append(1 / (1 + np.exp(-np.clip(bias + table[np.unique(f)].sum(), -35, 35))))
+        return pa.array(out, pa.float64())
+
+    return lambda text: run(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], bits: int = BITS) -> DataFrame:
+    """doc_id, score of every row."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), scorer(docs.sparkSession, model, bits)(F.col("text")).alias("score"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
