@@ -98,3 +98,24 @@ def test_sketch_estimates_similarity():
     a, b = x[:200], np.concatenate([x[:160], x[200:240]])
     got = np.mean([(lambda s: (s[0] == s[1]).mean())(minhash.sketch([a ^ np.uint64(k << 40), b ^ np.uint64(k << 40)], 160)) for k in range(20)])
     assert abs(got - 160 / 240) < 0.05
+
+
+def test_intersections_equal_brute_force():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 400, n).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for n in (0, 1, 7, 90, 300, 300, 50)]
+    want = [[len(np.intersect1d(a, b)) for b in sets[2:]] for a in sets]
+    for columns in (1, 64, 4096):
+        assert minhash.intersections(sets, sets[2:], columns).tolist() == want
+
+
+def test_large_mixed_buckets_are_exact(spark, monkeypatch):
+    """Many unlike groups in shared buckets, blocks of a few members, sets that fill a block alone."""
+    monkeypatch.setattr(minhash, "BLOCK", 5)
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 250)
+    rng = random.Random(11)
+    rows, words = [], [f"v{i}" for i in range(220)]
+    for i in range(150):
+        rows.append((i, changed(rng, words, rng.choice([8, 11, 13, 20]))))
+        if i % 10 == 0:
+            words = changed(rng, words, 6).split() + [f"u{i}"] * (i % 20)
+    assert run(spark, rows) == brute(rows)

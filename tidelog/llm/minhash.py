@@ -8,10 +8,10 @@ to the Jaccard similarity, concentrated as with t independent hash functions, at
 Candidates: documents whose shingle sets are equal are one class. A class joins BANDS buckets of ROWS coordinates.
 In every bucket all members are verified against its center, the member that meets most others over all its buckets;
 where a bucket then still holds several connected groups, members of different groups are verified against each other.
-Pairs that are already connected need no test, as they cannot change a component. A bucket of more than SMALL members
-is compared in blocks inside tasks: a sketch of FINE coordinates, made for these documents only, rules out pairs whose
-estimate lies FINE_SIGMA standard deviations under the threshold (about one linked pair in a million would be), and only
-what remains is given out. Every link is verified on the full shingle sets.
+Pairs that are already connected need no test, as they cannot change a component. Such buckets are cut into blocks of
+bounded size, which carry the full shingle sets; pairs of blocks are compared inside tasks by exact intersection sizes,
+products of their incidence matrices, and give out star edges of what is linked, never pairs. Every link is verified on
+the full shingle sets.
 
 Edge cases: a text with fewer words than a shingle is one shingle; texts without words (null, empty, blank) have empty
 sets and link with nothing; rows with a null id take part in no link, keep a null component and are kept; rows that
@@ -29,11 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .base import components, materialize, slices
+from .base import components, materialize, slices, small_batches, stars, stored, wide_rows
 
 BANDS, ROWS = 32, 5
-SMALL, BLOCK = 16, 256
-FINE, FINE_SIGMA = 768, 4.75
+#: Members of a block and shingles that its sets hold together, about; a longer set is a block of its own.
+BLOCK, BLOCK_SHINGLES = 256, 131_072
 
 U = np.uint64
 
@@ -89,58 +89,88 @@ def signatures(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS) ->
     return src.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>")
 
 
-def fine_sketches(texts: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, bands array<long>, fine binary: a byte of each of FINE coordinates."""
+def shingle_sets(texts: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
+    """doc_id, bands array<long>, own binary: the sorted distinct shingle hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at, data, offs in slices(b.column(1)):
                 sets = list(tk.shingle_sets(data, offs, k))
                 keys = bands_of(sketch(sets, bands * rows), bands, rows)
-                fine = (sketch(sets, FINE) & U(255)).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(sets)), pa.array(list(keys), pa.list_(pa.int64())), pa.array([x.tobytes() for x in fine], pa.binary())], ["doc_id", "bands", "fine"])
-
-    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, bands array<long>, fine binary")
-
-
-def block_pairs(rows: DataFrame, fine: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) of large buckets: (key, node, n, c, m) rows, compared block by block."""
-    part = F.pmod(F.xxhash64("node", F.lit("block")), F.ceil(F.col("m") / BLOCK)).cast("int")
-    full = rows.join(fine.select(F.col("doc_id").alias("node"), "bands", "fine"), "node")
-    blocks = full.withColumn("part", part).groupBy("key", "part").agg(F.collect_list(F.struct("node", "n", "c", "bands", "fine")).alias("own"))
-    blocks = materialize(blocks, "blocks")
-    both = blocks.join(blocks.select("key", F.col("part").alias("q"), F.col("own").alias("other")), "key").where("part <= q").select("key", "part", "q", "own", "other")
-    p = percent / 100 + (1 - percent / 100) / 256
-    least = p * FINE - FINE_SIGMA * np.sqrt(FINE * p * (1 - p))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(sets)), pa.array(list(keys), pa.list_(pa.int64())), pa.array([x.tobytes() for x in sets], pa.binary())], ["doc_id", "bands", "own"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, bands array<long>, own binary")
+
+
+def intersections(x: list[np.ndarray], y: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of every set of x with every set of y; sets are sorted and distinct."""
+    flat = lambda sets: (np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
+    (a, i), (b, j) = flat(x), flat(y)
+    shared = np.intersect1d(a, b)
+    out = np.zeros((len(x), len(y)), np.int64)
+    if not len(shared):
+        return out
+
+    def known(h, owner):
+        at = np.minimum(np.searchsorted(shared, h), len(shared) - 1)
+        ok = shared[at] == h
+        o = np.argsort(at[ok], kind="stable")
+        return at[ok][o], owner[ok][o]
+
+    (a, i), (b, j) = known(a, i), known(b, j)
+    for lo in range(0, len(shared), columns):
+        n = min(columns, len(shared) - lo)
+        one, two = np.zeros((len(x), n), np.float32), np.zeros((len(y), n), np.float32)
+        for m, h, owner in ((one, a, i), (two, b, j)):
+            s, e = np.searchsorted(h, [lo, lo + n])
+            m[owner[s:e], h[s:e] - lo] = 1
+        out += (one @ two.T).astype(np.int64)  # at most 4096 a column chunk: exact
+    return out
+
+
+def block_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Star edges (u, v) of the links between unlike groups of a bucket: (key, node, n, c) rows, compared block by block."""
+    # members of a bucket's largest group need no comparison with each other, so its blocks meet only those of the rest
+    most = rows.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "c")).alias("most"))
+    rows = rows.join(most, "key").withColumn("main", F.col("c") == F.col("most.c")).drop("most")
+    size = rows.groupBy("key", "main").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.least("n", F.lit(BLOCK_SHINGLES))) / BLOCK_SHINGLES)).cast("int").alias("parts"))
+    # a set that would fill a block gets one of its own
+    part = F.when(F.col("n") >= BLOCK_SHINGLES, F.xxhash64("node", F.lit("alone"))).otherwise(F.pmod(F.xxhash64("node", F.lit("block")), "parts"))
+    full = rows.join(size, ["key", "main"]).withColumn("part", part).join(sets.select(F.col("doc_id").alias("node"), "bands", "own"), "node")
+    blocks = full.groupBy("key", "main", "part").agg(F.collect_list(F.struct("node", "n", "c", "bands", "own")).alias("rows"))
+    blocks = materialize(blocks, "blocks", wide=True)
+    other = blocks.select("key", F.col("main").alias("m"), F.col("part").alias("q"), F.col("rows").alias("other"))
+    both = blocks.where("not main").join(other, "key").where("m or part <= q").select("key", (~F.col("m") & (F.col("part") == F.col("q"))).alias("same"), "rows", "other")
 
     def unpack(col):
         v = col.values
         get = lambda name: v.field(name).to_numpy(zero_copy_only=False)
-        bands = v.field("bands")
-        return get("node"), get("n"), get("c"), bands.flatten().to_numpy().reshape(len(v), -1), np.stack([np.frombuffer(x, np.uint8) for x in v.field("fine").to_pylist()])
+        return get("node"), get("n"), get("c"), v.field("bands").flatten().to_numpy().reshape(len(v), -1), [np.frombuffer(x.as_buffer(), U) for x in v.field("own")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in range(b.num_rows):
-                key, same = b.column(0)[r].as_py(), b.column(1)[r].as_py() == b.column(2)[r].as_py()
-                x, y = unpack(b.column(3)[r]), unpack(b.column(4)[r])
+                key, same = b.column(0)[r].as_py(), b.column(1)[r].as_py()
+                x, y = unpack(b.column(2)[r]), unpack(b.column(3)[r])
                 ok = (x[2][:, None] != y[2][None, :]) & (x[0][:, None] < y[0][None, :] if same else x[0][:, None] != y[0][None, :])
                 ok &= 100 * np.minimum(x[1][:, None], y[1][None, :]) >= percent * np.maximum(x[1][:, None], y[1][None, :])
                 i, j = np.nonzero(ok)
-                keep_i, keep_j = [], []
-                for at in range(0, len(i), 8192):
+                mine = np.zeros(len(i), bool)
+                for at in range(0, len(i), 8192):  # a pair is met in every bucket it shares and counts in the first
                     p, q = i[at : at + 8192], j[at : at + 8192]
-                    # a pair is met in every bucket it shares and counts in the first
-                    eq = x[3][p] == y[3][q]
-                    first = eq.argmax(1)
-                    mine = x[3][p, first] == key
-                    p, q = p[mine], q[mine]
-                    near = (x[4][p] == y[4][q]).sum(1) >= least
-                    keep_i.append(x[0][p[near]]), keep_j.append(y[0][q[near]])
-                a, c = (np.concatenate(k) if k else np.zeros(0, np.int64) for k in (keep_i, keep_j))
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, c)), pa.array(np.minimum(a, c))], ["a", "b"])
+                    first = (x[3][p] == y[3][q]).argmax(1)
+                    mine[at : at + 8192] = x[3][p, first] == key
+                i, j = i[mine], j[mine]
+                if not len(i):
+                    continue
+                (p, at), (q, to) = np.unique(i, return_inverse=True), np.unique(j, return_inverse=True)
+                both = intersections([x[4][k] for k in p], [y[4][k] for k in q])[at, to]
+                linked = 100 * both >= percent * (x[1][i] + y[1][j] - both)
+                if linked.any():
+                    u, v = stars(x[0][i[linked]], y[0][j[linked]])
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(run, "u long, v long").where("u <> v")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -166,8 +196,10 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
     return full.mapInArrow(run, "u long, v long")
 
 
+@stored("classes")
 def classes(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept."""
+    small_batches(docs.sparkSession)
     sig = materialize(signatures(docs, k, bands, rows), "signatures")
     full = sig.where("n_shingles > 0 and doc_id is not null")
     # one node per distinct set; a node's id is the least document id that has the set
@@ -186,33 +218,26 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS,
         src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         return src.join(_hint(ids), "doc_id", "left_semi")
 
-    def tested(pairs: DataFrame) -> DataFrame:
-        need = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        return materialize(verify(pairs, texts(need), k, percent).distinct(), "links")
-
-    links = tested(star)
-    part = materialize(components(links), "parts")
-    named = member.join(part, member.node == part.node, "left").select("key", member.node, "n", "m", F.coalesce("component", member.node).alias("c"))
+    need = star.select(F.col("a").alias("doc_id")).union(star.select("b")).distinct()
+    links = materialize(verify(star, texts(need), k, percent).distinct(), "links")
+    part = components(links)
+    named = member.join(part, member.node == part.node, "left").select("key", member.node, "n", F.coalesce("component", member.node).alias("c"))
     named = materialize(named, "named")
     mixed = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
     rest = materialize(named.join(mixed, "key"), "mixed")
-    few, large = rest.where(F.col("m") <= SMALL), rest.where(F.col("m") > SMALL)
-    other = few.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    more = few.select("key", F.col("node").alias("a"), "n", "c").join(other, "key").where("a > b and c <> cb").where(near).select("a", "b")
-    if not large.isEmpty():
-        fine = materialize(fine_sketches(texts(large.select(F.col("node").alias("doc_id")).distinct()), k, bands, rows), "fine")
-        more = more.unionByName(block_pairs(large, fine, percent))
-    pair = lambda x: x.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    more = materialize(pair(more).distinct().join(pair(star), ["a", "b"], "left_anti"), "pairs")
-    if not more.isEmpty():
-        links = links.unionByName(tested(more))
-        part = materialize(components(links), "parts")
+    if not rest.isEmpty():
+        sets = materialize(shingle_sets(texts(rest.select(F.col("node").alias("doc_id")).distinct()), k, bands, rows), "sets")
+        with wide_rows(docs.sparkSession):
+            more = materialize(block_links(rest, sets, percent), "links")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            part = components(links)
     # joined by set, and by repeated ids
     ids = full.select("doc_id", "h1", "h2").join(nodes.select("h1", "h2", "node"), ["h1", "h2"])
     twice = ids.groupBy("doc_id").agg(F.min("node").alias("v"), F.max("node").alias("w")).where("v < w")
     if not twice.isEmpty():
         every = ids.join(twice.select("doc_id"), "doc_id").select(F.col("node").alias("u"), F.col("doc_id").alias("v"))
-        part = materialize(components(links.unionByName(every)), "parts")
+        part = components(links.unionByName(every))
     found = ids.join(part, "node", "left").select("doc_id", "h1", "h2", F.coalesce("component", "node").alias("c")).dropDuplicates(["doc_id", "h1", "h2"])
     out = sig.select("doc_id", "n_shingles", "h1", "h2").join(found, ["doc_id", "h1", "h2"], "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("c", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
