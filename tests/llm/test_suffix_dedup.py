@@ -102,3 +102,11 @@ def test_deep_groups_use_the_trie():
     order, lcp = sd.deep_shallow(a, 16)
     got = [rows[i] for i in order]
     assert got == sorted(rows) and lcp.tolist()[1:] == [common(x, y) for x, y in zip(got, got[1:])]
+
+
+def test_least_positions_by_parts(monkeypatch):
+    g = np.random.default_rng(5).integers(0, 2**64, 1000, dtype=np.uint64) >> np.uint64(20)
+    want = [i + int(np.argmin(g[i : i + 37] >> np.uint64(28))) for i in range(1000 - 36)]
+    assert sd.least_positions(g, 37).tolist() == want
+    monkeypatch.setattr(sd, "STARTS", 50)
+    assert sd.least_positions(g, 37).tolist() == want

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import vectors as vx
-from .base import materialize, small_batches, wide_rows
+from .base import materialize, small_batches, stored, wide_rows
 
 COLUMNS = 16
 EPSILON = 2.1
@@ -130,6 +130,7 @@ def scan(index: Index, qid, q, floor, cid, c, columns: int = COLUMNS, epsilon: f
     return i[keep], j[keep], score[keep]
 
 
+@stored("nearest")
 def search(base: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding", top: int = 20, lists: int | None = None, recall: float = 0.96, fit_rows: int = vx.FIT_ROWS, seeded: bool = True, epsilon: float = EPSILON) -> DataFrame:
     """query_id, rank, vec_id, score: for every row of base that is_query selects, its `top` nearest other rows.
 

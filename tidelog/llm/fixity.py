@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import materialize
+from .base import materialize, stored
 
 #: Powers of two: 256 pages a file, 64 KiB a range, 64 children a node.
 FILE_BITS, RANGE_BITS, FANOUT_BITS = 8, 16, 6
@@ -59,6 +59,7 @@ def _level(below: DataFrame, *key: Column) -> DataFrame:
     return grouped.withColumns({"ha": _node(F.col("kids"), "ha"), "hb": _node(F.col("kids"), "hb")}).drop("kids")
 
 
+@stored("damage")
 def audit(one: DataFrame, two: DataFrame) -> DataFrame:
     """file_id, page_id, status (changed, missing, extra), at and size in either replica, of records that differ."""
     side = lambda x, k: leaves(x).withColumn("side", F.lit(k))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from . import suffix_dedup
 from . import textkit as tk
-from .base import materialize, slices
+from .base import materialize, slices, small_batches, stored
 
 #: "over 50 words"
 WORDS, K = 51, 16
@@ -120,6 +120,7 @@ def _window_rows(words: int):
     return run
 
 
+@stored("passages")
 def repeated_passages(texts: DataFrame, words: int = WORDS, k: int = K) -> DataFrame:
     """(t1, t2, spans array<struct<lo, hi>>): byte ranges of repeated passages, by text; texts has (t1, t2, text)."""
     found = materialize(texts.mapInArrow(_anchor_rows(words, k), "t1 long, t2 long, ah long, ch long, lo long, hi long"), "passage_anchors")
@@ -137,8 +138,9 @@ def repeated_passages(texts: DataFrame, words: int = WORDS, k: int = K) -> DataF
 
 def with_ranges(docs: DataFrame, keep: list[str] | None = None, words: int = WORDS) -> DataFrame:
     """As suffix_dedup.with_ranges, with the ranges of repeated passages besides those of repeated byte strings."""
+    small_batches(docs.sparkSession)
     texts = suffix_dedup._keyed(docs).select("t1", "t2", "text")
-    strings = materialize(suffix_dedup.repeated_ranges(texts), "ranges")
-    ranges = strings.unionByName(materialize(repeated_passages(texts, words), "passages"))
+    strings = suffix_dedup.repeated_ranges(texts)
+    ranges = strings.unionByName(repeated_passages(texts, words))
     both = ranges.groupBy("t1", "t2").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))  # two a text
     return suffix_dedup._keyed(docs, keep).join(both, ["t1", "t2"], "left").drop("t1", "t2")

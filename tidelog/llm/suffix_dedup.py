@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .base import materialize, slices
+from .base import materialize, slices, small_batches, stored
 
 LENGTH, K = 400, 64
 #: Distinct stretches of one anchor that a task sorts together: at most GROUP * (2 * length) bytes.
@@ -46,9 +46,15 @@ U = np.uint64
 # ---- anchors ----------------------------------------------------------------------------------------------------
 
 
+#: Starts that are looked at together: their positions, and a window's width, fit 28 bits.
+STARTS = 1 << 27
+
+
 def least_positions(g: np.ndarray, w: int) -> np.ndarray:
     """For every start s the position of the least of g[s : s + w], the leftmost of equals."""
     n = len(g) - w + 1
+    if n > STARTS:
+        return np.concatenate([least_positions(g[at : at + min(STARTS, n - at) + w - 1], w) + at for at in range(0, n, STARTS)])
     packed = (g & ~U(0xFFFFFFF)) | np.arange(len(g), dtype=U)  # 36 bits of hash, 28 of position
     pad = -len(g) % w
     p = np.concatenate([packed, np.full(pad, ~U(0), U)]).reshape(-1, w)
@@ -304,6 +310,7 @@ def _window_rows(length: int):
 _T1, _T2 = F.xxhash64, lambda c: F.xxhash64(F.lit(1), c)
 
 
+@stored("ranges")
 def repeated_ranges(texts: DataFrame, length: int = LENGTH, k: int = K, group: int = GROUP) -> DataFrame:
     """(t1, t2, spans array<struct<lo, hi>>): byte ranges to remove, by text; texts has (t1, t2, text)."""
     found = materialize(texts.mapInArrow(_anchor_rows(length, k), "t1 long, t2 long, ah long, ch long, p long, lo long, hi long"), "anchors")
@@ -366,8 +373,9 @@ def _keyed(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
 def with_ranges(docs: DataFrame, keep: list[str] | None = None, length: int = LENGTH, k: int = K, group: int = GROUP) -> DataFrame:
     """doc_id, text, spans (merged by the reader) and the kept columns as _0, _1, ...; one row per row of docs."""
+    small_batches(docs.sparkSession)
     keyed = _keyed(docs, keep)
-    ranges = materialize(repeated_ranges(_keyed(docs).select("t1", "t2", "text"), length, k, group), "ranges")
+    ranges = repeated_ranges(_keyed(docs).select("t1", "t2", "text"), length, k, group)
     return keyed.join(ranges, ["t1", "t2"], "left").drop("t1", "t2")
 
 

@@ -7,8 +7,8 @@ that small budget, and their union is verified exactly, in double precision, on
 
 The range join of a block uses pivots (k-means centres of a bounded sample). A vector belongs to the cell of its nearest
 pivot and visits every cell of a lower number whose border, the plane between the two pivots, is within the radius.
-Cells are stored as blocks of bounded size, and pairs of blocks are compared; a large cell is many pairs of blocks in
-many tasks. Comparisons use single precision with slack; a verified pair is counted in the first block whose budget it
+Cells are stored as blocks of bounded size, and pairs of blocks are compared. Home blocks of a large cell are dealt to
+several tasks, and the blocks that they meet go to all of them. Comparisons use single precision with slack; a verified pair is counted in the first block whose budget it
 meets, computed in double precision, so that it is counted once.
 
 Tasks give out sums of links and local star edges, at most one row for each vector of a pair of blocks, never pairs.
@@ -29,17 +29,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vectors as vx
-from .base import components, materialize, wide_rows
+from .base import components, materialize, small_batches, stars, stored, wide_rows
 
 BLOCK_COLUMNS = 16
-CELLS = 32
+#: Cells of a block of columns: one for CELL_ROWS vectors, between these.
+CELLS, CELL_ROWS = (32, 512), 2048
 ROWS = 512
+#: Home blocks of a cell that meet in one task.
+CELL_BLOCKS = 16
 
 
 class Plan:
     """Rotation, column blocks, budgets and pivots."""
 
-    def __init__(self, x: np.ndarray, cosine: float, columns: int = BLOCK_COLUMNS, cells: int = CELLS):
+    def __init__(self, x: np.ndarray, cosine: float, columns: int = BLOCK_COLUMNS, cells: int = CELLS[0]):
         d = x.shape[1]
         self.cosine, self.turn = cosine, vx.rotation(d)
         edges = [*range(0, d, columns), d]
@@ -94,28 +97,15 @@ def compare(plan: Plan, k: int, one, two, same: bool):
     return (np.concatenate(keep_i), np.concatenate(keep_j)) if keep_i else (empty, empty)
 
 
-def _stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(id, least id of its component) of the pairs u, v."""
-    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
-    a, b = at[: len(u)], at[len(u) :]
-    least = np.arange(len(ids))
-    while True:
-        before = least.copy()
-        low = np.minimum(least[a], least[b])
-        np.minimum.at(least, a, low)
-        np.minimum.at(least, b, low)
-        least = least[least]
-        if (least == before).all():
-            return ids, ids[least]
-
-
 def links(x: DataFrame, d: int, n: int, cosine: float) -> DataFrame:
     """(id, to, links) partial rows: summed weights of linked nodes and an edge, for nodes (key, id, v, weight).
 
     What is called id here and in the result is the key, which no two nodes share.
     """
     spark = x.sparkSession
-    plan = spark.sparkContext.broadcast(Plan(vx.sample(x.select("id", "v"))[1], cosine))
+    real = vx.number(x)
+    cells = max(CELLS[0], min(CELLS[1], n // CELL_ROWS))
+    plan = spark.sparkContext.broadcast(Plan(vx.sample(x.select("id", "v"))[1], cosine, cells=cells))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pl, held, made = plan.value, vx.Buffers(ROWS), 0
@@ -123,7 +113,7 @@ def links(x: DataFrame, d: int, n: int, cosine: float) -> DataFrame:
             for s in range(0, b.num_rows, 4096):
                 part = b.slice(s, 4096)
                 ids, v, w = part.column(0).to_numpy(), vx.matrix(part.column(1), part.num_rows), part.column(2).to_numpy()
-                y, raw = pl.rotated(v), v.astype(np.float32)
+                y, raw = pl.rotated(v), v.astype(real)
                 for k in range(len(pl.cols)):
                     home, visit = pl.cells(y, k)
                     for c in range(len(pl.pivots[k])):
@@ -145,7 +135,7 @@ def links(x: DataFrame, d: int, n: int, cosine: float) -> DataFrame:
         pl = plan.value
 
         def block(ids, w, v):
-            raw = np.frombuffer(v, np.float32).reshape(-1, d).astype(np.float64)
+            raw = np.frombuffer(v, real).reshape(-1, d).astype(np.float64)
             return np.frombuffer(ids, np.int64), np.frombuffer(w, np.int64), pl.unit(raw), pl.rotated(raw)
 
         last: tuple = (None, None)
@@ -162,24 +152,29 @@ def links(x: DataFrame, d: int, n: int, cosine: float) -> DataFrame:
                 if not len(i):
                     continue
                 u, v = one[0][i], two[0][j]
-                ids, root = _stars(u, v)
+                ids, root = stars(u, v)
                 total = np.zeros(len(ids), np.int64)
                 np.add.at(total, np.searchsorted(ids, u), two[1][j])
                 np.add.at(total, np.searchsorted(ids, v), one[1][i])
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(root), pa.array(total)], ["id", "to", "links"])
 
     blocks = x.select(F.col("key").alias("id"), "v", "weight").coalesce(max(8, n // 65536)).mapInArrow(spread, "cell int, guest boolean, name long, ids binary, w binary, v binary")
-    blocks = materialize(blocks, "cells")
+    blocks = materialize(blocks, "cells", wide=True)
     home = blocks.where("not guest").select("cell", F.col("name").alias("hn"), F.col("ids").alias("hi"), F.col("w").alias("hw"), F.col("v").alias("hv"))
-    both = home.join(blocks, "cell").where("guest or hn <= name")
+    parts = F.broadcast(home.groupBy("cell").agg(F.ceil(F.count("*") / CELL_BLOCKS).cast("int").alias("parts")))  # a row for a cell
+    home = home.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("hn"), "parts").cast("int"))
+    others = blocks.join(parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    both = home.join(others, ["cell", "part"]).where("guest or hn <= name")
     both = both.select("cell", (~F.col("guest") & (F.col("hn") == F.col("name"))).alias("same"), "hi", "hw", "hv", "ids", "w", "v")
     return both.mapInArrow(match, "id long, to long, links long")
 
 
+@stored("classes")
 def classes(df: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
+    small_batches(df.sparkSession)
     x, d, n = vx.valid(df, id_col, vec_col)
-    every = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<float>").alias("v"))
+    every = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast(vx.kind(df, vec_col)).alias("v"))
     if not n:
         return every.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     # equal vectors are one node; its id is the least, and its key too unless another node has the same
@@ -191,7 +186,6 @@ def classes(df: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vec_col:
     with wide_rows(df.sparkSession):
         found = materialize(matched, "found")
     part = components(found.select(F.col("id").alias("u"), F.col("to").alias("v")).unionByName(_twice(x, nodes)))
-    part = materialize(part, "parts")
     if not unique:  # components are named by keys
         least = part.join(nodes.select(F.col("key").alias("node"), "id"), "node").groupBy("component").agg(F.min("id").alias("id"))
         part = part.join(least, "component").select("node", F.col("id").alias("component"))
