@@ -45,17 +45,17 @@ def bytes_hash(b: Column) -> Column:
 
     Null gives 0 and the empty array 1.
     """
-    h = F.hex(b)
-    at = F.sequence(F.lit(1), F.length(h), F.lit(2))
-    byte = lambda i: F.conv(F.substr(h, i, F.lit(2)), 16, 10).cast("long")
-    fold = F.aggregate(at, F.lit(1).cast("long"), lambda acc, i: F.pmod(acc * 31 + F.when(byte(i) > 127, byte(i) - 256).otherwise(byte(i)), F.lit(_M32)))
-    return F.when(b.isNull(), F.lit(0).cast("long")).when(F.octet_length(b) == 0, F.lit(1).cast("long")).otherwise(_signed32(fold))
+    # one character a byte; 256 less for a negative byte changes nothing modulo 2**32 but for the sign of the remainder
+    chars = F.split(F.decode(b, "ISO-8859-1"), "")
+    signed = lambda c: F.ascii(c).cast("long").bitwiseXOR(F.lit(128)) - 128
+    fold = F.aggregate(chars, F.lit(1).cast("long"), lambda acc, c: F.pmod(acc * 31 + signed(c), F.lit(_M32)))
+    return F.when(b.isNull(), F.lit(0).cast("long")).when(F.octet_length(b) == 0, F.lit(1).cast("long")).otherwise(_let(fold, _signed32))
 
 
 def key_partition(key: Column, partitions: int) -> Column:
     """Partition of a key: floor modulus of its hash; null and empty keys go to partition 0."""
     bare = key.isNull() | (F.octet_length(key) == 0)
-    return F.when(bare, F.lit(0)).otherwise(F.pmod(bytes_hash(key), F.lit(partitions))).cast("int")
+    return _let(F.when(bare, F.lit(0).cast("long")).otherwise(F.pmod(bytes_hash(key), F.lit(partitions))), lambda p: p.cast("int"))
 
 
 def round_robin(rank: Column, partitions: int) -> Column:
@@ -126,8 +126,8 @@ def epoch_dir(epoch: Column) -> Column:
 
 
 def parse_epoch_dir(name: Column) -> Column:
-    """The epoch of a directory name; null for other names."""
-    return F.try_to_number(F.regexp_extract(name, r"^epoch-(\d+)$", 1), F.lit("9999999999999")).cast("long")
+    """The epoch of a directory name; null for other names and for numbers beyond 64 bits."""
+    return F.regexp_extract(name, r"^epoch-(\d+)$", 1).try_cast("long")
 
 
 def index_path(segment: Column) -> Column:

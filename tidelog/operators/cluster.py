@@ -70,10 +70,37 @@ def first_failure(attempts: DataFrame, by: str = "batch_id") -> DataFrame:
 
 
 def ewma(attempts: DataFrame, order: str, initial: float = 1e6) -> DataFrame:
-    """node_id, ewma: latencies folded in order; failures penalise. One node's history is one array of scalars."""
-    seq = F.array_sort(F.collect_list(F.struct(order, (F.col("status") == "SUCCESS").alias("ok"), F.col("latency_ns").cast("double").alias("lat"))))
-    fold = F.aggregate(seq, F.lit(initial).cast("double"), lambda p, x: F.when(x["ok"], C.reward(p, x["lat"])).otherwise(C.penalize(p)))
-    return attempts.groupBy("node_id").agg(fold.alias("ewma"))
+    """node_id, ewma: latencies folded in order; failures penalise.
+
+    A node is one ordered fold: its attempts pass through one task, sorted, a batch at a time, and one number is held.
+    """
+
+    def fold(frames):
+        of, now = None, initial
+        for pdf in frames:
+            done = []
+            for node, ok, lat in zip(pdf["node_id"].tolist(), pdf["ok"].tolist(), pdf["lat"].tolist()):
+                if node != of:
+                    if of is not None:
+                        done.append((of, now))
+                    of, now = node, initial
+                now = reward(now, lat) if ok else penalize(now)
+            yield pd.DataFrame(done, columns=["node_id", "ewma"])
+        if of is not None:
+            yield pd.DataFrame([(of, now)], columns=["node_id", "ewma"])
+
+    seq = attempts.select("node_id", order, (F.col("status") == "SUCCESS").alias("ok"), F.col("latency_ns").cast("double").alias("lat"))
+    return seq.repartition("node_id").sortWithinPartitions("node_id", order).mapInPandas(fold, "node_id long, ewma double")
+
+
+def reward(previous: float, latency: float) -> float:
+    """C.reward for the folds."""
+    return previous * 0.8 + latency * 0.2
+
+
+def penalize(previous: float) -> float:
+    """C.penalize for the folds."""
+    return max(min(previous * 2, 1e10), 1e6)
 
 
 def fastest(nodes: DataFrame, tried: Column | None = None) -> DataFrame:
@@ -82,41 +109,73 @@ def fastest(nodes: DataFrame, tried: Column | None = None) -> DataFrame:
     return pool.withColumn("place", F.row_number().over(Window.partitionBy("pid").orderBy("ewma", "position")))
 
 
-def adaptive_replication(attempts: DataFrame, quorum: int, initial: float = 1e6) -> DataFrame:
-    """Simulates fastest-first replication of each partition's batches in order.
+def replicate(nodes: list[tuple[int, bool, float]], est: dict[int, float], quorum: int, initial: float, deadline: float) -> tuple[int, bool, float | None, int]:
+    """One batch, fastest first: (nodes tried for the quorum, reached, when, nodes left to the background).
+
+    The `quorum` nodes of the best estimates start together; every failure starts the next best. est is brought up to
+    date by every answer before the deadline. Where the quorum is reached, the nodes not yet tried get the batch in the
+    background: their answers count for the estimates, not for the batch.
+    """
 
-    attempts: pid, batch_id, node_id, ok, latency_ns: what each node would answer. Per batch, the `quorum` nodes with
-    the best estimates start together; every failure starts the next best. Gives pid, batch_id, tried, ok, commit_ns.
-    A partition's batches are folded in one task with one estimate per node.
+    def heard(node: int, ok: bool, lat: float) -> None:
+        before = est.get(node, initial)
+        est[node] = reward(before, lat) if ok else penalize(before)
+
+    queue = sorted(nodes, key=lambda r: (est.get(r[0], initial), r[0]))
+    need = max(1, min(quorum, len(queue)))
+    running = [(r[2], r) for r in queue[:need]]
+    queue, tried, wins, clock = queue[need:], need, 0, 0.0
+    while running and wins < need:
+        running.sort(key=lambda x: (x[0], x[1][0]))
+        clock, (node, ok, lat) = running.pop(0)
+        if clock > deadline:
+            return tried, False, None, 0
+        heard(node, ok, lat)
+        wins += ok
+        if not ok and queue:
+            r = queue.pop(0)
+            tried += 1
+            running.append((clock + r[2], r))
+    if wins < need:
+        return tried, False, None, 0
+    for node, ok, lat in [r for _, r in running] + queue:
+        heard(node, ok, lat)
+    return tried, True, clock, len(queue)
+
+
+def adaptive_replication(attempts: DataFrame, quorum: int, initial: float = 1e6, deadline: float = float("inf")) -> DataFrame:
+    """Simulates fastest-first replication of each partition's batches in order: see replicate().
+
+    attempts: pid, batch_id, node_id, ok, latency_ns: what each node would answer. Gives pid, batch_id, tried, ok,
+    commit_ns, background. A partition's batches are folded in one task, sorted, a batch at a time, with one estimate
+    for a node.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        est: dict[int, float] = {}
-        out = []
-        for batch, rows in pdf.sort_values(["batch_id", "node_id"], kind="stable").groupby("batch_id", sort=True):
-            nodes = sorted(zip(rows.node_id.tolist(), rows.ok.tolist(), rows.latency_ns.tolist()), key=lambda r: (est.get(r[0], initial), r[0]))
-            need = max(1, min(quorum, len(nodes)))
-            running, queue, wins, tried, clock = [], list(nodes), 0, 0, 0.0
-            for r in queue[:need]:
-                running.append((r[2], r))
-            queue, tried = queue[need:], need
-            while running and wins < need:
-                running.sort(key=lambda x: (x[0], x[1][0]))
-                clock, (node, ok, lat) = running.pop(0)
-                before = est.get(node, initial)
-                if ok:
-                    wins += 1
-                    est[node] = 0.8 * before + 0.2 * lat
-                else:
-                    est[node] = max(min(before * 2, 1e10), 1e6)
-                    if queue:
-                        r = queue.pop(0)
-                        tried += 1
-                        running.append((clock + r[2], r))
-            out.append((rows.pid.iloc[0], batch, tried, wins >= need, clock if wins >= need else None))
-        return pd.DataFrame(out, columns=["pid", "batch_id", "tried", "ok", "commit_ns"])
-
-    return attempts.groupBy("pid").applyInPandas(fold, "pid int, batch_id long, tried int, ok boolean, commit_ns double")
+    def fold(frames):
+        at, est, nodes = None, {}, []
+
+        def answer():
+            return (*at, *replicate(nodes, est, quorum, initial, deadline))
+
+        for pdf in frames:
+            out = []
+            for pid, batch, node, ok, lat in zip(*(pdf[c].tolist() for c in ("pid", "batch_id", "node_id", "ok", "latency_ns"))):
+                if (pid, batch) != at:
+                    if nodes:
+                        out.append(answer())
+                    if at is None or pid != at[0]:
+                        est = {}
+                    at, nodes = (pid, batch), []
+                nodes.append((node, ok, lat))
+            yield frame(out)
+        if nodes:
+            yield frame([answer()])
+
+    def frame(rows):
+        return pd.DataFrame(rows, columns=["pid", "batch_id", "tried", "ok", "commit_ns", "background"])
+
+    own = attempts.select("pid", "batch_id", "node_id", "ok", "latency_ns").repartition("pid").sortWithinPartitions("pid", "batch_id", "node_id", "latency_ns", "ok")
+    return own.mapInPandas(fold, "pid int, batch_id long, tried int, ok boolean, commit_ns double, background int")
 
 
 def backfill_plan(epochs: DataFrame, present: DataFrame, node: int) -> DataFrame:
@@ -125,23 +184,40 @@ def backfill_plan(epochs: DataFrame, present: DataFrame, node: int) -> DataFrame
     return mine.join(present.select("pid", "epoch"), ["pid", "epoch"], "left_anti")
 
 
-def backfill_serve(log: DataFrame, max_records: int = 64, max_bytes: int = 4096) -> DataFrame:
-    """pid, epoch, seq, offset of the records that answer a backfill from seq 0 of every (pid, epoch).
+def backfill_serve(log: DataFrame, requests: DataFrame, placement: DataFrame, node: int, max_records: int = 64, max_bytes: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """Answers backfill requests (request_id, pid, epoch, offset): records, and a reply for every request.
 
-    The first max_records are offered; one that no longer fits is skipped, later smaller ones may still fit.
+    Records are (request_id, pid, epoch, seq, byte_at). From the offset on max_records are offered; one that no longer fits
+    max_bytes is skipped, later smaller ones may still fit. A reply is (request_id, n, end_of_epoch, redirect): it is the
+    end where no record behind those offered exists, and a node outside the placement names the nodes in it instead.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, keep, at = 0, [], []
-        for size in pdf.sort_values("seq")["size"].tolist():
-            keep.append(used + size + 4 <= max_bytes)
-            at.append(used)
-            used += (size + 4) * keep[-1]
-        pdf = pdf.sort_values("seq").assign(offset=at)
-        return pdf[keep][["pid", "epoch", "seq", "offset"]]
-
-    first = log.where(F.col("seq") < max_records).select("pid", "epoch", "seq", F.octet_length("payload").cast("long").alias("size"))
-    return first.groupBy("pid", "epoch").applyInPandas(fold, "pid int, epoch long, seq long, offset long")
+    def fold(frames):
+        of, used = None, 0
+        for pdf in frames:
+            keep, at = [], []
+            for request, size in zip(pdf["request_id"].tolist(), pdf["size"].tolist()):
+                if request != of:
+                    of, used = request, 0
+                keep.append(used + size + 4 <= max_bytes)
+                at.append(used)
+                used += (size + 4) * keep[-1]
+            yield pdf.assign(byte_at=at)[keep][["request_id", "pid", "epoch", "seq", "byte_at"]]
+
+    r = requests.join(placement.select("pid", "epoch", "storage_nodes"), ["pid", "epoch"], "left")
+    away = F.col("storage_nodes").isNotNull() & ~F.array_contains("storage_nodes", F.lit(node))
+    here = r.where(~away)
+    start = F.greatest("offset", F.lit(0))
+    sized = log.select("pid", "epoch", "seq", F.octet_length("payload").cast("long").alias("size"))
+    offered = here.join(sized, ["pid", "epoch"]).where((F.col("seq") >= start) & (F.col("seq") < start + max_records))
+    offered = offered.select("request_id", "pid", "epoch", "seq", "size").repartition("request_id").sortWithinPartitions("request_id", "seq")
+    records = offered.mapInPandas(fold, "request_id long, pid int, epoch long, seq long, byte_at long")
+    last = log.groupBy("pid", "epoch").agg(F.max("seq").alias("hwm"))
+    sent = records.groupBy("request_id").agg(F.count("*").alias("n"))
+    replies = r.join(last, ["pid", "epoch"], "left").join(sent, "request_id", "left")
+    end = ~away & (F.coalesce("hwm", F.lit(-1)) < start + max_records)
+    redirect = F.when(away, F.array_join(F.transform("storage_nodes", lambda x: x.cast("string")), ",")).otherwise("")
+    return records, replies.select("request_id", F.coalesce("n", F.lit(0)).cast("long").alias("n"), end.alias("end_of_epoch"), redirect.alias("redirect"))
 
 
 def append_missing(have: DataFrame, offered: DataFrame, key: list[str]) -> DataFrame:

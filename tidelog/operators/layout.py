@@ -12,25 +12,28 @@ from ..functions import columns as C
 def pack_segments(log: DataFrame, capacity: int) -> DataFrame:
     """Next-fit packing of each (pid, epoch)'s records, in order, into segments of `capacity` bytes: adds seg (from 0).
 
-    A record larger than an empty segment cannot be stored and gets no segment (null). The fold holds one group's
-    sizes, eight bytes a record.
+    A record larger than an empty segment cannot be stored and gets no segment (null). An epoch is one ordered fold over
+    its sizes: sorted, a batch at a time, with two numbers carried on.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq", kind="stable")
-        seg, used, out = 0, C.HEADER_BYTES, []
-        for size in pdf["bytes"].tolist():
-            if size + C.HEADER_BYTES > capacity:
-                out.append(None)
-                continue
-            if used + size > capacity:
-                seg, used = seg + 1, C.HEADER_BYTES
-            used += size
-            out.append(seg)
-        return pd.DataFrame({"pid": pdf["pid"], "epoch": pdf["epoch"], "seq": pdf["seq"], "bytes": pdf["bytes"], "seg": pd.array(out, dtype="Int64")})
+    def fold(frames):
+        of, seg, used = None, 0, C.HEADER_BYTES
+        for pdf in frames:
+            out = []
+            for pid, epoch, size in zip(pdf["pid"].tolist(), pdf["epoch"].tolist(), pdf["bytes"].tolist()):
+                if (pid, epoch) != of:
+                    of, seg, used = (pid, epoch), 0, C.HEADER_BYTES
+                if size + C.HEADER_BYTES > capacity:
+                    out.append(None)
+                    continue
+                if used + size > capacity:
+                    seg, used = seg + 1, C.HEADER_BYTES
+                used += size
+                out.append(seg)
+            yield pdf.assign(seg=pd.array(out, dtype="Int64"))
 
     sized = log.select("pid", "epoch", "seq", C.record_bytes(F.col("payload")).alias("bytes"))
-    return sized.groupBy("pid", "epoch").applyInPandas(fold, "pid int, epoch long, seq long, bytes long, seg long")
+    return sized.repartition("pid", "epoch").sortWithinPartitions("pid", "epoch", "seq").mapInPandas(fold, "pid int, epoch long, seq long, bytes long, seg long")
 
 
 def segment_stats(packed: DataFrame) -> DataFrame:
@@ -44,21 +47,24 @@ def segment_lookup(wanted: DataFrame, stats: DataFrame) -> DataFrame:
     return wanted.join(s, ["pid", "epoch"]).where("seq between first_seq and last_seq").select("pid", "epoch", "seq", "seg")
 
 
-def dense_index(log: DataFrame) -> DataFrame:
-    """Byte position of every record in its (pid, epoch)."""
-    w = Window.partitionBy("pid", "epoch").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    return log.select("pid", "epoch", "seq", (F.coalesce(F.sum(C.record_bytes(F.col("payload"))).over(w), F.lit(0)) + C.HEADER_BYTES).cast("long").alias("pos"))
+def dense_index(packed: DataFrame) -> DataFrame:
+    """pid, epoch, seg, seq, idx, pos: place and byte position of every record in its segment, from pack_segments' rows."""
+    w = Window.partitionBy("pid", "epoch", "seg").orderBy("seq")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    pos = (F.coalesce(F.sum("bytes").over(before), F.lit(0)) + C.HEADER_BYTES).cast("long")
+    return packed.where("seg is not null").select("pid", "epoch", "seg", "seq", (F.row_number().over(w) - 1).cast("long").alias("idx"), pos.alias("pos"))
 
 
 def sparse_hints(index: DataFrame, stride: int = C.HINT_STRIDE) -> DataFrame:
-    return index.where(F.col("seq") % stride == 0)
+    """The positions of every stride-th record of a segment, its first included."""
+    return index.where(F.col("idx") % stride == 0)
 
 
 def hint_lookup(wanted: DataFrame, hints: DataFrame, stride: int = C.HINT_STRIDE) -> DataFrame:
-    """The hint at or before each wanted record, and how many records are walked from it."""
-    h = hints.select("pid", "epoch", F.col("seq").alias("hint_seq"), F.col("pos").alias("hint_pos"))
-    w = wanted.withColumn("hint_seq", F.col("seq") - F.col("seq") % stride)
-    return w.join(h, ["pid", "epoch", "hint_seq"]).select("pid", "epoch", "seq", "hint_seq", "hint_pos", (F.col("seq") - F.col("hint_seq")).alias("walk"))
+    """The hint at or before each wanted record (pid, epoch, seg, seq, idx), and how many records are walked from it."""
+    h = hints.select("pid", "epoch", "seg", F.col("seq").alias("hint_seq"), F.col("idx").alias("hint_idx"), F.col("pos").alias("hint_pos"))
+    w = wanted.withColumn("hint_idx", F.col("idx") - F.col("idx") % stride)
+    return w.join(h, ["pid", "epoch", "seg", "hint_idx"]).select("pid", "epoch", "seg", "seq", "hint_seq", "hint_pos", (F.col("seq") - F.col("hint_seq")).alias("walk"))
 
 
 def valid_prefix(records: DataFrame) -> DataFrame:

@@ -52,9 +52,9 @@ def fetch_active(log: DataFrame, pid: int, seq: int, limit: int) -> DataFrame:
 
 
 def until_gap(log: DataFrame) -> DataFrame:
-    """Records before the first missing sequence number of each (pid, epoch)."""
+    """Records from seq 0 on before the first missing sequence number of each (pid, epoch)."""
     w = Window.partitionBy("pid", "epoch").orderBy("seq")
-    return log.withColumn("_gap", F.col("seq") - F.row_number().over(w)).withColumn("_first", F.first("_gap").over(w)).where("_gap = _first").drop("_gap", "_first")
+    return log.withColumn("_place", F.row_number().over(w) - 1).where("seq = _place").drop("_place")
 
 
 def fetch_batch(requests: DataFrame, log: DataFrame, placement: DataFrame, node: int, compat: bool = False) -> DataFrame:
@@ -75,6 +75,23 @@ def fetch_batch(requests: DataFrame, log: DataFrame, placement: DataFrame, node:
     return out.select("request_id", "status", "n", first.alias("first_seq"), (first + F.col("n") - 1).alias("last_seq"), redirect.alias("redirect"))
 
 
+def fetch_records(requests: DataFrame, log: DataFrame, answers: DataFrame) -> DataFrame:
+    """The records of fetch_batch's answers: request_id, place (from 0), pid, epoch, seq, topic, key, payload, lsn.
+
+    A record is looked up by the numbers that its request was granted, so a record that many ask for is joined by
+    equality, in as many tasks as there are partitions of it.
+    """
+    own = answers.where("n > 0").join(requests.select("request_id", "pid", "epoch"), "request_id")
+    rows = own.select("request_id", "pid", "epoch", "first_seq", F.explode(F.sequence("first_seq", "last_seq")).alias("seq"))
+    found = rows.join(log.select("pid", "epoch", "seq", "topic", "key", "payload"), ["pid", "epoch", "seq"])
+    return found.select("request_id", (F.col("seq") - F.col("first_seq")).alias("place"), "pid", "epoch", "seq", "topic", "key", "payload", C.lsn_encode(F.col("epoch"), F.col("seq")).alias("lsn"))
+
+
+def pinned_partition(pin: Column, key: Column, partitions: int) -> Column:
+    """The partition a publisher names, if it names one above 0; else that of the key."""
+    return F.when(pin > 0, F.pmod(pin, F.lit(partitions)).cast("int")).otherwise(C.key_partition(key, partitions))
+
+
 def publish_batches(df: DataFrame, order: str, keys: list[str], most: int, within: list[str]) -> DataFrame:
     """Numbers runs of successive rows with equal `keys`, cut at `most` rows: adds batch_id (from 1) per `within`."""
     w = Window.partitionBy(*within).orderBy(order)
@@ -88,9 +105,9 @@ def publish_batches(df: DataFrame, order: str, keys: list[str], most: int, withi
 
 
 def dedup(df: DataFrame, order: str, id_col: str = "msg_id") -> DataFrame:
-    """The first arrival of each (pid, message id)."""
-    first = df.groupBy("pid", id_col).agg(F.min(order).alias(order))
-    return df.join(first, ["pid", id_col, order], "left_semi")
+    """The first arrival of each (pid, message id): one shuffle, before which tasks drop what they see is later."""
+    first = F.row_number().over(Window.partitionBy("pid", id_col).orderBy(order))
+    return df.withColumn("_place", first).where("_place = 1").drop("_place")
 
 
 def high_watermark(log: DataFrame) -> DataFrame:

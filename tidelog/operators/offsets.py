@@ -13,6 +13,11 @@ def committed(commits: DataFrame) -> DataFrame:
     return commits.groupBy(*KEY).agg(F.max_by("off", "commit_order").alias("off"))
 
 
+def last_taken(commits: DataFrame) -> DataFrame:
+    """topic, pid, epoch, seq: the newest record that a subscriber committed."""
+    return commits.groupBy("topic", "pid").agg(F.max(F.struct("epoch", "seq")).alias("at")).select("topic", "pid", "at.*")
+
+
 def committed_or_zero(wanted: DataFrame, commits: DataFrame) -> DataFrame:
     return wanted.select(*KEY).join(committed(commits), KEY, "left").select(*KEY, F.coalesce("off", F.lit(0)).cast("long").alias("off"))
 
@@ -20,7 +25,7 @@ def committed_or_zero(wanted: DataFrame, commits: DataFrame) -> DataFrame:
 def lag(watermarks: DataFrame, offsets: DataFrame) -> DataFrame:
     """pid, grp, hwm, off, lag: watermarks (pid, hwm) of every group in offsets (pid, grp, off), 0 where it never committed."""
     groups = offsets.select("grp").distinct()
-    every = watermarks.crossJoin(F.broadcast(groups))  # consumer groups: a catalogue, not data
+    every = watermarks.crossJoin(groups)  # partitions by consumer groups: both catalogues, each pair a row of the result
     joined = every.join(offsets, ["pid", "grp"], "left").withColumn("off", F.coalesce("off", F.lit(0)).cast("long"))
     return joined.select("pid", "grp", "hwm", "off", (F.col("hwm") + 1 - F.col("off")).alias("lag"))
 

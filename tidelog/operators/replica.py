@@ -43,7 +43,8 @@ def append(requests: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Status of every append request in arrival order: pid, arrival, status, offset.
 
     requests: pid, arrival, topic, epoch, base_seq, n, sealed_end. Topics outside `known` are invalid and leave no
-    trace. A partition is one ordered fold with constant state per epoch; its requests pass through one task.
+    trace. A partition is one ordered fold: its requests pass through one task, sorted, a batch at a time, and what is
+    held is the state, one number an epoch.
     """
     if known is not None:
         named = known.select("topic").distinct().withColumn("_known", F.lit(True))
@@ -52,19 +53,31 @@ def append(requests: DataFrame, known: DataFrame | None = None) -> DataFrame:
         requests = requests.withColumn("_known", F.lit(True))
     requests = requests.select("pid", "arrival", "epoch", "base_seq", "n", "sealed_end", F.coalesce("_known", F.lit(False)).alias("known"))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, rows = State(), []
-        pdf = pdf.sort_values("arrival", kind="stable")
-        for pid, arrival, epoch, base, n, sealed, ok in pdf[["pid", "arrival", "epoch", "base_seq", "n", "sealed_end", "known"]].itertuples(index=False):
-            status, at = state.append(epoch, base, n, None if pd.isna(sealed) else int(sealed)) if ok else ("INVALID_REQUEST", -1)
-            rows.append((pid, arrival, status, at))
-        return pd.DataFrame(rows, columns=["pid", "arrival", "status", "offset"])
+    def fold(frames):
+        of, state = None, State()
+        for pdf in frames:
+            rows = []
+            for r in pdf.itertuples(index=False):
+                if r.pid != of:
+                    of, state = r.pid, State()
+                rows.append((r.pid, r.arrival, *answer(state, r)))
+            yield pd.DataFrame(rows, columns=["pid", "arrival", "status", "offset"])
 
-    return requests.groupBy("pid").applyInPandas(fold, OUT)
+    return requests.repartition("pid").sortWithinPartitions("pid", "arrival").mapInPandas(fold, OUT)
+
+
+def answer(state: State, r) -> tuple[str, int]:
+    """Status and offset of a request; one of an unknown topic leaves no trace."""
+    if not r.known:
+        return "INVALID_REQUEST", -1
+    return state.append(r.epoch, r.base_seq, r.n, None if pd.isna(r.sealed_end) else int(r.sealed_end))
 
 
 def append_stream(requests: DataFrame) -> DataFrame:
-    """The same over a stream of requests (pid, arrival, epoch, base_seq, n, sealed_end), with state per partition."""
+    """The same over a stream of requests (pid, arrival, epoch, base_seq, n, sealed_end, known), with state per partition.
+
+    Requests of a micro-batch are taken in the order of arrival; a micro-batch is what is held of them.
+    """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     def fold(key, frames, state):
@@ -73,8 +86,7 @@ def append_stream(requests: DataFrame) -> DataFrame:
         pdf = pd.concat(list(frames)).sort_values("arrival", kind="stable")
         rows = []
         for r in pdf.itertuples(index=False):
-            status, at = own.append(r.epoch, r.base_seq, r.n, None if pd.isna(r.sealed_end) else int(r.sealed_end))
-            rows.append((key[0], r.arrival, status, at))
+            rows.append((key[0], r.arrival, *answer(own, r)))
         state.update((own.highest, list(own.last), list(own.last.values())))
         yield pd.DataFrame(rows, columns=["pid", "arrival", "status", "offset"])
 

@@ -40,36 +40,36 @@ def heartbeat_filter(spark, sf):
 
 
 @query(f"with {T.MEMBERS}, g as (select broker_id + 20 as broker_id, 'PERSISTENCE' as role, 'gossip' as address from members) select coalesce(g.broker_id, m.broker_id) as broker_id, coalesce(g.role, m.role) as role, coalesce(g.address, m.address) as address from members m full join g on g.broker_id = m.broker_id")
-def members_overlay(spark, sf, members=T.members):
-    m = members(spark, sf)
+def members_overlay(spark, sf):
+    m = T.members(spark, sf)
     g = m.select((F.col("broker_id") + 20).alias("broker_id"), F.lit("PERSISTENCE").alias("role"), F.lit("gossip").alias("address"))
     return K.overlay(m, g)
 
 
 @query(f"with {T.MEMBERS}, {T.PIDS} select pid, broker_id, score from ({T.scores_sql()})")
-def hrw_score(spark, sf, members=T.members):
-    return K.scored(T.partitions(spark), members(spark, sf)).select("pid", "broker_id", "score")
+def hrw_score(spark, sf):
+    return K.scored(T.partitions(spark), T.members(spark, sf)).select("pid", "broker_id", "score")
 
 
 @query(f"with {T.MEMBERS}, {T.PIDS} select pid, cast(row_number() over (partition by pid order by score desc, broker_id) as integer) as place, broker_id, score from ({T.scores_sql()}) where role = 'PERSISTENCE' qualify place <= 3")
-def replica_set(spark, sf, members=T.members):
-    return K.replica_set(T.partitions(spark), members(spark, sf), 3)
+def replica_set(spark, sf):
+    return K.replica_set(T.partitions(spark), T.members(spark, sf), 3)
 
 
 @query(f"with {T.MEMBERS}, {T.PIDS} select pid, arg_max(broker_id, score) as \"primary\" from ({T.scores_sql()}) where role = 'INGESTION' group by pid")
-def hrw_primary(spark, sf, members=T.members):
-    return K.primary(T.partitions(spark), members(spark, sf))
+def hrw_primary(spark, sf):
+    return K.primary(T.partitions(spark), T.members(spark, sf))
 
 
 @query(f"with {T.MEMBERS}, odd as (select * from members where role = 'INGESTION'), {T.PIDS} select pid, cast(row_number() over (partition by pid order by score desc, broker_id) as integer) as place, broker_id, score from ({T.scores_sql('odd')}) qualify place <= 2")
-def role_fallback(spark, sf, members=T.members):
+def role_fallback(spark, sf):
     """No member stores data, so all are eligible."""
-    return K.replica_set(T.partitions(spark), members(spark, sf).where("role = 'INGESTION'"), 2)
+    return K.replica_set(T.partitions(spark), T.members(spark, sf).where("role = 'INGESTION'"), 2)
 
 
 @query(f"with {T.MEMBERS}, {T.PIDS} select broker_id, count(*) as partitions, max(score) as best from ({T.scores_sql()}) group by broker_id")
-def member_scores(spark, sf, members=T.members):
-    return K.scored(T.partitions(spark), members(spark, sf)).groupBy("broker_id").agg(F.count("*").alias("partitions"), F.max("score").alias("best"))
+def member_scores(spark, sf):
+    return K.scored(T.partitions(spark), T.members(spark, sf)).groupBy("broker_id").agg(F.count("*").alias("partitions"), F.max("score").alias("best"))
 
 
 _FOLD = """o as (select *, row_number() over (partition by node_id order by event_id) as i from attempts),
@@ -150,14 +150,33 @@ def backfill_plan(spark, sf):
     return K.backfill_plan(e, e.where((F.col("pid") + F.col("epoch")) % 3 == 0), 2).select("pid", "epoch", "end_seq")
 
 
-@query(f"""with {T.LOG}, s as (select pid, epoch, seq, octet_length(encode(payload)) as size from log where seq < 64),
+#: Backfill requests: one for every hundredth arrival's place, from offsets within, at and beyond the end of its epoch.
+_BACKFILL = """, br as (select pid * 100000 + epoch * 10 + k as request_id, pid, epoch, cast(k * 60 - 20 as bigint) as "offset" from (select distinct pid, epoch from log) g cross join (select range as k from range(4)) ks),
+bp as (select b.*, e.storage_nodes, h.hwm, list_contains(e.storage_nodes, 2) as here, greatest(b."offset", 0) as st from br b join epochs e on e.pid = b.pid and e.epoch = b.epoch join hw h on h.pid = b.pid and h.epoch = b.epoch),
+bs as (select p.request_id, l.pid, l.epoch, l.seq, octet_length(encode(payload)) as size, row_number() over (partition by p.request_id order by l.seq) as i from bp p join log l on l.pid = p.pid and l.epoch = p.epoch and l.seq >= p.st and l.seq < p.st + 64 where here),
 w as (with recursive x as (
-  select pid, epoch, seq, 0::bigint as pos, (size + 4 <= 400) as kept, case when size + 4 <= 400 then size + 4 else 0 end::bigint as used from s where seq = 0
-  union all select s.pid, s.epoch, s.seq, x.used, x.used + s.size + 4 <= 400, case when x.used + s.size + 4 <= 400 then x.used + s.size + 4 else x.used end
-  from x join s on s.pid = x.pid and s.epoch = x.epoch and s.seq = x.seq + 1) select * from x)
-select pid, epoch, seq, pos as "offset" from w where kept""")
+  select request_id, pid, epoch, seq, i, 0::bigint as byte_at, (size + 4 <= 400) as kept, case when size + 4 <= 400 then size + 4 else 0 end::bigint as used from bs where i = 1
+  union all select s.request_id, s.pid, s.epoch, s.seq, s.i, x.used, x.used + s.size + 4 <= 400, case when x.used + s.size + 4 <= 400 then x.used + s.size + 4 else x.used end
+  from x join bs s on s.request_id = x.request_id and s.i = x.i + 1) select * from x where kept)"""
+
+
+def _backfill(spark, sf):
+    e = T.epochs(spark, sf)
+    k = spark.range(4).select(F.col("id").alias("k"))
+    r = e.select("pid", "epoch").crossJoin(F.broadcast(k))  # four rows
+    r = r.select((F.col("pid") * 100000 + F.col("epoch") * 10 + F.col("k")).cast("long").alias("request_id"), "pid", "epoch", (F.col("k") * 60 - 20).alias("offset"))
+    return K.backfill_serve(T.events_log(spark, sf), r, e, 2, 64, 400)
+
+
+@query(f"with {T.EPOCHS}{_BACKFILL} select request_id, pid, epoch, seq, byte_at from w")
 def backfill_serve(spark, sf):
-    return K.backfill_serve(T.events_log(spark, sf), 64, 400)
+    return _backfill(spark, sf)[0]
+
+
+@query(f"""with {T.EPOCHS}{_BACKFILL}, sent as (select request_id, count(*) as n from w group by request_id)
+select p.request_id, coalesce(s.n, 0) as n, here and hwm < st + 64 as end_of_epoch, case when here then '' else array_to_string(storage_nodes, ',') end as redirect from bp p left join sent s on s.request_id = p.request_id""")
+def backfill_reply(spark, sf):
+    return _backfill(spark, sf)[1]
 
 
 @query(f"with {T.LOG} select pid, epoch, seq, event_id from log")

@@ -28,10 +28,9 @@ def segment_stats(spark, sf):
     return Y.segment_stats(_packed(spark, sf))
 
 
-@query(f"with {T.SEGMENTS}, w as (select pid, epoch, seq from log where event_id % 7 = 0) select w.pid, w.epoch, w.seq, s.seg from w join segs s on s.pid = w.pid and s.epoch = w.epoch and w.seq between first_seq and last_seq")
-def segment_lookup(spark, sf, of="event_id % 7 = 0"):
-    wanted = T.events_log(spark, sf).where(of).select("pid", "epoch", "seq")
-    return Y.segment_lookup(wanted, Y.segment_stats(_packed(spark, sf)))
+@query(f"with {T.SEGMENTS} select w.pid, w.epoch, w.seq, s.seg from log w join segs s on s.pid = w.pid and s.epoch = w.epoch and w.seq between first_seq and last_seq")
+def segment_lookup(spark, sf):
+    return Y.segment_lookup(T.events_log(spark, sf).select("pid", "epoch", "seq"), Y.segment_stats(_packed(spark, sf)))
 
 
 @query(f"with {T.SEGMENTS} select pid, epoch, seg, row_number() over (partition by pid order by epoch, first_seq, last_seq) as place from segs")
@@ -40,30 +39,28 @@ def segment_order(spark, sf):
     return Y.segment_stats(_packed(spark, sf)).select("pid", "epoch", "seg", F.row_number().over(w).cast("long").alias("place"))
 
 
-_DENSE = T.LOG + ", dense as (select pid, epoch, seq, cast(26 + coalesce(sum(octet_length(encode(payload)) + 8) over (partition by pid, epoch order by seq rows between unbounded preceding and 1 preceding), 0) as bigint) as pos from log)"
+_DENSE = T.SEGMENTS + ", dense as (select pid, epoch, seg, seq, row_number() over (partition by pid, epoch, seg order by seq) - 1 as idx, cast(26 + coalesce(sum(bytes) over (partition by pid, epoch, seg order by seq rows between unbounded preceding and 1 preceding), 0) as bigint) as pos from packing)"
 
 
 @query(f"with {_DENSE} select * from dense")
 def dense_index(spark, sf):
-    return Y.dense_index(T.events_log(spark, sf))
+    return Y.dense_index(_packed(spark, sf))
 
 
-@query(f"with {_DENSE} select d.* from dense d join log l on l.pid = d.pid and l.epoch = d.epoch and l.seq = d.seq where l.event_id % 13 = 0")
-def dense_lookup(spark, sf, of="event_id % 13 = 0"):
-    log = T.events_log(spark, sf)
-    wanted = log.where(of).select("pid", "epoch", "seq")
-    return Y.dense_index(log).join(wanted, ["pid", "epoch", "seq"])
+@query(f"with {_DENSE} select d.* from dense d join log l on l.pid = d.pid and l.epoch = d.epoch and l.seq = d.seq")
+def dense_lookup(spark, sf):
+    return Y.dense_index(_packed(spark, sf)).join(T.events_log(spark, sf).select("pid", "epoch", "seq"), ["pid", "epoch", "seq"])
 
 
-@query(f"with {_DENSE} select * from dense where seq % 64 = 0")
+@query(f"with {_DENSE} select * from dense where idx % 16 = 0")
 def sparse_hints(spark, sf):
-    return Y.sparse_hints(Y.dense_index(T.events_log(spark, sf)), 64)
+    return Y.sparse_hints(Y.dense_index(_packed(spark, sf)), 16)
 
 
-@query(f"with {_DENSE} select d.pid, d.epoch, d.seq, h.seq as hint_seq, h.pos as hint_pos, d.seq - h.seq as walk from dense d join dense h on h.pid = d.pid and h.epoch = d.epoch and h.seq = d.seq - d.seq % 64")
+@query(f"with {_DENSE} select d.pid, d.epoch, d.seg, d.seq, h.seq as hint_seq, h.pos as hint_pos, d.seq - h.seq as walk from dense d join dense h on h.pid = d.pid and h.epoch = d.epoch and h.seg = d.seg and h.idx = d.idx - d.idx % 16")
 def hint_lookup(spark, sf):
-    index = Y.dense_index(T.events_log(spark, sf))
-    return Y.hint_lookup(index.select("pid", "epoch", "seq"), Y.sparse_hints(index, 64), 64)
+    index = Y.dense_index(_packed(spark, sf))
+    return Y.hint_lookup(index.drop("pos"), Y.sparse_hints(index, 16), 16)
 
 
 @query(f"with {T.LOG}, b as (select pid, epoch, min(seq) as bad from log where event_id % 211 = 5 group by pid, epoch) select l.pid, l.epoch, l.seq from log l left join b on b.pid = l.pid and b.epoch = l.epoch where bad is null or l.seq < bad")

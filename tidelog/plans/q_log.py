@@ -20,40 +20,58 @@ def build_log_seq(spark, sf):
 
 @query(f"with {T.LOG} select pid, epoch, seq, payload from log where pid = 3 and epoch = 0 and seq >= 20 and seq < 80")
 def fetch_range(spark, sf):
-    return T.events_log(spark, sf).where("pid = 3 and epoch = 0").where(L.lsn_range(20, 80)).select("pid", "epoch", "seq", "payload")
+    return T.stored_log(spark, sf).where("pid = 3 and epoch = 0").where(L.lsn_range(20, 80)).select("pid", "epoch", "seq", "payload")
 
 
 @query(f"with {T.LOG} select pid, epoch, seq, payload from log where pid = 3 and epoch = 0 and seq >= 5 order by seq limit 10")
 def fetch_limit(spark, sf):
-    return L.fetch(T.events_log(spark, sf), 3, 0, 5, 10).select("pid", "epoch", "seq", "payload")
+    return L.fetch(T.stored_log(spark, sf), 3, 0, 5, 10).select("pid", "epoch", "seq", "payload")
 
 
 @query(f"with {T.LOG} select pid, epoch, seq, payload from log where pid = 5 and epoch = (select max(epoch) from log where pid = 5) order by seq limit 25")
 def fetch_active_epoch(spark, sf):
-    return L.fetch_active(T.events_log(spark, sf), 5, -1, 25).select("pid", "epoch", "seq", "payload")
+    return L.fetch_active(T.stored_log(spark, sf), 5, -1, 25).select("pid", "epoch", "seq", "payload")
 
 
 @query(f"with {T.LOG} select pid, epoch, seq from (select *, lag(seq) over (partition by pid, epoch order by seq) as p, max(case when event_id % 200 = 77 then 1 else 0 end) over (partition by pid, epoch order by seq rows unbounded preceding) as broken from log) where broken = 0")
 def fetch_cross_segment(spark, sf):
     """A scan over all segments that ends at the first missing record (event ids 77 modulo 200 are lost)."""
-    log = T.events_log(spark, sf)
-    lost = log.where("event_id % 200 <> 77")
-    first = log.groupBy("pid", "epoch").agg(F.min("seq").alias("_s"))
-    w = Window.partitionBy("pid", "epoch").orderBy("seq")
-    return lost.join(first, ["pid", "epoch"]).withColumn("_r", F.row_number().over(w) - 1).where("seq - _s = _r").select("pid", "epoch", "seq")
+    return L.until_gap(T.events_log(spark, sf).where("event_id % 200 <> 77")).select("pid", "epoch", "seq")
 
 
-_REQ = """req as (select event_id as request_id, cast(event_id % 16 as integer) as pid, event_id % 5 as epoch, (event_id * 7) % 300 - 5 as seq, cast(event_id % 9 as integer) as max_messages from events where event_id % 10 = 0)"""
+_REQ = """req as (select event_id as request_id, cast(event_id % 16 as integer) as pid, event_id % 5 as epoch, (event_id * 7) % 300 - 5 as seq, cast(event_id % 9 as integer) as max_messages from events)"""
 
 
 @query(f"""with {T.EPOCHS}, {_REQ},
 j as (select r.*, e.storage_nodes, h.hwm, greatest(r.seq, 0) as s, case when h.hwm >= greatest(r.seq, 0) then least(h.hwm - greatest(r.seq, 0) + 1, r.max_messages) else 0 end as k from req r left join epochs e on e.pid = r.pid and e.epoch = r.epoch left join hw h on h.pid = r.pid and h.epoch = r.epoch),
 t as (select *, case when storage_nodes is not null and not list_contains(storage_nodes, 2) then 'NOT_IN_PLACEMENT' when hwm is null then 'EPOCH_MISSING' else 'OK' end as status from j)
 select request_id, status, cast(case when status = 'OK' then k else 0 end as bigint) as n, case when status = 'OK' and k > 0 then s end as first_seq, case when status = 'OK' and k > 0 then s + k - 1 end as last_seq, case when status = 'NOT_IN_PLACEMENT' then array_to_string(storage_nodes, ',') else '' end as redirect from t""")
-def fetch_status_redirect(spark, sf, of="event_id % 10 = 0"):
-    e = T.table(spark, sf, "events").where(of)
-    req = e.select(F.col("event_id").alias("request_id"), (F.col("event_id") % 16).cast("int").alias("pid"), (F.col("event_id") % 5).alias("epoch"), ((F.col("event_id") * 7) % 300 - 5).alias("seq"), (F.col("event_id") % 9).cast("int").alias("max_messages"))
-    return L.fetch_batch(req, T.events_log(spark, sf), T.epochs(spark, sf).select("pid", "epoch", "storage_nodes"), 2)
+def fetch_status_redirect(spark, sf):
+    req = _requests(spark, sf)
+    return L.fetch_batch(req, T.stored_log(spark, sf), T.epochs(spark, sf).select("pid", "epoch", "storage_nodes"), 2)
+
+
+def _requests(spark, sf):
+    """A fetch for every event."""
+    e = T.table(spark, sf, "events")
+    return e.select(F.col("event_id").alias("request_id"), (F.col("event_id") % 16).cast("int").alias("pid"), (F.col("event_id") % 5).alias("epoch"), ((F.col("event_id") * 7) % 300 - 5).alias("seq"), (F.col("event_id") % 9).cast("int").alias("max_messages"))
+
+
+@query(f"""with {T.EPOCHS}, {_REQ},
+j as (select r.*, e.storage_nodes, h.hwm, greatest(r.seq, 0) as s from req r join epochs e on e.pid = r.pid and e.epoch = r.epoch join hw h on h.pid = r.pid and h.epoch = r.epoch where list_contains(e.storage_nodes, 2))
+select request_id, l.seq - s as place, l.pid, l.epoch, l.seq, topic, key, payload, (l.epoch << 40) | l.seq as lsn from j join log l on l.pid = j.pid and l.epoch = j.epoch and l.seq >= s and l.seq < s + max_messages""")
+def fetch_reply(spark, sf):
+    """The records of every OK answer of fetch_status_redirect, in order."""
+    log = T.stored_log(spark, sf)
+    req = _requests(spark, sf)
+    return L.fetch_records(req, log, L.fetch_batch(req, log, T.epochs(spark, sf).select("pid", "epoch", "storage_nodes"), 2))
+
+
+@query(f"with {T.ARRIVALS} select event_id, cast(case when user_id % 24 > 0 then user_id % 24 % 16 else pid end as integer) as pid from routed")
+def publish_pinned(spark, sf):
+    """Publishers that name their partition."""
+    a = T.arrivals(spark, sf)
+    return a.select("event_id", L.pinned_partition(F.col("user_id") % 24, F.col("key").cast("binary"), T.PARTITIONS).alias("pid"))
 
 
 _BATCH = """changes as (select *, case when {key} then 0 else 1 end as c from (select *, {lags} from routed)),
@@ -99,11 +117,13 @@ def high_watermark(spark, sf):
     return L.high_watermark(T.events_log(spark, sf))
 
 
-@query(f"with {T.HWM}, w as (select p.pid, e.epoch from pids p cross join (select range as epoch from range(6)) e), {T.PIDS} select w.pid, w.epoch, coalesce(hwm, -1) as hwm, case when hwm is not null then (w.epoch << 40) | hwm end as lsn from w left join hw on hw.pid = w.pid and hw.epoch = w.epoch".replace(", w as", f", {T.PIDS}, w as").replace(f", {T.PIDS} select", " select"))
+@query(f"with {T.HWM}, {T.PIDS}, w as (select p.pid, e.epoch from pids p cross join (select distinct epoch from log union select max(epoch) + 1 from log) e) select w.pid, w.epoch, coalesce(hwm, -1) as hwm, case when hwm is not null then (w.epoch << 40) | hwm end as lsn from w left join hw on hw.pid = w.pid and hw.epoch = w.epoch")
 def epoch_status(spark, sf):
-    wanted = T.partitions(spark).crossJoin(spark.range(6).select(F.col("id").alias("epoch")))
+    """Every partition in every epoch that the log has, and in one that it hasn't."""
+    known = T.routed(spark, sf).select("epoch").distinct()
+    asked = known.unionByName(known.agg((F.max("epoch") + 1).alias("epoch")))
     h = L.high_watermark(T.events_log(spark, sf))
-    out = wanted.join(h, ["pid", "epoch"], "left")
+    out = F.broadcast(T.partitions(spark)).crossJoin(asked).join(h, ["pid", "epoch"], "left")  # sixteen partitions
     return out.select("pid", "epoch", F.coalesce("hwm", F.lit(-1)).cast("long").alias("hwm"), C.lsn_encode(F.col("epoch"), F.col("hwm")).alias("lsn"))
 
 
@@ -121,28 +141,28 @@ def durable_at(spark, sf):
 
 
 @query(f"with {T.COMMITS} select topic, grp, pid, arg_max(off, commit_order) as off from commits group by topic, grp, pid")
-def committed_offsets(spark, sf, commits=T.commits):
-    return O.committed(commits(spark, sf))
+def committed_offsets(spark, sf):
+    return O.committed(T.commits(spark, sf))
 
 
 @query(f"with {T.COMMITS}, c as (select topic, grp, pid, arg_max(off, commit_order) as off from commits group by topic, grp, pid), {T.PIDS} select t.topic, g.grp, p.pid, coalesce(c.off, 0) as off from (select distinct topic from routed) t cross join (select distinct grp from commits union select 'late') g cross join pids p left join c on c.topic = t.topic and c.grp = g.grp and c.pid = p.pid")
-def committed_default(spark, sf, commits=T.commits):
-    c = commits(spark, sf)
+def committed_default(spark, sf):
+    c = T.commits(spark, sf)
     groups = c.select("grp").distinct().unionByName(spark.createDataFrame([("late",)], "grp string"))
     wanted = T.arrivals(spark, sf).select("topic").distinct().crossJoin(groups).crossJoin(T.partitions(spark))
     return O.committed_or_zero(wanted, c)
 
 
 @query(f"with {T.COMMITS}, h as (select pid, count(*) - 1 as hwm from routed group by pid), c as (select grp, pid, arg_max(off, commit_order) as off from commits group by grp, pid), g as (select distinct grp from c) select h.pid, g.grp, h.hwm, coalesce(c.off, 0) as off, h.hwm + 1 - coalesce(c.off, 0) as lag from h cross join g left join c on c.pid = h.pid and c.grp = g.grp")
-def consumer_lag(spark, sf, commits=T.commits):
+def consumer_lag(spark, sf):
     h = T.routed(spark, sf).groupBy("pid").agg((F.count("*") - 1).alias("hwm"))
-    c = commits(spark, sf).groupBy("grp", "pid").agg(F.max_by("off", "commit_order").alias("off"))
+    c = T.commits(spark, sf).groupBy("grp", "pid").agg(F.max_by("off", "commit_order").alias("off"))
     return O.lag(h, c)
 
 
 @query(f"with {T.COMMITS} select topic, grp, count(*) as replayed, count(distinct pid) as partitions from commits group by topic, grp")
-def replay_count(spark, sf, commits=T.commits):
-    return O.replay_count(commits(spark, sf))
+def replay_count(spark, sf):
+    return O.replay_count(T.commits(spark, sf))
 
 
 @query(f"with {T.ARRIVALS} select event_id, topic from routed where topic in ('click', 'purchase', 'view')")

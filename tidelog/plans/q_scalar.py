@@ -17,13 +17,10 @@ def lsn_encode(spark, sf):
     return T.events_log(spark, sf).select("pid", "epoch", "seq", C.lsn_encode(F.col("epoch"), F.col("seq")).alias("lsn"))
 
 
-@query("with x as (select o_orderkey * 1099511627776 + o_custkey as lsn from orders where o_orderkey < 8000000) select lsn, (lsn >> 40) & 16777215 as epoch, lsn & 1099511627775 as seq from x")
+@query("with x as (select ((o_orderkey % 16777216) - case when o_orderkey % 16777216 >= 8388608 then 16777216 else 0 end) * 1099511627776 + o_custkey as lsn from orders) select lsn, (lsn >> 40) & 16777215 as epoch, lsn & 1099511627775 as seq from x")
 def lsn_decode(spark, sf):
-    return _decoded(T.table(spark, sf, "orders").where("o_orderkey < 8000000"))
-
-
-def _decoded(orders):
     """The epoch is the 24 low bits of the key; those of 2**23 and more make the number negative."""
+    orders = T.table(spark, sf, "orders")
     lsn = (F.shiftleft(F.col("o_orderkey").cast("long"), 40) + F.col("o_custkey")).alias("lsn")
     x = orders.select(lsn)
     return x.select("lsn", C.lsn_epoch(F.col("lsn")).alias("epoch"), C.lsn_seq(F.col("lsn")).alias("seq"))
@@ -47,7 +44,7 @@ def partition_round_robin(spark, sf):
     """Arrival rank without one global sort task: ranks within id ranges, offset by a prefix sum over the ranges."""
     from pyspark.sql import Window
 
-    e = T.table(spark, sf, "events").select("event_id").withColumn("_r", F.floor(F.col("event_id") / 4096))
+    e = T.table(spark, sf, "events").select("event_id").withColumn("_r", F.shiftright("event_id", 20))
     sizes = e.groupBy("_r").agg(F.count("*").alias("n"))
     base = sizes.withColumn("_base", F.coalesce(F.sum("n").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_r", "_base")
     rank = F.row_number().over(Window.partitionBy("_r").orderBy("event_id")) - 1 + F.col("_base")
@@ -127,6 +124,13 @@ def dlq_route(spark, sf):
     return out.select("event_id", "target", ((F.col("target") == F.col("topic")) | F.col("known").isNotNull()).alias("accepted"))
 
 
+@query("select * from (values ('', 0::bigint), ('a', 3251651376), ('abc', 910901175), ('123456789', 3808858755), ('The quick brown fox jumps over the lazy dog', 576848900)) v(name, crc32c)")
+def crc32c_vectors(spark, sf):
+    """Published check values of the checksum."""
+    names = spark.createDataFrame([(x,) for x in ("", "a", "abc", "123456789", "The quick brown fox jumps over the lazy dog")], "name string")
+    return names.select("name", crc32c_col(F.col("name").cast("binary")).alias("crc32c"))
+
+
 @query()
 def crc32c_records(spark, sf):
     return T.events_log(spark, sf).select("pid", "epoch", "seq", crc32c_col(F.col("payload").cast("binary")).alias("crc32c"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..operators import offsets as O
 from ..operators import replica as R
 from ..streaming import streams as S
 from . import tables as T
+from .q_cluster import _REQS
 from .registry import query
 
 
@@ -33,8 +36,8 @@ def stream_hwm(spark, sf):
 
 
 @query(f"with {T.COMMITS} select topic, grp, pid, arg_max(off, commit_order) as off from commits group by topic, grp, pid")
-def stream_commit(spark, sf, of="event_id % 3 = 0"):
-    a = _arrivals(spark, sf).where(of)
+def stream_commit(spark, sf):
+    a = _arrivals(spark, sf)
     c = a.select("topic", F.concat(F.lit("g"), (F.col("user_id") % 4).cast("string")).alias("grp"), "pid", F.struct("event_id", (F.col("event_id") % 1000).alias("off")).alias("at"))
     return S.drain(c.groupBy("topic", "grp", "pid").agg(F.max("at").alias("at")).select("topic", "grp", "pid", "at.off"), "complete")
 
@@ -47,19 +50,46 @@ def stream_ack_join(spark, sf):
     return S.drain(S.acknowledgements(sent, acks, "60 days", "30 days").select("correlation_id", "ack_id"))
 
 
-@query("with e as (select cast(user_id % 16 as integer) as pid, event_id as arrival from events) select pid, arrival, 'SUCCESS' as status, row_number() over (partition by pid order by arrival) - 1 as \"offset\" from e")
+@query(f"with {_REQS.format(n='event_id % 4')} select * from fold")
 def stream_replica_append(spark, sf):
-    """Contiguous single appends: each gets the next sequence number (base below the end is acknowledged, never a gap)."""
-    e = S.source(spark, f"{sf}/events.parquet").select((F.col("user_id") % 16).cast("int").alias("pid"), F.col("event_id").alias("arrival"))
+    """replica_append_batch's requests, with their duplicates, gaps, stale and sealed epochs, as a stream."""
+    path = S.shared(spark, "requests") + "/requests.parquet"
+    req = T.append_requests(spark, sf).withColumn("known", F.col("topic") != "purchase")
+    req.select("pid", "arrival", "epoch", "base_seq", "n", "sealed_end", "known").write.parquet(path)
+    return S.drain(R.append_stream(S.source(spark, path + "/")))
 
-    def number(key, frames, state):
-        import pandas as pd
 
-        n = state.get[0] if state.exists else 0
-        pdf = pd.concat(list(frames)).sort_values("arrival")
-        own = R.State(0, {0: n - 1})
-        rows = [(key[0], a, *own.append(0, own.last[0] + 1, 1, None)) for a in pdf["arrival"].tolist()]
-        state.update((own.last[0] + 1,))
-        yield pd.DataFrame(rows, columns=["pid", "arrival", "status", "offset"])
+def _delivered(spark, sf):
+    """A subscriber takes the log's older epochs, commits, and is started anew over the whole log: what it was given.
 
-    return S.drain(e.groupBy("pid").applyInPandasWithState(number, R.OUT, "n long", "append", "NoTimeout"))
+    Its second life has a checkpoint of its own, so only the committed offsets tell where to go on.
+    """
+    path, out, offsets = (S.shared(spark, n) for n in ("subscribed", "delivered", "offsets"))
+    log = T.stored_log(spark, sf).select("pid", "epoch", "seq", "topic", "event_id")
+    half = log.agg(F.floor(F.max("epoch") / 2).alias("h")).first()["h"]
+    for life, part in enumerate((log.where(F.col("epoch") <= half), log.where(F.col("epoch") > half))):
+        part.write.mode("append").parquet(path)
+
+        def handle(batch, number, life=life):
+            w = Window.partitionBy("pid").orderBy("epoch", "seq")
+            batch.withColumn("place", F.row_number().over(w)).withColumn("life", F.lit(life)).write.mode("overwrite").parquet(f"{out}/life={life}/batch={number}")
+
+        def commit(last, number, life=life):
+            last.select("topic", "pid", "at.epoch", "at.seq").write.mode("overwrite").parquet(f"{offsets}/life={life}/batch={number}")
+
+        taken = O.last_taken(spark.read.parquet(offsets)) if life else None
+        S.subscribe(S.source(spark, path + "/"), handle, commit, S.shared(spark, "state"), "click", taken).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out), O.last_taken(spark.read.parquet(offsets))
+
+
+_LIVES = T.LOG + ", h as (select max(epoch) // 2 as h from log), lives as (select log.*, case when epoch <= h then 0 else 1 end as life from log, h where topic = 'click')"
+
+
+@query(f"with {_LIVES} select pid, epoch, seq, event_id, life, cast(row_number() over (partition by pid, life order by epoch, seq) as integer) as place from lives")
+def stream_subscribe_resume(spark, sf):
+    return _delivered(spark, sf)[0].select("pid", "epoch", "seq", "event_id", "life", "place")
+
+
+@query(f"with {_LIVES} select topic, pid, max(epoch) as epoch, arg_max(seq, (epoch << 40) | seq) as seq from lives group by topic, pid")
+def stream_subscribe_commits(spark, sf):
+    return _delivered(spark, sf)[1]

@@ -32,11 +32,6 @@ def routed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def members(spark: SparkSession, sf: str) -> DataFrame:
-    """The nodes of ids up to 40."""
-    return all_members(spark, sf).where("broker_id <= 40")
-
-
-def all_members(spark: SparkSession, sf: str) -> DataFrame:
     """Nodes from suppliers: role by parity."""
     s = table(spark, sf, "supplier")
     return s.select(F.col("s_suppkey").cast("long").alias("broker_id"), F.when(F.col("s_suppkey") % 2 == 0, "PERSISTENCE").otherwise("INGESTION").alias("role"), F.col("s_name").alias("address"))
@@ -47,11 +42,6 @@ def partitions(spark: SparkSession) -> DataFrame:
 
 
 def commits(spark: SparkSession, sf: str) -> DataFrame:
-    """The commits of every third event."""
-    return all_commits(spark, sf).where("commit_order % 3 = 0")
-
-
-def all_commits(spark: SparkSession, sf: str) -> DataFrame:
     """Every event commits an offset for one of four groups."""
     r = routed(spark, sf)
     return r.select(F.col("event_id").alias("commit_order"), "topic", F.concat(F.lit("g"), (F.col("user_id") % 4).cast("string")).alias("grp"), "pid", (F.col("event_id") % 1000).alias("off"))
@@ -64,6 +54,20 @@ def attempts(spark: SparkSession, sf: str) -> DataFrame:
     return r.select("pid", F.floor(F.col("event_id") / 5).cast("long").alias("batch_id"), (F.col("event_id") % NODES).alias("node_id"), F.when(F.col("topic") == "error", "FAILURE").when(F.col("event_id") % 7 == 0, "FAILURE").otherwise("SUCCESS").alias("status"), lat.alias("latency_ns"), "event_id")
 
 
+def stored_log(spark: SparkSession, sf: str) -> DataFrame:
+    """The log as L.write_log stores it, written once a session and table: fetches read the files they need."""
+    from ..streaming.streams import shared
+
+    key = f"{spark.sparkContext.applicationId}:{sf}"
+    if key not in _stored:
+        _stored[key] = shared(spark, "log")
+        L.write_log(events_log(spark, sf).select("pid", "epoch", "seq", "topic", "key", "payload", "event_id"), _stored[key])
+    return spark.read.parquet(_stored[key])
+
+
+_stored: dict[str, str] = {}
+
+
 def configs(spark: SparkSession, sf: str) -> DataFrame:
     """Configuration updates as they arrive, versions out of order."""
     o = table(spark, sf, "orders")
@@ -99,11 +103,11 @@ HWM = LOG + ", hw as (select pid, epoch, max(seq) as hwm, count(*) as records fr
 EPOCHS = HWM + """, nw as (select pid, max(epoch) as newest from hw group by pid),
 epochs as (select hw.pid, epoch, 0::bigint as start_seq, case when epoch < newest then hwm else -1 end as end_seq, 2 as ack_quorum,
   [cast((hw.pid + epoch) % 5 as integer), cast((hw.pid + epoch + 1) % 5 as integer), cast((hw.pid + epoch + 2) % 5 as integer)] as storage_nodes, epoch * 7 + 1 as tie_breaker from hw join nw on hw.pid = nw.pid)"""
-COMMITS = ARRIVALS + ", commits as (select event_id as commit_order, topic, 'g' || (user_id % 4) as grp, pid, event_id % 1000 as off from routed where event_id % 3 = 0)"
+COMMITS = ARRIVALS + ", commits as (select event_id as commit_order, topic, 'g' || (user_id % 4) as grp, pid, event_id % 1000 as off from routed)"
 ATTEMPTS = ARRIVALS + """, attempts as (select pid, event_id // 5 as batch_id, event_id % 5 as node_id,
   case when topic = 'error' or event_id % 7 = 0 then 'FAILURE' else 'SUCCESS' end as status, cast(floor(abs(value) * 1e6) as bigint) as latency_ns, event_id from routed)"""
 CONFIGS = "configs as (select cast(o_custkey % 64 as integer) as pid, o_orderkey % 97 as config_version, o_orderkey as arrival, o_orderkey % 11 as epoch, o_orderkey % 13 as tie from orders)"
-MEMBERS = "members as (select cast(s_suppkey as bigint) as broker_id, case when s_suppkey % 2 = 0 then 'PERSISTENCE' else 'INGESTION' end as role, s_name as address from supplier where s_suppkey <= 40)"
+MEMBERS = "members as (select cast(s_suppkey as bigint) as broker_id, case when s_suppkey % 2 = 0 then 'PERSISTENCE' else 'INGESTION' end as role, s_name as address from supplier)"
 PIDS = "pids as (select cast(range as integer) as pid from range(16))"
 _M = "(({0})::uhugeint * {1}::uhugeint % 18446744073709551616::uhugeint)::ubigint"
 _X = "xor({0}, {0} >> 33)"

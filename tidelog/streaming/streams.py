@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,12 +20,28 @@ def source(spark: SparkSession, path: str, files_per_trigger: int | None = None)
     return reader.option("pathGlobFilter", name).parquet(folder) if name.endswith(".parquet") else reader.parquet(path)
 
 
-def subscribe(stream: DataFrame, handler: Callable[[DataFrame, int], None], commit: Callable[[DataFrame, int], None], checkpoint: str, topic: str | None = None):
+def shared(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the driver and all executors share; a temporary one only on a local master."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="tidelog-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def subscribe(stream: DataFrame, handler: Callable[[DataFrame, int], None], commit: Callable[[DataFrame, int], None], checkpoint: str, topic: str | None = None, committed: DataFrame | None = None):
     """Delivers each micro-batch in (pid, epoch, seq) order to `handler`, then to `commit`: at least once.
 
-    The batch number lets either side skip a batch that is delivered again after a failure.
+    The batch number lets either side skip a batch that is delivered again after a failure. A restart with the same
+    checkpoint goes on where it ended; a new one resumes behind the offsets in `committed` (topic, pid, epoch, seq: the
+    last record that was taken).
     """
     wanted = stream if topic is None else stream.where(F.col("topic") == topic)
+    if committed is not None:
+        at = committed.select("topic", "pid", F.struct("epoch", "seq").alias("_at"))
+        wanted = wanted.join(at, ["topic", "pid"], "left").where("_at is null or struct(epoch, seq) > _at").drop("_at")
 
     def deliver(batch: DataFrame, number: int) -> None:
         ordered = batch.repartition("pid").sortWithinPartitions("pid", "epoch", "seq")
@@ -56,10 +73,7 @@ def acknowledgements(requests: DataFrame, acks: DataFrame, delay: str, within: s
 def drain(result: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a streaming result over what its sources hold now and gives it as a table."""
     spark = result.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="tidelog-stream-")
-    base = f"{root.rstrip('/')}/stream-{id(result)}-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
+    base = shared(spark, "stream")
     if mode == "append":
         q = result.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
         q.awaitTermination()
