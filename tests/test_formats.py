@@ -1,13 +1,18 @@
 """Byte formats, recovery after torn writes, and the append state machine."""
 
+import datetime
 import random
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
+from tidelog.operators import cluster, layout, log, replica
 from tidelog.operators.replica import State
 from tidelog.sources import codec, seglog
+from tidelog.streaming import streams
 
 
 @settings(max_examples=60, deadline=None)
@@ -97,3 +102,89 @@ def test_stored_records_never_have_gaps():
         status, _ = state.append(epoch, base, n, None)
         after = state.last.get(epoch, -1)
         assert after >= before and (after == before or status == "SUCCESS" and base <= before + 1)
+
+
+def test_adaptive_replication_equals_brute_force(spark):
+    """Event by event: what starts, what answers, what is left to the background."""
+    rng = random.Random(5)
+    rows = [(pid, batch, node, rng.random() < 0.7, float(rng.randint(1, 10**8))) for pid in range(3) for batch in range(40) for node in range(5) if rng.random() < 0.9]
+    quorum, deadline = 2, 1.2e8
+    want = []
+    for pid in range(3):
+        est = {}
+        for batch in sorted({r[1] for r in rows if r[0] == pid}):
+            nodes = {r[2]: r[3:] for r in rows if r[:2] == (pid, batch)}
+            order = sorted(nodes, key=lambda n: (est.get(n, 1e6), n))
+            need, begun, heard, wins, at, end = min(quorum, len(nodes)), {}, set(), 0, 0.0, None
+            for n in order[:need]:
+                begun[n] = 0.0
+            while wins < need and len(heard) < len(begun):
+                at, n = min((begun[n] + nodes[n][1], n) for n in begun if n not in heard)
+                if at > deadline:
+                    break
+                heard.add(n)
+                wins += nodes[n][0]
+                est[n] = 0.8 * est.get(n, 1e6) + 0.2 * nodes[n][1] if nodes[n][0] else max(min(2 * est.get(n, 1e6), 1e10), 1e6)
+                more = [x for x in order if x not in begun]
+                if not nodes[n][0] and more:
+                    begun[more[0]] = at
+                if wins == need:
+                    end = at
+            rest = [n for n in order if n not in begun] if wins == need else []
+            if wins == need:
+                for n in [x for x in order if x in begun and x not in heard] + rest:
+                    est[n] = 0.8 * est.get(n, 1e6) + 0.2 * nodes[n][1] if nodes[n][0] else max(min(2 * est.get(n, 1e6), 1e10), 1e6)
+            want.append((pid, batch, len(begun), wins == need, end, len(rest)))
+    df = spark.createDataFrame(rows, "pid int, batch_id long, node_id long, ok boolean, latency_ns double").repartition(3)
+    got = sorted(tuple(r) for r in cluster.adaptive_replication(df, quorum, deadline=deadline).collect())
+    assert got == want and {r[3] for r in got} == {True, False} and any(r[5] for r in got)
+
+
+def test_partitions_are_folded_across_batches(spark):
+    """Ordered folds carry their state from one Arrow batch to the next."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rng = random.Random(2)
+    rows = [(p, i, 0, max(0, i // 2 - rng.randint(0, 2)), 1, None) for p in range(3) for i in range(60)]
+    schema = "pid int, arrival long, epoch long, base_seq long, n long, sealed_end long"
+    df = spark.createDataFrame(rows, schema)
+    sized = spark.createDataFrame([(p, 0, i, "x" * rng.randint(0, 9)) for p in range(3) for i in range(200)], "pid int, epoch long, seq long, payload string")
+    beats = spark.createDataFrame([(n, i, "SUCCESS" if rng.random() < 0.8 else "FAILURE", rng.randint(1, 10**7)) for n in range(3) for i in range(100)], "node_id long, at long, status string, latency_ns long")
+    run = lambda: [sorted(tuple(r) for r in x.collect()) for x in (replica.append(df.withColumn("topic", F.lit("t"))), layout.pack_segments(sized, 120), cluster.ewma(beats, "at"))]
+    want = run()
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        assert run() == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    for p in range(3):
+        state = State()
+        assert [r[2:] for r in want[0] if r[0] == p] == [state.append(r[2], r[3], r[4], None) for r in rows if r[0] == p]
+
+
+def test_what_cannot_be_built_is_refused():
+    for bad in ({"ring": 6}, {"ring": 1}, {"ring": 8, "batch": 9}, {"batch": 0}, {"partitions": 0}, {"quorum": 2}, {"quorum": 0}):
+        with pytest.raises(ValueError):
+            log.check_arguments(**bad)
+    log.check_arguments(ring=8, batch=8, partitions=3, quorum=2, nodes=3)
+
+
+def test_duplicates_within_a_watermark(spark, tmp_path):
+    """Late repeats within the delay are dropped; the state behind the watermark is let go."""
+    path = str(tmp_path / "in")
+    at = lambda s: datetime.datetime(2024, 1, 1, 0, 0, s)
+    spark.createDataFrame([(1, at(0)), (1, at(1)), (2, at(5)), (2, at(5))], "id long, ts timestamp").write.parquet(path)
+    out = streams.drain(streams.dedup(streams.source(spark, path + "/"), ["id"], "ts", "10 seconds"))
+    assert sorted(r.id for r in out.collect()) == [1, 2]
+
+
+def test_a_subscriber_is_given_what_follows_its_commits(spark, tmp_path):
+    path, seen = str(tmp_path / "log"), []
+    spark.createDataFrame([("t", 0, 0, i) for i in range(6)] + [("t", 1, 0, i) for i in range(4)] + [("u", 0, 0, 9)], "topic string, pid int, epoch long, seq long").write.parquet(path)
+    taken = spark.createDataFrame([("t", 0, 0, 3)], "topic string, pid int, epoch long, seq long")
+    commits = []
+    run = lambda life, at: streams.subscribe(streams.source(spark, path + "/"), lambda b, n: seen.extend((r.pid, r.seq) for r in b.collect()), lambda c, n: commits.extend((r.pid, r["at"].seq) for r in c.collect()), str(tmp_path / life), "t", at).trigger(availableNow=True).start().awaitTermination()
+    run("new", taken)
+    assert sorted(seen) == [(0, 4), (0, 5), (1, 0), (1, 1), (1, 2), (1, 3)] and sorted(commits) == [(0, 5), (1, 3)]
+    assert [s for p, s in seen if p == 1] == [0, 1, 2, 3]
+    run("new", taken)  # the same life has nothing more to take
+    assert len(seen) == 6

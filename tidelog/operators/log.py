@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,6 +95,101 @@ def pinned_partition(pin: Column, key: Column, partitions: int) -> Column:
     return F.when(pin > 0, F.pmod(pin, F.lit(partitions)).cast("int")).otherwise(C.key_partition(key, partitions))
 
 
+def backpressure(publishes: DataFrame, takes: int, most: int = 8192, most_bytes: int = 256 << 20) -> DataFrame:
+    """pid, t, inflight, bytes, rejected: a publish (pid, t, b) is refused where `most` of its partition's accepted ones
+    are unfinished, or its bytes with theirs are over most_bytes. One takes `takes` units of t; refused ones take none.
+
+    A partition is one ordered fold, a sorted batch at a time; what is held are its unfinished publishes, `most` at most.
+    """
+    import pandas as pd
+
+    def fold(frames):
+        of, held, size = None, deque(), 0
+        for pdf in frames:
+            out = []
+            for pid, t, b in zip(pdf["pid"].tolist(), pdf["t"].tolist(), pdf["b"].tolist()):
+                if pid != of:
+                    of, held, size = pid, deque(), 0
+                while held and held[0][0] + takes < t:
+                    size -= held.popleft()[1]
+                refused = len(held) >= most or size + b > most_bytes
+                out.append((pid, t, len(held), size, refused))
+                if not refused:
+                    held.append((t, b))
+                    size += b
+            yield pd.DataFrame(out, columns=["pid", "t", "inflight", "bytes", "rejected"])
+
+    own = publishes.select("pid", "t", "b").repartition("pid").sortWithinPartitions("pid", "t")
+    return own.mapInPandas(fold, "pid int, t long, inflight long, bytes long, rejected boolean")
+
+
+def envelopes(df: DataFrame) -> DataFrame:
+    """corr_id, kind, message: publishes as the request they travel in; a message without a key has a null one."""
+    message = F.struct("topic", F.coalesce("retries", F.lit(0)).cast("int").alias("retries"), F.col("payload").cast("binary").alias("payload"), F.col("key").cast("binary").alias("key"), F.coalesce("pid", F.lit(0)).cast("int").alias("partition_id"))
+    return df.select("corr_id", F.lit("PUBLISH").alias("kind"), message.alias("message"))
+
+
+def replies(acks: DataFrame) -> DataFrame:
+    """corr_id, kind, status, offset, error: what answers a request, by its kind; failures carry a text, successes none."""
+    ok = F.col("status") == "SUCCESS"
+    kind = F.when(F.col("request") == "PUBLISH", "PUBLISH_REPLY").when(F.col("request") == "COMMIT", "COMMIT_ACK").when(F.col("request") == "APPEND", "REPLICATION_ACK").otherwise("ERROR")
+    return acks.select("corr_id", kind.alias("kind"), F.when(kind == "ERROR", "INVALID_REQUEST").otherwise(F.col("status")).alias("status"), F.when(ok & (kind != "ERROR"), F.col("offset")).otherwise(F.lit(-1)).cast("long").alias("offset"), F.when(ok & (kind != "ERROR"), "").otherwise(F.concat_ws(" ", F.col("request"), F.lit("failed:"), F.col("status"))).alias("error"))
+
+
+def visit(log: DataFrame, visitor, schema: str, pid: int | None = None) -> DataFrame:
+    """Calls visitor(lsn, key, payload) for every record in (pid, epoch, seq) order; its rows, if any, are the result.
+
+    Records of a (pid, epoch) are visited in one task, a sorted batch at a time; a visitor that returns False ends it.
+    """
+    import pandas as pd
+
+    def run(frames):
+        of, over = None, False
+        for pdf in frames:
+            out = []
+            for pid, epoch, lsn, key, payload in zip(*(pdf[c].tolist() for c in ("pid", "epoch", "lsn", "key", "payload"))):
+                if (pid, epoch) != of:
+                    of, over = (pid, epoch), False
+                if over:
+                    continue
+                got = visitor(lsn, key, payload)
+                if got is False:
+                    over = True
+                elif got is not None:
+                    out.append(got)
+            yield pd.DataFrame(out, columns=names)
+
+    names = [f.name for f in log.sparkSession.createDataFrame([], schema).schema]
+    own = log if pid is None else log.where(F.col("pid") == pid)
+    own = own.select("pid", "epoch", C.lsn_encode(F.col("epoch"), F.col("seq")).alias("lsn"), "seq", "key", "payload")
+    return own.repartition("pid", "epoch").sortWithinPartitions("pid", "epoch", "seq").mapInPandas(run, schema)
+
+
+def check_arguments(*, ring: int = 2, batch: int = 1, partitions: int = 1, quorum: int = 1, nodes: int = 1) -> None:
+    """Raises ValueError for what no log can be built with."""
+    if ring < 2 or ring & (ring - 1):
+        raise ValueError("a ring has a power of two of slots, two at least")
+    if not 0 < batch <= ring:
+        raise ValueError("a batch has one message at least and no more than the ring has slots")
+    if partitions < 1:
+        raise ValueError("there is one partition at least")
+    if not 0 < quorum <= nodes:
+        raise ValueError("a quorum is one node at least and no more than there are")
+
+
+#: Partitioners by name: functions of (row's key, its arrival rank, partitions) columns; register others here.
+PARTITIONERS: dict[str, Callable[[Column, Column, int], Column]] = {
+    "key_hash": lambda key, rank, n: C.key_partition(key.cast("binary"), n),
+    "round_robin": lambda key, rank, n: C.round_robin(rank, n),
+}
+
+
+def route(df: DataFrame, partitioner: str, key: str, rank: str, partitions: int) -> DataFrame:
+    """Adds pid by a registered partitioner."""
+    check_arguments(partitions=partitions)
+    return df.withColumn("pid", PARTITIONERS[partitioner](F.col(key), F.col(rank), partitions))
+
+
 def publish_batches(df: DataFrame, order: str, keys: list[str], most: int, within: list[str]) -> DataFrame:
     """Numbers runs of successive rows with equal `keys`, cut at `most` rows: adds batch_id (from 1) per `within`."""
     w = Window.partitionBy(*within).orderBy(order)

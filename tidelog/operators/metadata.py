@@ -90,3 +90,33 @@ def create_topics(catalog: DataFrame, requests: DataFrame) -> DataFrame:
     """The catalogue with requested topics that it lacks: the first request of each name."""
     first = requests.groupBy("topic").agg(F.min_by("schema_json", "arrival").alias("schema_json"))
     return catalog.unionByName(first.join(catalog.select("topic"), "topic", "left_anti"))
+
+
+def registry(changes: DataFrame) -> DataFrame:
+    """topic, schema_json of the topics that are there after changes (topic, op, schema_json, arrival).
+
+    ADD takes effect where the topic is absent, REPLACE where it is present, REMOVE takes it away: what counts is the
+    last REMOVE, the first ADD behind it, and the last REPLACE behind that. All are aggregates, so a topic that changes
+    very often is combined before it is shuffled.
+    """
+    at = lambda op: F.max(F.when(F.col("op") == op, F.col("arrival")))
+    gone = changes.groupBy("topic").agg(F.coalesce(at("REMOVE"), F.lit(-1)).alias("_gone"))
+    left = changes.join(gone, "topic").where(F.col("arrival") > F.col("_gone"))
+    added = F.min_by(F.when(F.col("op") == "ADD", F.struct("arrival", "schema_json")), F.when(F.col("op") == "ADD", F.col("arrival"))).alias("_a")
+    added = left.groupBy("topic").agg(added).where("_a is not null")
+    swaps = left.where("op = 'REPLACE'").join(added, "topic").where("arrival > _a.arrival")
+    last = swaps.groupBy("topic").agg(F.max_by(F.struct("schema_json"), F.col("arrival")).alias("_r"))
+    return added.join(last, "topic", "left").select("topic", F.when(F.col("_r").isNotNull(), F.col("_r.schema_json")).otherwise(F.col("_a.schema_json")).alias("schema_json"))
+
+
+def seal_and_roll(configs: DataFrame, active: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Seals what requests (pid, epoch, nodes, quorum, tie, acks) ask for, and opens the next epoch where it may.
+
+    Gives the replies (pid, epoch, status, end_seq) and the configurations after them. An epoch is rolled only if it is
+    the active one and `acks` nodes, a quorum of the new placement, opened the next; sealed without that it stays last.
+    """
+    done = seal(active, requests.select("pid", "epoch")).join(requests, ["pid", "epoch"])
+    rolled = (F.col("status") == "SEALED") & (F.col("acks") >= F.col("quorum")) & placement_valid(F.col("nodes"), F.col("quorum"))
+    status = F.when((F.col("status") == "SEALED") & ~rolled, "NO_QUORUM").when(rolled, "ROLLED").otherwise(F.col("status"))
+    replies = done.select("pid", "epoch", status.alias("status"), "end_seq")
+    return replies, seal_and_create(configs, done.where(rolled).select("pid", "end_seq", "nodes", "quorum", "tie"))

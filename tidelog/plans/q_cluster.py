@@ -111,7 +111,7 @@ def first_failure(spark, sf):
 def adaptive_replication(spark, sf):
     a = T.attempts(spark, sf)
     b = a.select((F.col("batch_id") % 16).cast("int").alias("pid"), "batch_id", "node_id", (F.col("status") == "SUCCESS").alias("ok"), F.col("latency_ns").cast("double").alias("latency_ns"))
-    return K.adaptive_replication(b, 2)
+    return K.adaptive_replication(b, 2, deadline=1.5e8)
 
 
 _REQS = T.LOG + """, rq as (select pid, event_id as arrival, topic, case when event_id % 41 = 0 and epoch > 0 then epoch - 1 else epoch end as epoch,

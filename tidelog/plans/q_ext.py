@@ -46,9 +46,9 @@ def ext_semi(spark, sf):
     return c.join(o, c.c_custkey == o.o_custkey, "left_semi").select("c_custkey")
 
 
-@query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+@query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'P')")
 def ext_anti(spark, sf):
-    c, o = T.table(spark, sf, "customer"), T.table(spark, sf, "orders")
+    c, o = T.table(spark, sf, "customer"), T.table(spark, sf, "orders").where("o_orderstatus = 'P'")
     return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey")
 
 

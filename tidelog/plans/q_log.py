@@ -210,12 +210,50 @@ def inflight_gauges(spark, sf):
     return s.select("pid", "t", F.sum("n").over(w).alias("inflight"), F.sum("b").over(w).alias("bytes"))
 
 
-@query(f"with {T.ARRIVALS}, r as (select pid, event_id, count(*) over (partition by pid order by event_id range between 40 preceding and 1 preceding) as inflight from routed) select pid, event_id, inflight, inflight >= 3 as rejected from r")
+@query(f"""with {T.ARRIVALS}, q as (select pid, event_id as t, octet_length(encode(payload)) + 8 as b, row_number() over (partition by pid order by event_id) as i from routed),
+f as (with recursive x as (
+  select pid, 0::bigint as i, 0::bigint as t, 0::bigint as inflight, 0::bigint as bytes, false as rejected, []::struct(t bigint, b bigint)[] as held from (select distinct pid from q)
+  union all select pid, i, t, inflight, bytes, rejected, case when rejected then live else list_append(live, struct_pack(t := t, b := b)) end from (
+    select *, inflight >= 3 or bytes + b > 48 as rejected from (
+      select *, len(live)::bigint as inflight, coalesce(list_sum(list_transform(live, lambda h: h.b)), 0)::bigint as bytes from (
+        select q.pid, q.i, q.t, q.b::bigint as b, list_filter(x.held, lambda h: h.t + 40 >= q.t) as live from x join q on q.pid = x.pid and q.i = x.i + 1))))
+  select pid, t, inflight, bytes, rejected from x where i > 0) select * from f""")
 def inflight_backpressure(spark, sf):
-    """A publish takes 40 arrivals to finish; one that finds three unfinished in its partition is refused."""
-    w = Window.partitionBy("pid").orderBy("event_id").rangeBetween(-40, -1)
-    r = T.routed(spark, sf).select("pid", "event_id", F.count("*").over(w).alias("inflight"))
-    return r.withColumn("rejected", F.col("inflight") >= 3)
+    """A publish takes 40 arrivals to finish; three of a partition, or 48 bytes, are the most that may be unfinished."""
+    r = T.routed(spark, sf).select("pid", F.col("event_id").alias("t"), C.record_bytes(F.col("payload")).alias("b"))
+    return L.backpressure(r, 40, 3, 48)
+
+
+@query(f"with {T.ARRIVALS} select event_id as corr_id, 'PUBLISH' as kind, topic, cast(event_id % 3 as integer) as retries, octet_length(encode(payload)) as size, case when event_id % 11 = 0 then null else octet_length(encode(key)) end as key_size, pid as partition_id from routed")
+def publish_envelope(spark, sf):
+    r = T.routed(spark, sf).select(F.col("event_id").alias("corr_id"), "topic", (F.col("event_id") % 3).alias("retries"), "payload", F.when(F.col("event_id") % 11 != 0, F.col("key")).alias("key"), "pid")
+    m = L.envelopes(r)
+    return m.select("corr_id", "kind", "message.topic", "message.retries", F.octet_length("message.payload").cast("long").alias("size"), F.octet_length("message.key").cast("long").alias("key_size"), "message.partition_id")
+
+
+@query(f"""with {T.ATTEMPTS}, r as (select event_id as corr_id, case event_id % 4 when 0 then 'PUBLISH' when 1 then 'COMMIT' when 2 then 'APPEND' else 'OTHER' end as request, status, latency_ns as off from attempts)
+select corr_id, case request when 'PUBLISH' then 'PUBLISH_REPLY' when 'COMMIT' then 'COMMIT_ACK' when 'APPEND' then 'REPLICATION_ACK' else 'ERROR' end as kind, case when request = 'OTHER' then 'INVALID_REQUEST' else status end as status,
+  case when request <> 'OTHER' and status = 'SUCCESS' then off else -1 end as "offset", case when request <> 'OTHER' and status = 'SUCCESS' then '' else request || ' failed: ' || status end as error from r""")
+def reply_envelope(spark, sf):
+    k = F.col("event_id") % 4
+    a = T.attempts(spark, sf).select(F.col("event_id").alias("corr_id"), F.when(k == 0, "PUBLISH").when(k == 1, "COMMIT").when(k == 2, "APPEND").otherwise("OTHER").alias("request"), "status", F.col("latency_ns").alias("offset"))
+    return L.replies(a)
+
+
+@query(f"with {T.LOG}, v as (select pid, epoch, seq, octet_length(encode(payload)) as size, payload like '%97}}' as last from log), s as (select pid, epoch, min(case when last then seq end) as stop from v group by pid, epoch) select (v.epoch << 40) | v.seq as lsn, size from v join s on s.pid = v.pid and s.epoch = v.epoch where stop is null or v.seq < stop")
+def fetch_visit(spark, sf):
+    """A visitor that measures records and ends at the first whose payload ends in 97}."""
+
+    def measure(lsn, key, payload):
+        return False if payload.endswith("97}") else (lsn, len(payload.encode()))
+
+    return L.visit(T.stored_log(spark, sf), measure, "lsn long, size long")
+
+
+@query("select event_id, cast((row_number() over (order by event_id) - 1) % 12 as integer) as pid from events")
+def partitioner_registry(spark, sf):
+    """The round-robin partitioner, taken from the registry by its name."""
+    return L.route(T.table(spark, sf, "events").select("event_id", "event_type", F.col("event_id").alias("rank")), "round_robin", "event_type", "rank", 12).select("event_id", "pid")
 
 
 @query(f"with {T.ARRIVALS} select pid, event_id, row_number() over (partition by pid order by event_id % 3, event_id) as place from routed")

@@ -130,8 +130,43 @@ def topic_create(spark, sf):
     return M.create_topics(have, want.unionByName(plain))
 
 
-@query("select event_type as topic, count(*) as registrations, event_type <> 'error' as present from events group by event_type")
+_CHANGES = "changes as (select event_type || '-' || (user_id % 7) as topic, case event_id % 5 when 0 then 'ADD' when 1 then 'REPLACE' when 2 then 'ADD' when 3 then 'REPLACE' else case when event_id % 35 = 4 then 'REMOVE' else 'REPLACE' end end as op, 's' || event_id as schema_json, event_id as arrival from events)"
+
+
+@query(f"""with {_CHANGES}, q as (select *, row_number() over (partition by topic order by arrival) as i from changes),
+f as (with recursive x as (
+  select topic, 0::bigint as i, null::varchar as s from (select distinct topic from q)
+  union all select q.topic, q.i, case when op = 'REMOVE' then null when op = 'ADD' and x.s is null then q.schema_json when op = 'REPLACE' and x.s is not null then q.schema_json else x.s end from x join q on q.topic = x.topic and q.i = x.i + 1)
+  select topic, arg_max(struct_pack(s := s), i) as l from x group by topic)
+select topic, l.s as schema_json from f where l.s is not null""")
 def topic_registry(spark, sf):
-    """Registrations replace each other; a removal takes the topic away."""
-    e = T.table(spark, sf, "events").groupBy(F.col("event_type").alias("topic")).agg(F.count("*").alias("registrations"))
-    return e.withColumn("present", F.col("topic") != "error")
+    """Additions, replacements and removals of topics, in the order of arrival."""
+    k = F.col("event_id") % 5
+    op = F.when(k.isin(0, 2), "ADD").when((k == 4) & (F.col("event_id") % 35 == 4), "REMOVE").otherwise("REPLACE")
+    e = T.table(spark, sf, "events")
+    return M.registry(e.select(F.concat_ws("-", "event_type", F.col("user_id") % 7).alias("topic"), op.alias("op"), F.concat(F.lit("s"), F.col("event_id").cast("string")).alias("schema_json"), F.col("event_id").alias("arrival")))
+
+
+_ROLL = f"""{T.HWM}, {T.PIDS}, act as (select pid, max(epoch) as epoch, arg_max(hwm, epoch) as last_seq from hw group by pid),
+rq as (select act.pid, case when act.pid % 3 = 0 then epoch - 1 else epoch end as epoch, act.epoch as active, last_seq, act.pid % 4 as acks from act),
+rr as (select *, case when epoch < active then 'STALE' when acks >= 2 then 'ROLLED' else 'NO_QUORUM' end as status from rq)"""
+
+
+def _rolled(spark, sf):
+    h = L.high_watermark(T.events_log(spark, sf))
+    active = h.groupBy("pid").agg(F.max("epoch").alias("epoch"), F.max_by("hwm", "epoch").alias("last_seq"))
+    asked = F.when(F.col("pid") % 3 == 0, F.col("epoch") - 1).otherwise(F.col("epoch"))
+    requests = active.select("pid", asked.alias("epoch"), F.array(F.lit(2), F.lit(3), F.lit(4)).alias("nodes"), F.lit(2).alias("quorum"), F.lit(99).cast("long").alias("tie"), (F.col("pid") % 4).alias("acks"))
+    return M.seal_and_roll(M.bootstrap(_wanted(spark), T.partitions(spark).where("false")), active, requests)
+
+
+@query(f"with {_ROLL} select pid, epoch, status, case when status = 'STALE' then null else last_seq end as end_seq from rr")
+def seal_roll_reply(spark, sf):
+    return _rolled(spark, sf)[0]
+
+
+@query(f"""with {_ROLL}, c as (select p.pid, r.last_seq from pids p left join rr r on r.pid = p.pid and r.status = 'ROLLED')
+select pid, case when last_seq is null then 1 else 3 end::bigint as config_version, 0::bigint as epoch, 0::bigint as start_seq, coalesce(last_seq, -1)::bigint as end_seq, 2 as ack_quorum, '1,2,3' as nodes, 0::bigint as tie_breaker from c
+union all select pid, 3, 1, last_seq + 1, -1, 2, '2,3,4', 99 from c where last_seq is not null""")
+def seal_roll_config(spark, sf):
+    return _flat(_rolled(spark, sf)[1])
