@@ -8,8 +8,8 @@ to the Jaccard similarity, concentrated as with t independent hash functions, at
 Candidates: documents whose shingle sets are equal are one class. A class joins BANDS buckets of ROWS coordinates.
 In every bucket all members are verified against its center, the member that meets most others over all its buckets;
 where a bucket then still holds several connected groups, members of different groups are verified against each other.
-Pairs that are already connected need no test, as they cannot change a component. Such buckets are cut into blocks of
-bounded size, which carry the full shingle sets; pairs of blocks are compared inside tasks by exact intersection sizes,
+Pairs that are already connected need no test, as they cannot change a component. Such buckets are cut into parts of
+bounded size, which carry the full shingle sets; pairs of parts are compared inside tasks by exact intersection sizes,
 products of their incidence matrices, and give out star edges of what is linked, never pairs. Every link is verified on
 the full shingle sets.
 
@@ -24,15 +24,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .base import components, materialize, slices, small_batches, stars, stored, wide_rows
+from .base import components, materialize, slices, small_batches, stars, stored
 
 BANDS, ROWS = 32, 5
-#: Members of a block and shingles that its sets hold together, about; a longer set is a block of its own.
+#: Members of a part of a bucket, and shingles that its sets hold together, about.
 BLOCK, BLOCK_SHINGLES = 256, 131_072
 
 U = np.uint64
@@ -128,49 +129,83 @@ def intersections(x: list[np.ndarray], y: list[np.ndarray], columns: int = 4096)
     return out
 
 
-def block_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Star edges (u, v) of the links between unlike groups of a bucket: (key, node, n, c) rows, compared block by block."""
-    # members of a bucket's largest group need no comparison with each other, so its blocks meet only those of the rest
+def tiled(rows: DataFrame) -> DataFrame:
+    """(key, p, q, right, self, node, n, c): members of mixed buckets, dealt to pairs of bounded parts (tiles).
+
+    rows has (key, node, n, c). Members of a bucket's largest group need no comparison with each other, so only parts of
+    the rest, 0 .. least - 1, meet all parts, those of the largest group behind them. A part of the rest is compared
+    with itself where it meets the first of these; a bucket of two parts is one tile, in which nothing is repeated.
+    """
     most = rows.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "c")).alias("most"))
     rows = rows.join(most, "key").withColumn("main", F.col("c") == F.col("most.c")).drop("most")
-    size = rows.groupBy("key", "main").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.least("n", F.lit(BLOCK_SHINGLES))) / BLOCK_SHINGLES)).cast("int").alias("parts"))
-    # a set that would fill a block gets one of its own
-    part = F.when(F.col("n") >= BLOCK_SHINGLES, F.xxhash64("node", F.lit("alone"))).otherwise(F.pmod(F.xxhash64("node", F.lit("block")), "parts"))
-    full = rows.join(size, ["key", "main"]).withColumn("part", part).join(sets.select(F.col("doc_id").alias("node"), "bands", "own"), "node")
-    blocks = full.groupBy("key", "main", "part").agg(F.collect_list(F.struct("node", "n", "c", "bands", "own")).alias("rows"))
-    blocks = materialize(blocks, "blocks", wide=True)
-    other = blocks.select("key", F.col("main").alias("m"), F.col("part").alias("q"), F.col("rows").alias("other"))
-    both = blocks.where("not main").join(other, "key").where("m or part <= q").select("key", (~F.col("m") & (F.col("part") == F.col("q"))).alias("same"), "rows", "other")
-
-    def unpack(col):
-        v = col.values
-        get = lambda name: v.field(name).to_numpy(zero_copy_only=False)
-        return get("node"), get("n"), get("c"), v.field("bands").flatten().to_numpy().reshape(len(v), -1), [np.frombuffer(x.as_buffer(), U) for x in v.field("own")]
+    count = lambda m: F.greatest(F.ceil(F.count_if(m) / BLOCK), F.ceil(F.sum(F.when(m, F.least("n", F.lit(BLOCK_SHINGLES))).otherwise(0)) / BLOCK_SHINGLES)).cast("int")
+    size = rows.groupBy("key").agg(count(~F.col("main")).alias("least"), count(F.col("main")).alias("more"))
+    at = F.pmod(F.xxhash64("node", F.lit("block")), F.when(F.col("main"), F.col("more")).otherwise(F.col("least"))).cast("int")
+    own = rows.join(size, "key").withColumn("at", at + F.when(F.col("main"), F.col("least")).otherwise(0))
+    every = F.sequence(F.lit(0), F.col("least") + F.col("more") - 1)
+    tile = lambda p, q, right: F.struct(p.alias("p"), q.alias("q"), F.lit(right).alias("right"))
+    left = F.transform(F.filter(every, lambda q: ~F.col("main") & (q > F.col("at"))), lambda q: tile(F.col("at"), q, False))
+    right = F.transform(F.filter(every, lambda p: (p < F.col("at")) & (p < F.col("least"))), lambda p: tile(p, F.col("at"), True))
+    out = own.select("key", "node", "n", "c", "least", F.explode(F.concat(left, right)).alias("t"))
+    return out.select("key", "t.p", "t.q", "t.right", (F.col("t.q") == F.col("least")).alias("self"), "node", "n", "c")
+
+
+def tile_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Star edges (u, v) of the links between unlike groups of a bucket: (key, node, n, c) rows, compared tile by tile."""
+
+    def linked(key, x, y, ok):
+        ok &= x["c"][:, None] != y["c"][None, :]
+        ok &= 100 * np.minimum(x["n"][:, None], y["n"][None, :]) >= percent * np.maximum(x["n"][:, None], y["n"][None, :])
+        i, j = np.nonzero(ok)
+        mine = np.zeros(len(i), bool)
+        for at in range(0, len(i), 8192):  # a pair is met in every bucket it shares and counts in the first
+            p, q = i[at : at + 8192], j[at : at + 8192]
+            first = (x["bands"][p] == y["bands"][q]).argmax(1)
+            mine[at : at + 8192] = x["bands"][p, first] == key
+        i, j = i[mine], j[mine]
+        if not len(i):
+            return i, j
+        (p, at), (q, to) = np.unique(i, return_inverse=True), np.unique(j, return_inverse=True)
+        both = intersections([x["own"][k] for k in p], [y["own"][k] for k in q])[at, to]
+        hit = 100 * both >= percent * (x["n"][i] + y["n"][j] - both)
+        return x["node"][i[hit]], y["node"][j[hit]]
+
+    def compare(tile, batches):
+        rows = pa.Table.from_batches(batches)
+        sides = []
+        for right in (False, True):
+            own = rows.filter(pa.compute.equal(rows.column("right"), right)).combine_chunks()
+            get = lambda name: own.column(name).to_numpy()  # noqa: B023, E731
+            bands = own.column("bands").combine_chunks()
+            sides.append({"node": get("node"), "n": get("n"), "c": get("c"), "bands": bands.flatten().to_numpy().reshape(len(own), -1 if len(own) else 0), "own": [np.frombuffer(x.as_buffer(), U) for x in own.column("own")]})
+        x, y = sides
+        found = [linked(tile[0], x, y, np.ones((len(x["n"]), len(y["n"])), bool))] if len(x["n"]) and len(y["n"]) else []
+        if tile[3] and len(x["n"]) > 1:
+            found.append(linked(tile[0], x, x, np.triu(np.ones((len(x["n"]),) * 2, bool), 1)))
+        u, v = (np.concatenate(k) if found else np.zeros(0, np.int64) for k in (zip(*found) if found else ((), ())))
+        if len(u):
+            u, v = stars(u, v)
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
         for b in batches:
-            for r in range(b.num_rows):
-                key, same = b.column(0)[r].as_py(), b.column(1)[r].as_py()
-                x, y = unpack(b.column(2)[r]), unpack(b.column(3)[r])
-                ok = (x[2][:, None] != y[2][None, :]) & (x[0][:, None] < y[0][None, :] if same else x[0][:, None] != y[0][None, :])
-                ok &= 100 * np.minimum(x[1][:, None], y[1][None, :]) >= percent * np.maximum(x[1][:, None], y[1][None, :])
-                i, j = np.nonzero(ok)
-                mine = np.zeros(len(i), bool)
-                for at in range(0, len(i), 8192):  # a pair is met in every bucket it shares and counts in the first
-                    p, q = i[at : at + 8192], j[at : at + 8192]
-                    first = (x[3][p] == y[3][q]).argmax(1)
-                    mine[at : at + 8192] = x[3][p, first] == key
-                i, j = i[mine], j[mine]
-                if not len(i):
-                    continue
-                (p, at), (q, to) = np.unique(i, return_inverse=True), np.unique(j, return_inverse=True)
-                both = intersections([x[4][k] for k in p], [y[4][k] for k in q])[at, to]
-                linked = 100 * both >= percent * (x[1][i] + y[1][j] - both)
-                if linked.any():
-                    u, v = stars(x[0][i[linked]], y[0][j[linked]])
-                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
-
-    return both.mapInArrow(run, "u long, v long").where("u <> v")
+            tiles = np.stack([b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4)], axis=1)
+            cut = [0, *(np.flatnonzero((tiles[1:] != tiles[:-1]).any(1)) + 1).tolist(), b.num_rows]
+            for a, e in zip(cut[:-1], cut[1:]):
+                if e > a:
+                    if now != (tile := tuple(tiles[a].tolist())) and held:
+                        yield compare(now, held)
+                        held = []
+                    now = tile
+                    held.append(b.slice(a, e - a))
+        if held:
+            yield compare(now, held)
+
+    full = tiled(rows).join(sets.select(F.col("doc_id").alias("node"), "bands", "own"), "node")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = full.select("key", "p", "q", "self", "right", "node", "n", "c", "bands", "own").repartition(n, "key", "p", "q").sortWithinPartitions("key", "p", "q")
+    return dealt.mapInArrow(run, "u long, v long").where("u <> v")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -227,8 +262,7 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS,
     rest = materialize(named.join(mixed, "key"), "mixed")
     if not rest.isEmpty():
         sets = materialize(shingle_sets(texts(rest.select(F.col("node").alias("doc_id")).distinct()), k, bands, rows), "sets")
-        with wide_rows(docs.sparkSession):
-            more = materialize(block_links(rest, sets, percent), "links")
+        more = materialize(tile_links(rest, sets, percent), "links")
         if not more.isEmpty():
             links = links.unionByName(more)
             part = components(links)
@@ -244,7 +278,7 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS,
     return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
 
 
-def _hint(ids: DataFrame, bound: int = 1_000_000) -> DataFrame:
+def _hint(ids: DataFrame, bound: int = 250_000) -> DataFrame:
     """Broadcasts a set of ids only after counting that it has at most `bound` rows (8 bytes each)."""
     ids = materialize(ids, "ids")
     return F.broadcast(ids) if ids.count() <= bound else ids
