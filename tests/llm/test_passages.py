@@ -68,3 +68,17 @@ def test_stage_still_cuts_400_bytes_of_few_words(spark):
     p = "".join(rng.choice("abcdefgh") for _ in range(400))
     got = cut(spark, [f"x {p}", f"{p} y", "z"])
     assert (got[0].text, got[1].text, got[2].text) == ("x ", " y", "z")
+
+
+def test_digest_reports_strings_and_passages(spark):
+    texts = corpus()
+    docs = spark.createDataFrame([(i, t, 9) for i, t in enumerate(texts)], "doc_id long, text string, spans int").repartition(3)
+    own = {r.doc_id: r for r in passages.digest(docs).collect()}
+    plain = {r.doc_id: r for r in passages.suffix_dedup.digest(docs).collect()}
+    assert len(own) == len(texts) and any(r.n_removed for r in own.values())
+    for i, gone in enumerate(brute(texts)):
+        assert tuple(own[i])[:5] == tuple(plain[i])
+        words = (texts[i] or "").split()
+        least = sum(len(words[j].encode()) for j in gone)
+        assert least <= own[i].n_passage_bytes <= len((texts[i] or "").encode()) and (own[i].n_passage_bytes > 0) == bool(gone)
+    assert passages.digest(spark.createDataFrame([], "doc_id long, text string")).count() == 0

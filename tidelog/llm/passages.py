@@ -144,3 +144,27 @@ def with_ranges(docs: DataFrame, keep: list[str] | None = None, words: int = WOR
     ranges = strings.unionByName(repeated_passages(texts, words))
     both = ranges.groupBy("t1", "t2").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))  # two a text
     return suffix_dedup._keyed(docs, keep).join(both, ["t1", "t2"], "left").drop("t1", "t2")
+
+
+def digest(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """suffix_dedup.digest of every row, and n_passage_bytes: how many of its bytes repeated passages cover.
+
+    Passages are reported, not removed here: what is left is told of repeated byte strings alone.
+    """
+    small_batches(docs.sparkSession)
+    texts = suffix_dedup._keyed(docs).select("t1", "t2", "text")
+    strings = suffix_dedup.repeated_ranges(texts)
+    found = repeated_passages(texts, words).withColumnRenamed("spans", "passages")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for text, spans, passages in zip(b.column(1), b.column(2), b.column(3)):
+                rows.append((*suffix_dedup.digest_of(text.as_py().encode(), spans.as_py()), sum(hi - lo for lo, hi in suffix_dedup.merged(passages.as_py()))))
+            cols = list(zip(*rows)) or [[], [], [], [], []]
+            ints = [pa.array(c, pa.int64()) for c in (*cols[:3], cols[4])]
+            yield pa.RecordBatch.from_arrays([b.column(0), *ints[:3], pa.array(cols[3], pa.string()), ints[3]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes"])
+
+    both = strings.join(found, ["t1", "t2"], "full_outer")
+    rows = suffix_dedup._keyed(docs).join(both, ["t1", "t2"], "left").select("doc_id", "text", "spans", "passages")
+    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_bytes long")

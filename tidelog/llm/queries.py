@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, backoff, bpe, fixity, minhash, packing, secret_scan, suffix_dedup, toxicity, vector_dedup
+from . import ann, backoff, bpe, fixity, minhash, packing, passages, secret_scan, toxicity, vector_dedup
 
 
 def vocab_path(name: str = "byte_bpe_50k.json") -> str:
@@ -58,7 +58,8 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.digest(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """Repeated strings of 400 bytes, and besides what passages of over 50 words, often shorter, repeat."""
+    return passages.digest(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -322,7 +322,7 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH, k: int = K, group: i
     open_ = each.where("kinds > 1").select("ah", "ch", "kinds", "at.*")
     carriers = open_.select("t1", "t2").distinct()
     carriers = materialize(carriers, "carriers")
-    few = F.broadcast(carriers) if carriers.count() <= 1_000_000 else carriers  # 16 bytes a row
+    few = F.broadcast(carriers) if carriers.count() <= 250_000 else carriers  # 16 bytes a row
     here = texts.join(few, ["t1", "t2"], "left_semi")
     todo = open_.groupBy("t1", "t2").agg(F.collect_list(F.struct("ah", "ch", "kinds", "lo", "hi", "p")).alias("todo"))  # of one text
 
@@ -379,21 +379,24 @@ def with_ranges(docs: DataFrame, keep: list[str] | None = None, length: int = LE
     return keyed.join(ranges, ["t1", "t2"], "left").drop("t1", "t2")
 
 
+def digest_of(raw: bytes, spans: list[dict] | None) -> tuple[int, int, int, str]:
+    """Bytes, bytes removed, maximal runs of these, and the digest of what is left of a text."""
+    gone = merged(spans)
+    at, sha = 0, hashlib.sha256()
+    for lo, hi in gone:
+        sha.update(raw[at:lo])
+        at = hi
+    sha.update(raw[at:])
+    return len(raw), sum(hi - lo for lo, hi in gone), len(gone), sha.hexdigest()
+
+
 def digest(docs: DataFrame, length: int = LENGTH, k: int = K, group: int = GROUP) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows: list[list] = [[], [], [], []]
-            for text, own in zip(b.column(1), b.column(2)):
-                raw, gone = text.as_py().encode(), merged(own.as_py())
-                at, sha = 0, hashlib.sha256()
-                for lo, hi in gone:
-                    sha.update(raw[at:lo])
-                    at = hi
-                sha.update(raw[at:])
-                for c, v in zip(rows, (len(raw), sum(hi - lo for lo, hi in gone), len(gone), sha.hexdigest())):
-                    c.append(v)
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.int64()) for c in rows[:3]], pa.array(rows[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            rows = [digest_of(text.as_py().encode(), own.as_py()) for text, own in zip(b.column(1), b.column(2))]
+            cols = list(zip(*rows)) or [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return with_ranges(docs, None, length, k, group).select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
