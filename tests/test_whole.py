@@ -58,14 +58,14 @@ def test_every_event_is_requested_looked_up_and_committed(spark, sf):
     events = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "event_type", "user_id").collect()
     n = len(events)
     assert {r[0] for r in rows(spark, sf, "fetch_status_redirect")} == {e.event_id for e in events}
-    log = registry.QUERIES["dense_index"](spark, sf).select("pid", "epoch", "seq", "pos").collect()
-    place = lambda name, k: sorted(r[:k] for r in rows(spark, sf, name))
-    assert len(log) == n and place("dense_lookup", 4) == sorted(tuple(r) for r in log)
-    assert [r[:3] for r in place("segment_lookup", 3)] == sorted(tuple(r)[:3] for r in log)
+    log = registry.QUERIES["dense_index"](spark, sf).select("pid", "epoch", "seg", "seq").collect()
+    place = lambda name, *cols: sorted(tuple(r[c] for c in cols) for r in registry.QUERIES[name](spark, sf).collect())
+    assert len(log) == n and place("dense_lookup", "pid", "epoch", "seg", "seq") == sorted(tuple(r) for r in log)
+    assert place("segment_lookup", "pid", "epoch", "seg", "seq") == sorted(tuple(r) for r in log)
     pid = {r.event_id: r.pid for r in tables.routed(spark, sf).collect()}
     last = {}
     for e in sorted(events):
         last[e.event_type, f"g{e.user_id % 4}", pid[e.event_id]] = e.event_id % 1000
     want = sorted((*k, v) for k, v in last.items())
-    assert place("committed_offsets", 4) == place("stream_commit", 4) == want
+    assert place("committed_offsets", "topic", "grp", "pid", "off") == place("stream_commit", "topic", "grp", "pid", "off") == want
     assert sum(r[2] for r in rows(spark, sf, "replay_count")) == n
