@@ -3,6 +3,11 @@
 Toxic documents go; of every group of near-duplicates one document stays; passages that repeat across documents go;
 secrets are masked; what is left is packed into training windows. All stages but the last return the columns of
 documents; n_chars is brought up to date where texts change. Stages are written as Parquet and read again in between.
+
+Edge cases, of every stage: a null text counts as an empty one and stays null where it is not changed; rows with a null
+id are kept (no label is theirs, they are near-duplicates of nothing), save those that are toxic; repeated rows are
+treated alike, and near-duplicates keep one row of equal id and text; ties go to the smaller id; an empty table gives an
+empty one; texts of any length are taken whole; columns other than those of documents, whatever their names, are dropped.
 """
 
 from __future__ import annotations
@@ -65,9 +70,11 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     keep = ["lang", "source", "n_chars"]
     types = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
-    spans = passages.with_ranges(docs, keep).select("doc_id", "text", "spans", "_0", "_1", "_2")
-    same = spans.where("spans is null").select("doc_id", "text", *[F.col(f"_{i}").alias(c) for i, c in enumerate(keep)])
-    cut = spans.where("spans is not null").mapInArrow(run, f"doc_id long, text string, {types}").where("text <> ''")
+    docs = docs.select(*COLUMNS, F.col("text").isNull().alias("none"))
+    spans = passages.with_ranges(docs, [*keep, "none"]).select("doc_id", "text", "spans", "_0", "_1", "_2", "_3")
+    text = F.when(~F.col("_3"), F.col("text")).alias("text")
+    same = spans.where("spans is null").select("doc_id", text, *[F.col(f"_{i}").alias(c) for i, c in enumerate(keep)])
+    cut = spans.where("spans is not null").drop("_3").mapInArrow(run, f"doc_id long, text string, {types}").where("text <> ''")
     return same.unionByName(cut.withColumn("n_chars", F.length("text").cast("long"))).select(*COLUMNS)
 
 

@@ -113,3 +113,68 @@ def test_run_does_every_stage(spark, corpus):
         text = want[i].replace(shared, "") if {300, 301} <= want.keys() else want[i]
         assert length[i] == len(packing.tokenize(vocab, text)) + 1
     assert len(out) == len({(r.sequence_id, r.offset) for r in out})
+
+
+ODD = [(1, None), (1, None), (2, ""), (3, "same text here"), (3, "same text here"), (None, "no id"), (None, None), (4, "x " * 150_000), (5, "é" * 70_000)]
+
+
+def odd(spark, rows=ODD):
+    """With columns named as those that the stages make themselves."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, blob string, spans int, t1 long, _0 int, h1 long, start int"
+    return spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t), 0.99, "b", 1, 2, 3, 4, 5) for i, t in rows], schema)
+
+
+def test_toxicity_takes_odd_and_no_rows(spark, corpus, tmp_path):
+    path = corpus[0]
+    got = plain(cp.drop_toxic(spark, odd(spark), path))  # no row has a label of its own text: the bias decides
+    assert got == sorted(ODD, key=str)
+    assert plain(cp.drop_toxic(spark, odd(spark, []), path)) == []
+    pq.write_table(pa.table({"doc_id": pa.array([], pa.int64()), "toxic": pa.array([], pa.int32())}), tmp_path / "labels.parquet")
+    assert plain(cp.drop_toxic(spark, odd(spark), str(tmp_path))) == sorted(ODD, key=str)
+
+
+@pytest.mark.parametrize("stage", ["near_duplicates", "repeats", "secrets"])
+def test_stages_take_odd_and_no_rows(spark, stage):
+    f = dict(cp.STAGES)[stage]
+    got = plain(f(spark, odd(spark), ""))
+    want = list(ODD)
+    if stage == "near_duplicates":
+        want = without_near_duplicates(ODD)
+    elif stage == "repeats":  # texts that are repeats as a whole are left empty and go; these two repeat themselves
+        want = [r for r in ODD if r[0] not in (4, 5)]
+    assert got == sorted(want, key=str)
+    assert plain(f(spark, odd(spark, []), "")) == []
+
+
+def test_packing_takes_odd_and_no_rows(spark):
+    vocab = open(queries.vocab_path(), "rb").read()
+    rows = cp.pack(spark, odd(spark), "").collect()
+    by = {}
+    for r in rows:
+        assert r.length == len(r.ids)
+        by.setdefault(r.doc_id, []).append(r)
+    for i in {i for i, _ in ODD}:
+        texts = [t or "" for j, t in ODD if j == i]
+        assert sum(r.length for r in by[i]) == sum(len(packing.tokenize(vocab, t)) + 1 for t in texts)
+    seq = {}
+    for r in rows:
+        seq.setdefault(r.sequence_id, []).append(r)
+    for own in seq.values():
+        at = 0
+        for r in sorted(own, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 2048
+    assert cp.pack(spark, odd(spark, []), "").count() == 0
+
+
+def test_packed_ids_are_the_pieces_own(spark):
+    """Equal pieces are interchangeable, unlike ones are not: every piece has the ids that its place and checksum name."""
+    import zlib
+
+    import numpy as np
+
+    rng = random.Random(3)
+    rows = [(i % 20, words(rng, rng.choice([1, 5, 400, 3000]))) for i in range(60)]
+    for r in cp.pack(spark, odd(spark, rows), "").collect():
+        assert zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -76,3 +77,59 @@ def test_l1_makes_a_sparse_model():
     seen = [(k % 2, np.unique(np.append(rng.integers(0, 1 << bits, 40), [7 if k % 2 else 8, 1 << bits]))) for k in range(800)]
     w = tox.learn_all(seen, bits).weights(np.arange((1 << bits) + 1))
     assert w[7] > 0 > w[8] and np.count_nonzero(w) < 400
+
+
+def plain_ftrl(seen, bits, epochs, again, min_docs, alpha=1.0, beta=1.0, l1=12.0):
+    """The learner in plain Python: coordinate by coordinate, in dictionaries."""
+    count = {}
+    for _, at in seen:
+        for i in at:
+            count[i] = count.get(i, 0) + 1
+    keep = {i for i, n in count.items() if n >= min_docs} | {1 << bits}
+    for most, l in ((epochs, l1), (again, 0.0)):
+        z, n = {}, {}
+
+        def weight(i):
+            zi = z.get(i, 0.0)
+            return 0.0 if abs(zi) <= l else -(zi - math.copysign(l, zi)) / ((beta + math.sqrt(n.get(i, 0.0))) / alpha)
+
+        for _ in range(most):
+            for label, at in seen:
+                own = [i for i in at if i in keep]
+                w = {i: weight(i) for i in own}
+                g = 1 / (1 + math.exp(-max(-35.0, min(35.0, sum(w.values()))))) - label
+                for i in own:
+                    z[i] = z.get(i, 0.0) + g - (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / alpha * w[i]
+                    n[i] = n.get(i, 0.0) + g * g
+        learned = {i: weight(i) for i in n if weight(i)}
+        keep = set(learned) | {1 << bits}
+    return learned
+
+
+def test_learner_equals_plain_python():
+    rng = np.random.default_rng(3)
+    bits = 9
+    seen = [(k % 2, np.unique(np.append(rng.integers(0, 1 << bits, 25), [5 if k % 2 else 6, 1 << bits])).astype(np.int32)) for k in range(250)]
+    want = plain_ftrl([(label, at.tolist()) for label, at in seen], bits, tox.EPOCHS, tox.AGAIN, tox.MIN_DOCS)
+    at, w = tox.learn_all(seen, bits).model()
+    assert set(at.tolist()) == set(want)
+    assert np.allclose(w, [want[i] for i in at.tolist()], rtol=1e-6, atol=1e-9)
+
+
+def test_features_beyond_the_bound_are_not_learned(spark):
+    """The learner takes documents in the order of the hash while their features fit; scores still cover all rows."""
+    docs, labels = corpus(300)
+    d, lab = frames(spark, docs, labels)
+    few, all_ = tox.train(d, lab, coordinates=3000), tox.train(d, lab)
+    assert len(few[0]) < len(all_[0])
+    assert tox.score(d, few).count() == 300
+    none = tox.train(d, lab, coordinates=1)
+    assert {r.score for r in tox.score(d, none).collect()} == {0.5}
+
+
+def test_rows_of_one_id_are_learned_in_a_fixed_order(spark):
+    docs, labels = corpus(200)
+    both = docs + [(i, t + " word1 word2") for i, t in docs[:100]]
+    d, lab = frames(spark, both, labels)
+    one, two = (tox.train(x, lab) for x in (d.repartition(5), d.orderBy("text")))
+    assert (one[0] == two[0]).all() and (one[1] == two[1]).all()
