@@ -25,8 +25,12 @@ def build_log(df: DataFrame, *, order: str, key: str, payload: str, topic: str,
 
 
 def write_log(log: DataFrame, path: str, mode: str = "append") -> None:
-    """Store a log so that fetches prune directories and row groups."""
-    log.repartition("pid", "epoch").sortWithinPartitions("pid", "epoch", "seq").write.mode(mode).partitionBy("pid", "epoch").parquet(path)
+    """Store a log so that fetches prune the directories of other partitions, and row groups of other epochs and places.
+
+    Tasks get ranges of (pid, epoch, seq), so that a partition that holds most of the records is written by many.
+    """
+    order = ["pid", "epoch", "seq"]
+    log.repartitionByRange(*order).sortWithinPartitions(*order).write.mode(mode).partitionBy("pid").parquet(path)
 
 
 def lsn_range(start: int | None = None, end: int | None = None) -> Column:
