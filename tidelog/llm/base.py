@@ -15,7 +15,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a numpy kernel handles at once; longer single documents are handled whole, alone.
@@ -31,7 +31,8 @@ _scope: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scope
 def small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
     """From now on the session hands at most `size` bytes at once to Python workers: rows hold texts or blocks here."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not 0 < int(spark.conf.get(key).rstrip("b")) <= size:
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if not 0 < now <= size:
         spark.conf.set(key, str(size))
 
 
@@ -161,14 +162,17 @@ def components(edges: DataFrame) -> DataFrame:
         hung = e.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         return hung.unionByName(least.select("u", F.col("m").alias("v")))
 
-    def mark(e: DataFrame):
-        return tuple(e.agg(F.count("*"), F.sum(F.expr("cast(xxhash64(u, v) as decimal(38,0))"))).first())
-
-    first = now = materialize(tidy(edges), "edges")
-    seen, m = None, mark(now)
-    while m != seen:
-        now, seen = materialize(tidy(small(large(now).where("u <> v"))), "edges"), m
-        m = mark(now)
+    def marked(e: DataFrame) -> tuple[DataFrame, dict]:
+        """A stored table, with the number of its rows and a sum of their hashes, taken while they are written."""
+        seen = Observation()
+        out = materialize(e.observe(seen, F.count("*").alias("n"), F.sum(F.expr("cast(xxhash64(u, v) as decimal(38,0))")).alias("h")), "edges")
+        return out, seen.get
+
+    now, mark = marked(tidy(edges))
+    first, before = now, None
+    while mark != before:
+        before = mark
+        now, mark = marked(tidy(small(large(now).where("u <> v"))))
     loops = first.select(F.col("u").alias("node")).unionByName(first.select(F.col("v").alias("node"))).distinct()
     star = now.where("u <> v").groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
     return loops.join(star, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
