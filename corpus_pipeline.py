@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import minhash, packing, passages, queries, secret_scan, suffix_dedup, toxicity
-from tidelog.llm.base import materialize
+from tidelog.llm.base import lean, materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -74,7 +74,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     spans = passages.with_ranges(docs, [*keep, "none"]).select("doc_id", "text", "spans", "_0", "_1", "_2", "_3")
     text = F.when(~F.col("_3"), F.col("text")).alias("text")
     same = spans.where("spans is null").select("doc_id", text, *[F.col(f"_{i}").alias(c) for i, c in enumerate(keep)])
-    cut = spans.where("spans is not null").drop("_3").mapInArrow(run, f"doc_id long, text string, {types}").where("text <> ''")
+    cut = spans.where("spans is not null").drop("_3").mapInArrow(lean(run), f"doc_id long, text string, {types}").where("text <> ''")
     return same.unionByName(cut.withColumn("n_chars", F.length("text").cast("long"))).select(*COLUMNS)
 
 

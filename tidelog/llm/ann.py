@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import vectors as vx
-from .base import materialize, small_batches, stored, wide_rows
+from .base import lean, materialize, small_batches, stored, wide_rows
 
 COLUMNS = 16
 EPSILON = 2.1
@@ -203,18 +203,18 @@ def search(base: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "em
                 yield pa.RecordBatch.from_arrays([pa.array(qid[i]), pa.array(cid[j]), pa.array(s)], ["query_id", "vec_id", "score"])
 
     # fewer, larger tasks make fuller blocks; no rows move
-    blocks = x.coalesce(max(8, n // 65536)).mapInArrow(assign, "list int, ids binary, v binary")
-    asks = queries.repartition(max(1, n_queries // QUERY_ROWS)).mapInArrow(probe, "list int, ids binary, v binary, floor binary")
+    blocks = x.coalesce(max(8, n // 65536)).mapInArrow(lean(assign), "list int, ids binary, v binary")
+    asks = queries.repartition(max(1, n_queries // QUERY_ROWS)).mapInArrow(lean(probe), "list int, ids binary, v binary, floor binary")
     blocks = materialize(blocks, "lists", wide=True)
     parts = F.broadcast(blocks.groupBy("list").agg(F.ceil(F.count("*") / LIST_BLOCKS).cast("int").alias("parts")))  # a row for a list
     asks = asks.join(parts, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("ids").alias("qids"), F.col("v").alias("qv"), "floor")
     dealt = blocks.join(parts, "list").withColumn("part", F.pmod(F.xxhash64("ids"), "parts").cast("int"))
     both = asks.join(dealt, ["list", "part"]).select("qids", "qv", "floor", "ids", "v")
     with wide_rows(spark):
-        found = materialize(both.mapInArrow(compare, "query_id long, vec_id long, score double"), "hits")
+        found = materialize(both.mapInArrow(lean(compare), "query_id long, vec_id long, score double"), "hits")
     # thresholds rest on these candidates, so they belong to what was found
     if seeded:
-        found = found.unionByName(queries.mapInArrow(seed, "query_id long, vec_id long, score double"))
+        found = found.unionByName(queries.mapInArrow(lean(seed), "query_id long, vec_id long, score double"))
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     out = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .base import materialize, slices, small_batches, stable, stored
+from .base import lean, materialize, slices, small_batches, stable, stored
 
 BACKOFF = 0.4
 ORDER = 3
@@ -219,14 +219,14 @@ def scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
                 cols = _score(lens.values.to_numpy(), _unpack_words(vocab.as_py(), words.as_py()), full)
                 yield pa.RecordBatch.from_arrays([ids.values, *[pa.array(c) for c in cols]], ["doc_id", "n_words", "n_hits", "n_full", "n_single", "part"])
 
-    sent = src.mapInArrow(send, "bucket int, block string, grams binary, counts binary")
+    sent = src.mapInArrow(lean(send), "bucket int, block string, grams binary, counts binary")
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(order * buckets, 20_000))
-    back = sent.repartition(parts, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(count, "block string, bucket int, counts binary")
+    back = sent.repartition(parts, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(lean(count), "block string, bucket int, counts binary")
     # one row for each block: its counts by bucket, bounded by the block's size
     own = back.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "counts"))).alias("got"))
-    kept = src.mapInArrow(numbered, "block string, ids array<long>, lens array<long>, vocab binary, words binary")
+    kept = src.mapInArrow(lean(numbered), "block string, ids array<long>, lens array<long>, vocab binary, words binary")
     joined = kept.join(own, "block", "left").select("ids", "lens", "vocab", "words", "got")
-    per = materialize(joined.mapInArrow(judge, "doc_id long, n_words long, n_hits long, n_full long, n_single long, part double"), "sums")
+    per = materialize(joined.mapInArrow(lean(judge), "doc_id long, n_words long, n_hits long, n_full long, n_single long, part double"), "sums")
     n = per.agg(F.sum("n_words")).first()[0] or 0
     rest = F.log(F.greatest(F.lit(n) - F.col("n_words"), F.lit(1)).cast("double"))
     log = F.col("part") - F.col("n_single") * rest

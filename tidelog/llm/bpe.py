@@ -13,6 +13,7 @@ row per input row; columns other than the id and the text are ignored, whatever
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import re
@@ -26,6 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .base import lean
+
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Token pairs, and words of a generation, remembered by a worker.
 MEMO = 400_000
@@ -63,12 +66,10 @@ class Encoder:
                 self._add(i, (self.rank[vocab[a]], self.rank[vocab[b]]))
             self.pairs.setdefault(self.rank[vocab[a]] * n + self.rank[vocab[b]], self.rank[i])
         self.n = n
-        self.right, self.left = ([self.spines(t, side) for t in range(len(self.split))] for side in (1, 0))
         self.special = {a["content"]: a["id"] for a in spec["added_tokens"]}
         for s, i in self.special.items():
             self.tokens[i] = s.encode()
         self.special_re = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.auto = SuffixAutomaton([self.tokens[i] for i in self.id_of])
         self.splitter = regex.compile(SPLIT)
         self.gap = re.compile(r" (?=\s|\Z)")
         self.before = re.compile(r" (?=\S)")
@@ -81,6 +82,18 @@ class Encoder:
         self.id_of.append(i)
         self.split.append(made or (r, r))
 
+    @functools.cached_property
+    def auto(self) -> SuffixAutomaton:
+        return SuffixAutomaton([self.tokens[i] for i in self.id_of])
+
+    @functools.cached_property
+    def right(self) -> list:
+        return [self.spines(t, 1) for t in range(len(self.split))]
+
+    @functools.cached_property
+    def left(self) -> list:
+        return [self.spines(t, 0) for t in range(len(self.split))]
+
     def spines(self, t: int, side: int) -> list[tuple[int, int]]:
         """Tokens that are at one end of t while it is made, each with the rank at which the next of them takes its place."""
         out, until = [], 1 << 62
@@ -271,7 +284,7 @@ def encode_decode(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_c
                 yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.array([enc.decode(r) for r in raw], pa.string())], ["id", "ids", "decoded"])
 
     src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, "id long, ids array<int>, decoded string")
+    return src.mapInArrow(lean(run), "id long, ids array<int>, decoded string")
 
 
 def encode_digest(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -290,4 +303,4 @@ def encode_digest(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(hi, pa.string()), pa.array(hd, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     src = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return src.mapInArrow(lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .base import components, materialize, slices, small_batches, stars, stored
+from .base import components, lean, materialize, slices, small_batches, stars, stored
 
 BANDS, ROWS = 32, 5
 #: Members of a part of a bucket, and shingles that its sets hold together, about.
@@ -87,7 +87,7 @@ def signatures(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS) ->
                     ["doc_id", "n_shingles", "h1", "h2", "bands"])
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>")
+    return src.mapInArrow(lean(run), "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>")
 
 
 def shingle_sets(texts: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
@@ -100,7 +100,7 @@ def shingle_sets(texts: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                 keys = bands_of(sketch(sets, bands * rows), bands, rows)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(sets)), pa.array(list(keys), pa.list_(pa.int64())), pa.array([x.tobytes() for x in sets], pa.binary())], ["doc_id", "bands", "own"])
 
-    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, bands array<long>, own binary")
+    return texts.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, bands array<long>, own binary")
 
 
 def intersections(x: list[np.ndarray], y: list[np.ndarray], columns: int = 4096) -> np.ndarray:
@@ -205,7 +205,7 @@ def tile_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     full = tiled(rows).join(sets.select(F.col("doc_id").alias("node"), "bands", "own"), "node")
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = full.select("key", "p", "q", "self", "right", "node", "n", "c", "bands", "own").repartition(n, "key", "p", "q").sortWithinPartitions("key", "p", "q")
-    return dealt.mapInArrow(run, "u long, v long").where("u <> v")
+    return dealt.mapInArrow(lean(run), "u long, v long").where("u <> v")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -228,7 +228,7 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
 
     full = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "tb")
     full = full.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
-    return full.mapInArrow(run, "u long, v long")
+    return full.mapInArrow(lean(run), "u long, v long")
 
 
 @stored("classes")

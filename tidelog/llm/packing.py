@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .base import materialize, small_batches
+from .base import lean, materialize, small_batches
 
 WINDOW = 2048
 UNIT = 8
@@ -198,7 +198,7 @@ def pieces(docs: DataFrame, vocab_path: str, window: int = WINDOW, end_id: int =
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * keep_ids
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(lean(run), schema)
 
 
 def pack(made: DataFrame, window: int = WINDOW, unit: int = UNIT) -> DataFrame:

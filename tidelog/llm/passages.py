@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from . import suffix_dedup
 from . import textkit as tk
-from .base import materialize, slices, small_batches, stored
+from .base import lean, materialize, slices, small_batches, stored
 
 #: "over 50 words"
 WORDS, K = 51, 16
@@ -123,12 +123,12 @@ def _window_rows(words: int):
 @stored("passages")
 def repeated_passages(texts: DataFrame, words: int = WORDS, k: int = K) -> DataFrame:
     """(t1, t2, spans array<struct<lo, hi>>): byte ranges of repeated passages, by text; texts has (t1, t2, text)."""
-    found = materialize(texts.mapInArrow(_anchor_rows(words, k), "t1 long, t2 long, ah long, ch long, lo long, hi long"), "passage_anchors")
+    found = materialize(texts.mapInArrow(lean(_anchor_rows(words, k)), "t1 long, t2 long, ah long, ch long, lo long, hi long"), "passage_anchors")
     each = found.groupBy("ah", "ch").agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2", "lo", "hi")).alias("at"))
     of = each.groupBy("ah").agg(F.count("*").alias("kinds"), F.max("n").alias("most")).where("kinds > 1 or most > 1")
     each = materialize(each.join(of, "ah").select("ah", "ch", "n", "kinds", "at"), "passage_stretches")
     todo = each.where("kinds > 1").groupBy("at.t1", "at.t2").agg(F.collect_list(F.struct("at.lo", "at.hi")).alias("todo"))  # of one text
-    windows = texts.join(todo, ["t1", "t2"]).select("t1", "t2", "text", "todo").mapInArrow(_window_rows(words), "w1 long, w2 long, t1 long, t2 long, lo long, hi long")
+    windows = texts.join(todo, ["t1", "t2"]).select("t1", "t2", "text", "todo").mapInArrow(lean(_window_rows(words)), "w1 long, w2 long, t1 long, t2 long, lo long, hi long")
     windows = materialize(windows, "passage_windows")
     twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
     some = windows.join(twice, ["w1", "w2"], "left_semi").select("t1", "t2", "lo", "hi")
@@ -167,4 +167,4 @@ def digest(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
     both = strings.join(found, ["t1", "t2"], "full_outer")
     rows = suffix_dedup._keyed(docs).join(both, ["t1", "t2"], "left").select("doc_id", "text", "spans", "passages")
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_bytes long")
+    return rows.mapInArrow(lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_bytes long")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .base import materialize, slices, small_batches, stored
+from .base import lean, materialize, slices, small_batches, stored
 
 LENGTH, K = 400, 64
 #: Distinct stretches of one anchor that a task sorts together: at most GROUP * (2 * length) bytes.
@@ -313,7 +313,7 @@ _T1, _T2 = F.xxhash64, lambda c: F.xxhash64(F.lit(1), c)
 @stored("ranges")
 def repeated_ranges(texts: DataFrame, length: int = LENGTH, k: int = K, group: int = GROUP) -> DataFrame:
     """(t1, t2, spans array<struct<lo, hi>>): byte ranges to remove, by text; texts has (t1, t2, text)."""
-    found = materialize(texts.mapInArrow(_anchor_rows(length, k), "t1 long, t2 long, ah long, ch long, p long, lo long, hi long"), "anchors")
+    found = materialize(texts.mapInArrow(lean(_anchor_rows(length, k)), "t1 long, t2 long, ah long, ch long, p long, lo long, hi long"), "anchors")
     # (anchor, stretch): how often, and one place to read it from
     each = found.groupBy("ah", "ch").agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2", "lo", "hi", "p")).alias("at"))
     # an anchor that occurs once needs nothing more; of the others, how many distinct stretches
@@ -336,13 +336,13 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH, k: int = K, group: i
                     cols = [[r[x] for r in part] for x in ("ah", "ch", "kinds")] + [[r["p"] - r["lo"] for r in part]]
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols] + [pa.array([raw[r["lo"] : r["hi"] + length] for r in part], pa.binary())], ["ah", "ch", "kinds", "p", "stretch"])
 
-    ready = here.join(todo, ["t1", "t2"]).select("text", "todo").mapInArrow(cut, "ah long, ch long, kinds long, p long, stretch binary")
+    ready = here.join(todo, ["t1", "t2"]).select("text", "todo").mapInArrow(lean(cut), "ah long, ch long, kinds long, p long, stretch binary")
     ready = materialize(ready, "open")
     narrow = ready.where(F.col("kinds") <= group).select("ah", "ch", "p", "stretch")
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = narrow.repartition(n, "ah").sortWithinPartitions("ah", "ch").mapInArrow(_sort_rows(length, k, BATCH), "ah long, ch long, lo long, hi long")
+    sorted_ = narrow.repartition(n, "ah").sortWithinPartitions("ah", "ch").mapInArrow(lean(_sort_rows(length, k, BATCH)), "ah long, ch long, lo long, hi long")
     wide = ready.where(F.col("kinds") > group).dropDuplicates(["ah", "ch"]).select("ah", "ch", "p", "stretch")
-    windows = wide.mapInArrow(_window_rows(length), "w1 long, w2 long, ah long, ch long, lo long")
+    windows = wide.mapInArrow(lean(_window_rows(length)), "w1 long, w2 long, ah long, ch long, lo long")
     twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1")
     hashed = windows.join(twice, ["w1", "w2"]).select("ah", "ch", "lo", F.col("lo").alias("hi"))
     partial = sorted_.unionByName(hashed) if not wide.isEmpty() else sorted_
@@ -399,4 +399,4 @@ def digest(docs: DataFrame, length: int = LENGTH, k: int = K, group: int = GROUP
             cols = list(zip(*rows)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return with_ranges(docs, None, length, k, group).select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return with_ranges(docs, None, length, k, group).select("doc_id", "text", "spans").mapInArrow(lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .base import materialize, scratch, slices, small_batches
+from .base import lean, materialize, scratch, slices, small_batches
 
 BITS = 22
 SAMPLE = 16_000
@@ -140,8 +140,8 @@ def fit(labelled: DataFrame, bits: int = BITS, epochs: int = EPOCHS, coordinates
 
     small_batches(labelled.sparkSession)
     chosen = labelled.select(F.xxhash64("doc_id", F.lit("fit")).alias("h"), F.xxhash64("text").alias("t"), F.col("label").cast("int").alias("label"), "text")
-    feats = materialize(chosen.mapInArrow(extract, "h long, t long, label int, at array<int>"), "features")
-    rows = feats.repartition(1).sortWithinPartitions("h", "t", "label").mapInArrow(learn, "at long, w double").toArrow()
+    feats = materialize(chosen.mapInArrow(lean(extract), "h long, t long, label int, at array<int>"), "features")
+    rows = feats.repartition(1).sortWithinPartitions("h", "t", "label").mapInArrow(lean(learn), "at long, w double").toArrow()
     return rows.column("at").to_numpy(), rows.column("w").to_numpy()
 
 

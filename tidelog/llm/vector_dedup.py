@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vectors as vx
-from .base import components, materialize, small_batches, stars, stored, wide_rows
+from .base import components, lean, materialize, small_batches, stars, stored, wide_rows
 
 BLOCK_COLUMNS = 16
 #: Cells of a block of columns: one for CELL_ROWS vectors, between these.
@@ -158,7 +158,7 @@ def links(x: DataFrame, d: int, n: int, cosine: float) -> DataFrame:
                 np.add.at(total, np.searchsorted(ids, v), one[1][i])
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(root), pa.array(total)], ["id", "to", "links"])
 
-    blocks = x.select(F.col("key").alias("id"), "v", "weight").coalesce(max(8, n // 65536)).mapInArrow(spread, "cell int, guest boolean, name long, ids binary, w binary, v binary")
+    blocks = x.select(F.col("key").alias("id"), "v", "weight").coalesce(max(8, n // 65536)).mapInArrow(lean(spread), "cell int, guest boolean, name long, ids binary, w binary, v binary")
     blocks = materialize(blocks, "cells", wide=True)
     home = blocks.where("not guest").select("cell", F.col("name").alias("hn"), F.col("ids").alias("hi"), F.col("w").alias("hw"), F.col("v").alias("hv"))
     parts = F.broadcast(home.groupBy("cell").agg(F.ceil(F.count("*") / CELL_BLOCKS).cast("int").alias("parts")))  # a row for a cell
@@ -166,7 +166,7 @@ def links(x: DataFrame, d: int, n: int, cosine: float) -> DataFrame:
     others = blocks.join(parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     both = home.join(others, ["cell", "part"]).where("guest or hn <= name")
     both = both.select("cell", (~F.col("guest") & (F.col("hn") == F.col("name"))).alias("same"), "hi", "hw", "hv", "ids", "w", "v")
-    return both.mapInArrow(match, "id long, to long, links long")
+    return both.mapInArrow(lean(match), "id long, to long, links long")
 
 
 @stored("classes")
