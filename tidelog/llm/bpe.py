@@ -32,6 +32,8 @@ from .base import lean
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Token pairs, and words of a generation, remembered by a worker.
 MEMO = 400_000
+#: Bytes of a word whose prefixes are remembered.
+HEAD = 5
 
 
 def byte_chars() -> dict[str, int]:
@@ -74,6 +76,7 @@ class Encoder:
         self.gap = re.compile(r" (?=\s|\Z)")
         self.before = re.compile(r" (?=\S)")
         self.memo_pairs: dict[int, bool] = {}
+        self.heads: dict[bytes, tuple] = {}
         self.spaced = _Memo(lambda w: self.pieces(" " + w))
         self.first = _Memo(self.pieces)
 
@@ -119,11 +122,30 @@ class Encoder:
         return True
 
     def word(self, raw: bytes) -> list[int]:
-        """The ids of one pre-token."""
+        """The ids of one pre-token. What is known of its first HEAD bytes is remembered: many words begin alike."""
+        if len(raw) <= HEAD:
+            _, _, last, sizes = self.prefixes(raw, 0, 0, [-1], [0])
+        else:
+            head = raw[:HEAD]
+            known = self.heads.get(head)
+            if known is None:
+                if len(self.heads) >= MEMO // 4:
+                    self.heads.clear()
+                known = self.heads[head] = self.prefixes(head, 0, 0, [-1], [0])
+            state, size, last, sizes = known
+            _, _, last, sizes = self.prefixes(raw[HEAD:], state, size, last.copy(), sizes.copy())
+        out, at = [], len(raw)
+        while at:
+            out.append(self.id_of[last[at]])
+            at -= sizes[at]
+        out.reverse()
+        return out
+
+    def prefixes(self, raw: bytes, state: int, size: int, last: list[int], sizes: list[int]):
+        """Goes on by the bytes of raw: adds the last token of every further prefix, and its length, to last and sizes."""
         nxt, link, length, ends = self.auto.next, self.auto.link, self.auto.length, self.auto.ends
         memo, n = self.memo_pairs, self.n
-        last, sizes = [-1] * (len(raw) + 1), [0] * (len(raw) + 1)
-        state = size = end = 0
+        end = len(last) - 1
         for c in raw:
             end += 1
             while c not in (step := nxt[state]):
@@ -133,26 +155,22 @@ class Encoder:
             size += 1
             # a shorter piece than the state's longest has the tokens of the links only
             for t, k in ends[state] if size == length[state] else ends[link[state]]:
-                at = end - k
-                if at:
-                    key = last[at] * n + t
+                if end != k:
+                    before = last[end - k]
+                    key = before * n + t
                     try:
                         if not memo[key]:
                             continue
                     except KeyError:
                         if len(memo) >= MEMO:
                             memo.clear()
-                        memo[key] = self.compatible(last[at], t)
+                        memo[key] = self.compatible(before, t)
                         if not memo[key]:
                             continue
-                last[end], sizes[end] = t, k
+                last.append(t)
+                sizes.append(k)
                 break
-        out, at = [], end
-        while at:
-            out.append(self.id_of[last[at]])
-            at -= sizes[at]
-        out.reverse()
-        return out
+        return state, size, last, sizes
 
     def pieces(self, text: str) -> bytes:
         out = array("I")
