@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidelog.operators import cluster, layout, log, replica
 from tidelog.operators.replica import State
-from tidelog.sources import codec, seglog
+from tidelog.sources import codec, seglog, stores
 from tidelog.streaming import streams
 
 
@@ -188,3 +188,81 @@ def test_a_subscriber_is_given_what_follows_its_commits(spark, tmp_path):
     assert [s for p, s in seen if p == 1] == [0, 1, 2, 3]
     run("new", taken)  # the same life has nothing more to take
     assert len(seen) == 6
+
+
+def test_versions_of_a_table(spark, tmp_path):
+    path = str(tmp_path / "table")
+    assert stores.get(spark, path) is None
+    for k in range(3):
+        assert stores.put(spark.range(k + 1), path) == k
+    (tmp_path / "table" / "version=3").mkdir()  # begun, never completed
+    assert stores.get(spark, path).count() == 3 and stores.get(spark, path, 0).count() == 1 and stores.get(spark, path, 3) is None
+    assert stores.put(spark.range(9), path) == 3 and stores.get(spark, path).count() == 9
+
+
+def test_offset_store(spark, tmp_path):
+    store = stores.OffsetStore(spark, str(tmp_path / "offsets"))
+    rows = lambda *r: spark.createDataFrame(r, "topic string, grp string, pid int, off long, commit_order long")
+    store.commit(rows(("orders/created", "g1", 0, 5, 0), ("orders/created", "g1", 20, 7, 1)))
+    store.commit(rows(("orders/created", "g2", 1, 9, 2), ("orders/created", "g1", 0, 3, 3)))
+    want = [("orders/created", "g1", 0, 3), ("orders/created", "g1", 20, 7), ("orders/created", "g2", 1, 9)]
+    assert sorted(map(tuple, store.committed().collect())) == want
+    small = store.compact(str(tmp_path / "compact"))
+    assert sorted(map(tuple, small.committed().collect())) == want and spark.read.parquet(small.path).count() == 3
+
+
+def test_metadata_and_fence_files(spark, tmp_path):
+    epochs = [{"epoch": 0, "start_seq": 0, "end_seq": 42, "ack_quorum": 2, "storage_nodes": [1, 2, 3], "tie_breaker": 0}, {"epoch": 1, "start_seq": 43, "end_seq": -1, "ack_quorum": 2, "storage_nodes": [2, 3, 4], "tie_breaker": 99}]
+    (tmp_path / "7.meta").write_bytes(codec.write_metadata(3, epochs))
+    rows = [r.asDict() for r in stores.read_metadata(spark, str(tmp_path)).orderBy("epoch").collect()]
+    assert rows == [{"pid": 7, "config_version": 3, **e} for e in epochs]
+    d = tmp_path / "partition-2"
+    d.mkdir()
+    (d / "epoch-0000000005.fence").write_bytes(codec.write_fence(5, 9, True))
+    (d / "epoch-0000000006.fence").write_bytes(codec.write_fence(-1, 11, False))
+    assert sorted(map(tuple, stores.read_fences(spark, str(tmp_path)).collect())) == [(2, 5, 5, 9, True), (2, 6, -1, 11, False)]
+
+
+def test_a_rate_limited_stream_takes_a_file_at_a_time(spark, tmp_path):
+    for k in range(3):
+        spark.range(4).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    seen = []
+    q = streams.source(spark, str(tmp_path / "in") + "/", 1).writeStream.foreachBatch(lambda b, n: seen.append(b.count())).option("checkpointLocation", str(tmp_path / "state")).trigger(**streams.TRIGGERS["drain"]).start()
+    q.awaitTermination()
+    assert seen == [4, 4, 4]
+
+
+def test_redelivery_at_the_committed_offset(spark, tmp_path):
+    path, seen = str(tmp_path / "log"), []
+    spark.createDataFrame([("t", 0, 0, i) for i in range(6)], "topic string, pid int, epoch long, seq long").write.parquet(path)
+    taken = spark.createDataFrame([("t", 0, 0, 3)], "topic string, pid int, epoch long, seq long")
+    streams.subscribe(streams.source(spark, path + "/"), lambda b, n: seen.extend(r.seq for r in b.collect()), lambda c, n: None, str(tmp_path / "state"), "t", taken, redeliver=True).trigger(availableNow=True).start().awaitTermination()
+    assert seen == [3, 4, 5]
+
+
+def test_approximations_are_near(spark, sf):
+    from tidelog.plans import registry
+
+    rows = {r.l_returnflag: r for r in registry.QUERIES["ext_approx"](spark, sf).collect()}
+    exact = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy("l_returnflag").agg(F.countDistinct("l_partkey").alias("n"), F.percentile("l_extendedprice", 0.5).alias("m")).collect()
+    assert len(rows) == len(exact)
+    for r in exact:
+        assert abs(rows[r.l_returnflag].parts - r.n) <= 0.1 * r.n and abs(rows[r.l_returnflag].median - r.m) <= 0.02 * r.m
+
+
+def test_checksums_of_all_records(spark, sf):
+    from tidelog.functions.checksum import crc32c
+    from tidelog.plans import registry, tables
+
+    got = {(r.pid, r.epoch, r.seq): r.crc32c for r in registry.QUERIES["crc32c_records"](spark, sf).collect()}
+    log = tables.events_log(spark, sf).select("pid", "epoch", "seq", "payload").collect()
+
+    def slow(data):
+        c = 0xFFFFFFFF
+        for b in data:
+            c ^= b
+            for _ in range(8):
+                c = c >> 1 ^ (0x82F63B78 if c & 1 else 0)
+        return c ^ 0xFFFFFFFF
+
+    assert got == {(r.pid, r.epoch, r.seq): slow(r.payload.encode()) for r in log} and crc32c(b"abc") == slow(b"abc")

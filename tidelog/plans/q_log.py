@@ -80,9 +80,11 @@ cuts as (select *, case when (row_number() over (partition by pid, run order by
 batches as (select *, cast(sum(f) over (partition by pid order by event_id) as bigint) as batch_id from cuts)"""
 
 
-@query(f"with {T.ARRIVALS}, " + _BATCH.format(key="topic = pt", lags="lag(topic) over (partition by pid order by event_id) as pt", most=8) + " select pid, event_id, batch_id from batches")
+@query(f"with {T.ARRIVALS}, " + _BATCH.format(key="topic = pt and event_id // 50 % 2 = pr", lags="lag(topic) over (partition by pid order by event_id) as pt, lag(event_id // 50 % 2) over (partition by pid order by event_id) as pr", most=8) + " select pid, event_id, batch_id from batches")
 def publish_batches(spark, sf):
-    return L.publish_batches(T.routed(spark, sf), "event_id", ["topic"], 8, ["pid"]).select("pid", "event_id", "batch_id")
+    """Runs of one topic and number of retries."""
+    r = T.routed(spark, sf).withColumn("retries", F.floor(F.col("event_id") / 50) % 2)
+    return L.publish_batches(r, "event_id", ["topic", "retries"], 8, ["pid"]).select("pid", "event_id", "batch_id")
 
 
 @query(f"with {T.ARRIVALS}, " + _BATCH.format(key="epoch = pt", lags="lag(epoch) over (partition by pid order by event_id) as pt", most=100) + " select pid, epoch, batch_id, count(*) as n, min(event_id) as first_id, max(event_id) as last_id from batches group by pid, epoch, batch_id")

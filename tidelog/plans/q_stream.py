@@ -93,3 +93,16 @@ def stream_subscribe_resume(spark, sf):
 @query(f"with {_LIVES} select topic, pid, max(epoch) as epoch, arg_max(seq, (epoch << 40) | seq) as seq from lives group by topic, pid")
 def stream_subscribe_commits(spark, sf):
     return _delivered(spark, sf)[1]
+
+
+@query(f"with {T.LOG} select pid, epoch, seq, event_id, topic from log")
+def stream_ingest(spark, sf):
+    """The log, written by a stream in three micro-batches of arrivals."""
+    path, out = S.shared(spark, "arrivals"), S.shared(spark, "ingested")
+    a = T.routed(spark, sf).select("pid", "epoch", F.col("event_id").alias("arrival"), "event_id", "topic")
+    most = a.agg(F.max("arrival")).first()[0] or 0
+    state = S.shared(spark, "state")
+    for k in range(3):  # a source that grows; every life of the writer goes on where the one before ended
+        a.where((F.col("arrival") * 3 >= k * (most + 1)) & (F.col("arrival") * 3 < (k + 1) * (most + 1))).write.mode("append").parquet(path)
+        S.ingest(S.source(spark, path + "/"), out, state).awaitTermination()
+    return spark.read.parquet(out).select("pid", "epoch", "seq", "event_id", "topic")
