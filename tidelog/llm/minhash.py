@@ -267,12 +267,13 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS,
             links = links.unionByName(more)
             part = components(links)
     # joined by set, and by repeated ids
-    ids = full.select("doc_id", "h1", "h2").join(nodes.select("h1", "h2", "node"), ["h1", "h2"])
+    # distinct first: what the joins below give needs no grouping, so adaptive execution may split a set that many have
+    ids = full.select("doc_id", "h1", "h2").distinct().join(nodes.select("h1", "h2", "node"), ["h1", "h2"])
     twice = ids.groupBy("doc_id").agg(F.min("node").alias("v"), F.max("node").alias("w")).where("v < w")
     if not twice.isEmpty():
         every = ids.join(twice.select("doc_id"), "doc_id").select(F.col("node").alias("u"), F.col("doc_id").alias("v"))
         part = components(links.unionByName(every))
-    found = ids.join(part, "node", "left").select("doc_id", "h1", "h2", F.coalesce("component", "node").alias("c")).dropDuplicates(["doc_id", "h1", "h2"])
+    found = ids.join(part, "node", "left").select("doc_id", "h1", "h2", F.coalesce("component", "node").alias("c"))
     out = sig.select("doc_id", "n_shingles", "h1", "h2").join(found, ["doc_id", "h1", "h2"], "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("c", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))

@@ -95,7 +95,8 @@ def scan(named: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, .
     every = fresh if known is None else fresh.unionByName(known.where(F.size("found") > 0))
     # a ledger's findings carry the place that the rule had then
     every = every.select("blob", F.transform("found", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.col("kind").alias("kind"))).alias("found"))
-    return every.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found")), new
+    # stored, so that a join with a blob that very many paths have can be split
+    return materialize(every.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found")), "found"), new
 
 
 def address(versions: DataFrame) -> DataFrame:

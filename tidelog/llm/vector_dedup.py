@@ -192,6 +192,7 @@ def classes(df: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vec_col:
     sums = found.groupBy(F.col("id").alias("key")).agg(F.sum("links").alias("links"))
     known = nodes.join(sums, "key", "left").join(part.withColumnRenamed("node", "key"), "key", "left").select(
         "v", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    known = materialize(known, "known")  # so that the join with a vector that very many rows have can be split
     keyed = every.withColumn("usable", F.col("vec_id").isNotNull())
     out = keyed.join(known.withColumn("yes", F.lit(True)), ["v"], "left")
     ok = F.col("yes").isNotNull() & F.col("usable")
