@@ -24,6 +24,9 @@ SLICE_BYTES = 1 << 19
 #: Bytes that reach a Python worker at once (one longer row comes alone).
 BATCH_BYTES = 1 << 23
 
+#: Edges that a file of a component round holds, about.
+EDGES = 100_000
+
 _made: list[tuple] = []
 #: Paths that the innermost function wrapped by stored() has made so far.
 _scope: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scope", default=None)
@@ -188,10 +191,11 @@ def components(edges: DataFrame) -> DataFrame:
     first, before = now, None
     while mark != before:
         before = mark
-        now, mark = marked(tidy(small(large(now).where("u <> v"))))
+        # a round has no more edges than the one before: few edges, few files
+        now, mark = marked(tidy(small(large(now).where("u <> v"))).coalesce(1 + mark["n"] // EDGES))
     loops = first.select(F.col("u").alias("node")).unionByName(first.select(F.col("v").alias("node"))).distinct()
     star = now.where("u <> v").groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
-    return loops.join(star, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    return loops.join(star, "node", "left").select("node", F.coalesce("component", "node").alias("component")).coalesce(1 + mark["n"] // EDGES)
 
 
 def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
