@@ -141,6 +141,10 @@ def fit(labelled: DataFrame, bits: int = BITS, epochs: int = EPOCHS, coordinates
     small_batches(labelled.sparkSession)
     chosen = labelled.select(F.xxhash64("doc_id", F.lit("fit")).alias("h"), F.xxhash64("text").alias("t"), F.col("label").cast("int").alias("label"), "text")
     feats = materialize(chosen.mapInArrow(lean(extract), "h long, t long, label int, at array<int>"), "features")
+    # hashes are spread evenly: of a sample that is too large, little more than what fits reaches the learner's task
+    total = feats.agg(F.sum(F.size("at") + 1)).first()[0] or 1
+    if total > coordinates:
+        feats = feats.where(F.col("h") <= int(min(1.0, 1.1 * coordinates / total) * 2**64) - 2**63 - 1)
     rows = feats.repartition(1).sortWithinPartitions("h", "t", "label").mapInArrow(lean(learn), "at long, w double").toArrow()
     return rows.column("at").to_numpy(), rows.column("w").to_numpy()
 
