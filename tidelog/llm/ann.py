@@ -5,7 +5,8 @@ rotated at random, so that any leading columns are a fair sample of a distance.
 fitted on a bounded sample, more of them for more rows; each is stored as blocks of rows, scanned in blocks of columns.
 After each column block a candidate is abandoned if its partial distance, scaled up, exceeds the query's threshold by
 more than the hypothesis test allows. A query's threshold starts as its `top`-th best inner product within SEED_ROWS rows
-of the sample, which are true candidates, and survivors are scored exactly, in double precision, on the original vectors.
+of the sample, which are true candidates; it visits its NEAR nearest lists with that, and the others with the threshold
+that these gave. Survivors are scored exactly, in double precision, on the original vectors.
 
 How many lists are probed is found on the sample: the least number that reaches `recall` there. Every row is indexed.
 A list of many blocks is dealt to several tasks, and its queries go to all of them.
@@ -32,6 +33,8 @@ EPSILON = 2.1
 LIST_ROWS, QUERY_ROWS = 2048, 2048
 #: Rows of the sample whose exact scores give thresholds.
 SEED_ROWS = 1024
+#: Lists that a query visits first: what they hold gives the threshold for the others.
+NEAR = 2
 #: Blocks of a list that meet in one task.
 LIST_BLOCKS = 32
 
@@ -45,7 +48,7 @@ class Index:
         self.top = top
         y = self.lift(x)
         self.centres = vx.pivots(y, lists)
-        self.probes = probes or self.calibrate(x, y, recall)
+        self.probes = min(len(self.centres), probes or self.calibrate(x, y, recall))
         uniq, first = np.unique(ids[:SEED_ROWS], return_index=True)
         self.ids, self.x = uniq, x[first]
 
@@ -166,20 +169,27 @@ def search(base: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "em
     def row(key, cols):
         return pa.RecordBatch.from_arrays([pa.array([key], pa.int32())] + [pa.array([np.ascontiguousarray(c).tobytes()], pa.binary()) for c in cols], ["list", *["ids", "v", "floor"][: len(cols)]])
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix, held = index.value, vx.Buffers(QUERY_ROWS)
-        for b in batches:
-            for s in range(0, b.num_rows, 1024):
-                part = b.slice(s, 1024)
-                ids, v = part.column(0).to_numpy(), vx.matrix(part.column(1), part.num_rows)
-                floor = ix.floor(ids, v)
-                to = ix.ranked(v)[:, : ix.probes]
-                for k in np.unique(to).tolist():
-                    m = (to == k).any(1)
-                    for block in held.add(k, ids[m], v[m].astype(real), floor[m]):
-                        yield row(*block)
-        for block in held.rest():
-            yield row(*block)
+    def probe(first: int, last: int):
+        """Blocks of queries for the lists that are theirs from the first to before the last, nearest first."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ix, held = index.value, vx.Buffers(QUERY_ROWS)
+            for b in batches:
+                for s in range(0, b.num_rows, 1024):
+                    part = b.slice(s, 1024)
+                    ids, v = part.column(0).to_numpy(), vx.matrix(part.column(1), part.num_rows)
+                    floor = part.column(2).to_numpy()
+                    if not first:
+                        floor = np.maximum(floor, ix.floor(ids, v))
+                    to = ix.ranked(v)[:, first:last]
+                    for k in np.unique(to).tolist():
+                        m = (to == k).any(1)
+                        for block in held.add(k, ids[m], v[m].astype(real), floor[m]):
+                            yield row(*block)
+            for block in held.rest():
+                yield row(*block)
+
+        return run
 
     def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = index.value
@@ -204,21 +214,33 @@ def search(base: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "em
 
     # fewer, larger tasks make fuller blocks; no rows move
     blocks = x.coalesce(max(8, n // 65536)).mapInArrow(lean(assign), "list int, ids binary, v binary")
-    asks = queries.repartition(max(1, n_queries // QUERY_ROWS)).mapInArrow(lean(probe), "list int, ids binary, v binary, floor binary")
     blocks = materialize(blocks, "lists", wide=True)
     parts = F.broadcast(blocks.groupBy("list").agg(F.ceil(F.count("*") / LIST_BLOCKS).cast("int").alias("parts")))  # a row for a list
-    asks = asks.join(parts, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("ids").alias("qids"), F.col("v").alias("qv"), "floor")
     dealt = blocks.join(parts, "list").withColumn("part", F.pmod(F.xxhash64("ids"), "parts").cast("int"))
-    both = asks.join(dealt, ["list", "part"]).select("qids", "qv", "floor", "ids", "v")
-    with wide_rows(spark):
-        found = materialize(both.mapInArrow(lean(compare), "query_id long, vec_id long, score double"), "hits")
-    # thresholds rest on these candidates, so they belong to what was found
-    if seeded:
-        found = found.unionByName(queries.mapInArrow(lean(seed), "query_id long, vec_id long, score double"))
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    out = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-    return out.select("query_id", "rank", "vec_id", "score")
+
+    def visit(asked: DataFrame, first: int, last: int) -> DataFrame:
+        """What queries (id, v, floor) find in so many of their lists."""
+        asks = asked.select("id", "v", "floor").repartition(max(1, n_queries // QUERY_ROWS)).mapInArrow(lean(probe(first, last)), "list int, ids binary, v binary, floor binary")
+        asks = asks.join(parts, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("ids").alias("qids"), F.col("v").alias("qv"), "floor")
+        both = asks.join(dealt, ["list", "part"]).select("qids", "qv", "floor", "ids", "v")
+        with wide_rows(spark):
+            return materialize(both.mapInArrow(lean(compare), "query_id long, vec_id long, score double"), "hits")
+
+    def ranked(hits: DataFrame) -> DataFrame:
+        best = hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+
+    least = F.lit(float("-inf"))
+    found = visit(queries.withColumn("floor", least), 0, NEAR)
+    # thresholds rest on the seed rows, so they belong to what was found
+    seeds = materialize(queries.mapInArrow(lean(seed), "query_id long, vec_id long, score double"), "seeds")
+    if index.value.probes > NEAR:
+        floor = F.when(F.count("*") == top, F.min("score")).otherwise(least).alias("floor")
+        floors = ranked(found.unionByName(seeds)).groupBy("query_id").agg(floor)
+        again = queries.join(floors, queries["id"] == floors["query_id"], "left").withColumn("floor", F.coalesce("floor", least))
+        found = found.unionByName(visit(again, NEAR, index.value.probes))
+    return ranked(found.unionByName(seeds) if seeded else found).select("query_id", "rank", "vec_id", "score")
 
 
 def exact(base: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding", top: int = 20) -> DataFrame:
