@@ -1,6 +1,8 @@
 import random
 from collections import Counter
 
+import pytest
+
 import corpus_pipeline
 from tidelog.llm import passages
 
@@ -34,11 +36,14 @@ def cut(spark, texts):
     return {r.doc_id: r for r in corpus_pipeline.cut_repeats(spark, docs, "").collect()}
 
 
-def test_passages_equal_brute_force(spark):
+@pytest.mark.parametrize("group, take", [(20_000, 1 << 22), (2, 1 << 22), (20_000, 300)])
+def test_passages_equal_brute_force(spark, monkeypatch, group, take):
+    """Stretches compared together, by hashes in a shuffle, and a few at a time."""
+    monkeypatch.setattr(passages, "TAKE", take)
     texts = corpus()
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
     keyed = passages.suffix_dedup._keyed(docs)
-    spans = {(r.t1, r.t2): r.spans for r in passages.repeated_passages(keyed.select("t1", "t2", "text")).collect()}
+    spans = {(r.t1, r.t2): r.spans for r in passages.repeated_passages(keyed.select("t1", "t2", "text"), group=group).collect()}
     got = {r.doc_id: spans.get((r.t1, r.t2)) for r in keyed.collect()}
     for i, gone in enumerate(brute(texts)):
         raw = (texts[i] or "").encode()

@@ -2,9 +2,11 @@
 
 Words are what white space parts (that of Unicode too), compared byte for byte. Windows of WORDS words are sampled by
 anchors as in suffix_dedup, with hashes of words in place of bytes: every window belongs to the least K-word hash in
-it, and equal windows have equal anchors. A stretch of words that occurs twice makes all its windows repeats; an anchor
-with several distinct stretches has its windows compared by their 128-bit hashes in a shuffle that combines on the map
-side. Every window is compared: nothing is capped. As in suffix_dedup all copies are found, the first one too.
+it, and equal windows have equal anchors. A stretch of words that occurs twice makes all its windows repeats; the
+distinct stretches of another anchor meet in a task, which compares their windows by 128-bit hashes. Those of an anchor
+with more than GROUP distinct stretches are compared by the same hashes in a shuffle that combines on the map side, so
+that no task holds them all. Every window is compared: nothing is capped. As in suffix_dedup all copies are found, the
+first one too.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from .base import lean, materialize, slices, small_batches, stored
 
 #: "over 50 words"
 WORDS, K = 51, 16
+#: Distinct stretches of an anchor that one task compares, and bytes of stretches that it takes at once, about.
+GROUP, TAKE = 20_000, 1 << 22
 
 U = np.uint64
 _ASCII = np.zeros(256, bool)
@@ -97,41 +101,101 @@ def _anchor_rows(words: int, k: int):
     return run
 
 
+def _stretch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(t1, t2, text, todo) -> (ah, kinds, t1, t2, lo, stretch), a row for each of todo."""
+    for b in batches:
+        for t1, t2, text, todo in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
+            raw, own = text.as_py().encode(), todo.as_py()
+            for at in range(0, len(own), 4096):
+                part = own[at : at + 4096]
+                n = len(part)
+                cols = [[x[c] for x in part] for c in ("ah", "kinds")] + [[t1] * n, [t2] * n, [x["lo"] for x in part]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols] + [pa.array([raw[x["lo"] : x["hi"]] for x in part], pa.binary())], ["ah", "kinds", "t1", "t2", "lo", "stretch"])
+
+
+def _windows(stretches: pa.Array, words: int):
+    """Windows of a column of stretches: (first words, their stretches, 128-bit hashes as two arrays, starts, ends)."""
+    col = stretches.cast(pa.large_binary())
+    offs = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
+    data = np.frombuffer(col.buffers()[2], np.uint8)[offs[0] : offs[-1]]
+    w, starts, ends, first = tokens(data, offs - offs[0])
+    own = np.repeat(np.arange(len(col)), np.diff(first))
+    at = np.flatnonzero(own[words - 1 :] == own[: len(own) - words + 1])
+    return at, own[at], tk.ngram_hash(w, words)[at], tk.ngram_hash(tk.mix(w + U(words)), words)[at], starts - (offs[own] - offs[0]), ends - (offs[own] - offs[0])
+
+
+def _compare(words: int):
+    """(ah, t1, t2, lo, stretch) with all rows of an anchor in succession -> (t1, t2, lo, hi) of what occurs twice."""
+
+    def repeats(rows: pa.Table) -> pa.RecordBatch:
+        ah, t1, t2, base = (rows.column(c).to_numpy() for c in range(4))
+        at, own, h1, h2, starts, ends = _windows(rows.column(4).combine_chunks(), words)
+        o = np.lexsort((h2, h1, ah[own]))
+        same = (ah[own][o][1:] == ah[own][o][:-1]) & (h1[o][1:] == h1[o][:-1]) & (h2[o][1:] == h2[o][:-1])
+        hit = np.zeros(len(o), bool)
+        hit[o[1:][same]] = hit[o[:-1][same]] = True
+        at, own = at[hit], own[hit]
+        # successive windows of a stretch are one range
+        new = np.ones(len(at), bool)
+        new[1:] = (at[1:] != at[:-1] + 1) | (own[1:] != own[:-1])
+        head = np.flatnonzero(new)
+        last = np.append(head[1:], len(at)) - 1 if len(at) else head
+        k = own[head]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (t1[k], t2[k], base[k] + starts[at[head]], base[k] + ends[at[last] + words - 1])], ["t1", "t2", "lo", "hi"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, seen = [], 0, None
+        for b in batches:
+            ah = b.column(0).to_numpy()
+            cut = [0, *(np.flatnonzero(ah[1:] != ah[:-1]) + 1).tolist(), b.num_rows]
+            for lo, hi in zip(cut[:-1], cut[1:]):
+                if hi > lo:
+                    if size >= TAKE and ah[lo] != seen:
+                        yield repeats(pa.Table.from_batches(held))
+                        held, size = [], 0
+                    part = b.slice(lo, hi - lo)
+                    held.append(part)
+                    size += part.column(4).nbytes
+                    seen = ah[lo]
+        if held:
+            yield repeats(pa.Table.from_batches(held))
+
+    return run
+
+
 def _window_rows(words: int):
-    """(t1, t2, text, todo) -> (w1, w2, t1, t2, lo, hi) of every window of the stretches in todo."""
+    """(t1, t2, lo, stretch) -> (w1, w2, t1, t2, lo, hi) of every window of the stretches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for t1, t2, text, todo in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
-                data = np.frombuffer(text.as_py().encode(), np.uint8)
-                w, starts, ends, _ = tokens(data, np.array([0, len(data)]))
-                raw = memoryview(np.ascontiguousarray(w)).cast("B")
-                own = todo.as_py()
-                for at in range(0, len(own), 512):
-                    spans = own[at : at + 512]
-                    a = np.searchsorted(starts, [s["lo"] for s in spans])
-                    e = np.searchsorted(ends, [s["hi"] for s in spans]) - words + 1
-                    i = np.concatenate([np.arange(x, y + 1) for x, y in zip(a, e)])
-                    full = b"".join(xxhash.xxh3_128_digest(raw[8 * x : 8 * (x + words)]) for x in i.tolist())
-                    h = np.frombuffer(full, np.int64).reshape(-1, 2)
-                    cols = [h[:, 0].copy(), h[:, 1].copy(), np.full(len(i), t1), np.full(len(i), t2), starts[i], ends[i + words - 1]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["w1", "w2", "t1", "t2", "lo", "hi"])
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                t1, t2, base = (part.column(c).to_numpy() for c in range(3))
+                i, own, h1, h2, starts, ends = _windows(part.column(3), words)
+                cols = [h1.view(np.int64), h2.view(np.int64), t1[own], t2[own], base[own] + starts[i], base[own] + ends[i + words - 1]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["w1", "w2", "t1", "t2", "lo", "hi"])
 
     return run
 
 
 @stored("passages")
-def repeated_passages(texts: DataFrame, words: int = WORDS, k: int = K) -> DataFrame:
+def repeated_passages(texts: DataFrame, words: int = WORDS, k: int = K, group: int = GROUP) -> DataFrame:
     """(t1, t2, spans array<struct<lo, hi>>): byte ranges of repeated passages, by text; texts has (t1, t2, text)."""
     found = materialize(texts.mapInArrow(lean(_anchor_rows(words, k)), "t1 long, t2 long, ah long, ch long, lo long, hi long"), "passage_anchors")
     each = found.groupBy("ah", "ch").agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2", "lo", "hi")).alias("at"))
     of = each.groupBy("ah").agg(F.count("*").alias("kinds"), F.max("n").alias("most")).where("kinds > 1 or most > 1")
     each = materialize(each.join(of, "ah").select("ah", "ch", "n", "kinds", "at"), "passage_stretches")
-    todo = each.where("kinds > 1").groupBy("at.t1", "at.t2").agg(F.collect_list(F.struct("at.lo", "at.hi")).alias("todo"))  # of one text
-    windows = texts.join(todo, ["t1", "t2"]).select("t1", "t2", "text", "todo").mapInArrow(lean(_window_rows(words)), "w1 long, w2 long, t1 long, t2 long, lo long, hi long")
-    windows = materialize(windows, "passage_windows")
-    twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
-    some = windows.join(twice, ["w1", "w2"], "left_semi").select("t1", "t2", "lo", "hi")
+    todo = each.where("kinds > 1").groupBy("at.t1", "at.t2").agg(F.collect_list(F.struct("ah", "kinds", "at.lo", "at.hi")).alias("todo"))  # of one text
+    rows = texts.join(todo, ["t1", "t2"]).select("t1", "t2", "text", "todo").mapInArrow(lean(_stretch_rows), "ah long, kinds long, t1 long, t2 long, lo long, stretch binary")
+    rows = materialize(rows, "passage_open")
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    near = rows.where(F.col("kinds") <= group).select("ah", "t1", "t2", "lo", "stretch").repartition(n, "ah").sortWithinPartitions("ah")
+    some = near.mapInArrow(lean(_compare(words)), "t1 long, t2 long, lo long, hi long")
+    wide = rows.where(F.col("kinds") > group)
+    if not wide.isEmpty():
+        windows = materialize(wide.select("t1", "t2", "lo", "stretch").mapInArrow(lean(_window_rows(words)), "w1 long, w2 long, t1 long, t2 long, lo long, hi long"), "passage_windows")
+        twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
+        some = some.unionByName(windows.join(twice, ["w1", "w2"], "left_semi").select("t1", "t2", "lo", "hi"))
     whole = found.join(each.where("n > 1").select("ah", "ch"), ["ah", "ch"], "left_semi").select("t1", "t2", "lo", "hi")
     return some.unionByName(whole).distinct().groupBy("t1", "t2").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
 
