@@ -75,3 +75,38 @@ def test_nodes_of_one_least_id_are_counted_apart(spark):
     rows = [(int(rng.integers(0, 250)), [float(e) for e in (seeds[i % 30] + rng.normal(size=16) * rng.choice([0.05, 0.3])).astype(np.float32)]) for i in range(400)]
     rows += [(rows[3][0], rows[7][1]), (-4, rows[8][1]), (-4, rows[9][1])]
     assert run(spark, rows) == brute(rows)
+
+
+def test_vectors_are_stored_a_few_times_only(spark, monkeypatch):
+    """Unlike vectors, whose cells prune nothing: what is stored grows as the input, not as the cells that they are near."""
+    from pathlib import Path
+
+    made = []
+    materialize = vd.materialize
+
+    def weighed(df, name, **how):
+        out = materialize(df, name, **how)
+        made.extend(Path(f.removeprefix("file://")).stat().st_size for f in out.inputFiles())
+        return out
+
+    monkeypatch.setattr(vd, "materialize", weighed)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(6000, 64)).astype(np.float32)
+    x[-500:] = x[:500] + 0.1 * rng.normal(size=(500, 64)).astype(np.float32)
+    rows = [(i, v) for i, v in enumerate(x.tolist())]
+    assert run(spark, rows) == brute(rows)
+    assert made and sum(made) < 4 * x.nbytes
+
+
+def test_groups_that_span_row_blocks(spark, monkeypatch):
+    """Dense groups, several row blocks and cells, and a chain whose ends are not linked."""
+    monkeypatch.setattr(vd, "ROWS", (16, 64))
+    rng = np.random.default_rng(6)
+    dense = rng.normal(size=64) + 0.05 * rng.normal(size=(300, 64))
+    t = np.linspace(0, 3, 40)
+    chain = np.zeros((40, 64))
+    chain[:, 0], chain[:, 1] = np.cos(t), np.sin(t)
+    spots = rng.normal(size=(6, 64))
+    x = np.concatenate([dense, chain, spots[rng.integers(0, 6, 900)] + 0.4 * rng.normal(size=(900, 64)), rng.normal(size=(300, 64))])
+    rows = [(int(i), v) for i, v in zip(rng.permutation(len(x)), x.astype(np.float32).tolist())]
+    assert run(spark, rows) == brute(rows)

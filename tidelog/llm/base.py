@@ -67,6 +67,18 @@ def wide_rows(spark: SparkSession, rows: int = 32):
         spark.conf.set(key, before)
 
 
+@contextlib.contextmanager
+def swept_shuffles(spark: SparkSession):
+    """While it lasts, a query's shuffle files are deleted when it ends, not when the driver collects its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def stable(df: DataFrame, name: str) -> DataFrame:
     """df, stored first if its plan moves rows: what is read twice then has the same rows in the same order."""
     plan = df._jdf.queryExecution().executedPlan().toString()
