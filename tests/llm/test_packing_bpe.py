@@ -171,3 +171,22 @@ def test_nnls_is_optimal():
         x = packing.nnls(a, b)
         grad = a.T @ (b - a @ x)
         assert (x >= 0).all() and (grad <= 1e-5).all() and np.abs(grad[x > 1e-9]).max(initial=0) <= 1e-5
+
+
+def test_parts_of_words_are_encoded_once(vocab, library, monkeypatch):
+    with open(vocab, "rb") as f:
+        enc = bpe.Encoder(f.read())
+    met, word = Counter(), enc.word
+    monkeypatch.setattr(enc, "word", lambda raw: met.update([raw]) or word(raw))
+    text = "Qanlirén.\nZovéle qanlirén.\nZovéle tri,\nZovéle Zovéle tri qanlirén,\ntri"
+    assert np.frombuffer(enc.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert max(met.values()) == 1, met
+
+
+def test_forgetful_encoder_equals_library(vocab, library, monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO", 24)
+    with open(vocab, "rb") as f:
+        enc = bpe.Encoder(f.read())
+    for t in TEXTS:
+        if t:
+            assert np.frombuffer(enc.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t[:40]

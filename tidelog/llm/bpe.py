@@ -17,8 +17,6 @@ import functools
 import hashlib
 import json
 import re
-import sys
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +31,7 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N
 #: Token pairs, and words of a generation, remembered by a worker.
 MEMO = 400_000
 #: Bytes of a word whose prefixes are remembered.
-HEAD = 5
+HEAD = 6
 
 
 def byte_chars() -> dict[str, int]:
@@ -77,6 +75,9 @@ class Encoder:
         self.before = re.compile(r" (?=\S)")
         self.memo_pairs: dict[int, bool] = {}
         self.heads: dict[bytes, tuple] = {}
+        self.steps: dict[tuple[int, int], dict] = {}
+        self.start = self._start()
+        self.id_bytes = [i.to_bytes(4, "little") for i in self.id_of]
         self.spaced = _Memo(lambda w: self.pieces(" " + w))
         self.first = _Memo(self.pieces)
 
@@ -121,64 +122,83 @@ class Encoder:
                     return False
         return True
 
-    def word(self, raw: bytes) -> list[int]:
+    def word(self, raw: bytes) -> bytes:
         """The ids of one pre-token. What is known of its first HEAD bytes is remembered: many words begin alike."""
         if len(raw) <= HEAD:
-            _, _, last, sizes = self.prefixes(raw, 0, 0, [-1], [0])
+            _, last, sizes = self.prefixes(raw, self.start, [-1], [0])
         else:
             head = raw[:HEAD]
             known = self.heads.get(head)
             if known is None:
                 if len(self.heads) >= MEMO // 4:
                     self.heads.clear()
-                known = self.heads[head] = self.prefixes(head, 0, 0, [-1], [0])
-            state, size, last, sizes = known
-            _, _, last, sizes = self.prefixes(raw[HEAD:], state, size, last.copy(), sizes.copy())
-        out, at = [], len(raw)
+                known = self.heads[head] = self.prefixes(head, self.start, [-1], [0])
+            step, last, sizes = known
+            _, last, sizes = self.prefixes(raw[HEAD:], step, last.copy(), sizes.copy())
+        out, at, ids = [], len(raw), self.id_bytes
         while at:
-            out.append(self.id_of[last[at]])
+            out.append(ids[last[at]])
             at -= sizes[at]
         out.reverse()
-        return out
+        return b"".join(out)
 
-    def prefixes(self, raw: bytes, state: int, size: int, last: list[int], sizes: list[int]):
+    def prefixes(self, raw: bytes, step: dict, last: list[int], sizes: list[int]):
         """Goes on by the bytes of raw: adds the last token of every further prefix, and its length, to last and sizes."""
-        nxt, link, length, ends = self.auto.next, self.auto.link, self.auto.length, self.auto.ends
         memo, n = self.memo_pairs, self.n
         end = len(last) - 1
         for c in raw:
             end += 1
-            while c not in (step := nxt[state]):
-                state = link[state]
-                size = length[state]
-            state = step[c]
-            size += 1
-            # a shorter piece than the state's longest has the tokens of the links only
-            for t, k in ends[state] if size == length[state] else ends[link[state]]:
+            try:
+                step = step[c]
+            except KeyError:
+                step = self.after(step, c)
+            for t, k in step[-1]:
                 if end != k:
-                    before = last[end - k]
-                    key = before * n + t
+                    key = last[end - k] * n + t
                     try:
                         if not memo[key]:
                             continue
                     except KeyError:
                         if len(memo) >= MEMO:
                             memo.clear()
-                        memo[key] = self.compatible(before, t)
+                        memo[key] = self.compatible(last[end - k], t)
                         if not memo[key]:
                             continue
                 last.append(t)
                 sizes.append(k)
                 break
-        return state, size, last, sizes
+        return step, last, sizes
+
+    def after(self, step: dict, c: int) -> dict:
+        """The step to which byte c leads: the longest piece of a token that ends with it, as found in the automaton.
+
+        A step holds the steps known to follow it, by byte, under -1 the tokens that end there, longest first, and under
+        -2 its state and the length of the piece.
+        """
+        nxt, link, length, ends = self.auto.next, self.auto.link, self.auto.length, self.auto.ends
+        state, size = step[-2]
+        while c not in nxt[state]:
+            state = link[state]
+            size = length[state]
+        state, size = nxt[state][c], size + 1
+        if (to := self.steps.get((state, size))) is None:
+            if len(self.steps) >= MEMO // 4:
+                self.steps.clear(), self.heads.clear()
+                self.start = self._start()
+            # a shorter piece than the state's longest has the tokens of the links only
+            to = self.steps[state, size] = {-1: ends[state] if size == length[state] else ends[link[state]], -2: (state, size)}
+        step[c] = to
+        return to
+
+    def _start(self) -> dict:
+        return {-1: [], -2: (0, 0)}
 
     def pieces(self, text: str) -> bytes:
-        out = array("I")
-        for w in self.splitter.findall(text):
-            out.extend(self.word(w.encode()))
-        if sys.byteorder == "big":
-            out.byteswap()
-        return out.tobytes()
+        parts = self.splitter.findall(text)
+        if len(parts) == 1:
+            return self.word(text.encode())
+        # most parts are met in other words too, or alone
+        return b"".join([self.spaced[p[1:]] if p[0] == " " else self.first[p] for p in parts])
 
     def _plain(self, text: str) -> bytes:
         # A border always lies before a space that a visible character follows, so the parts are encoded alone.
